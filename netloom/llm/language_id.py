@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: The bound on what is learned from: this many texts a language, this many characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 96, 3000
 DICTIONARY = 1 << 17
-PIECE, LEVEL = 4096, 1
+PIECE, LEVEL = 4096, 6
 #: Rejected if the best size is not smaller than the next by this share.
 MARGIN = 0.01
 LEARNED_IF = "crc32(cast(cast(doc_id as string) as binary)) % 3"
