@@ -10,7 +10,7 @@ Only the merged bit "two or more" of each cell comes back: at most
 ``max_cells`` bits a row, 16 MB in all, whatever the input.
 
 Pass 2 looks at each window again. Windows whose estimate is one are unique.
-The others are grouped exactly by 128 bits of their words. A key that a task
+The others are grouped exactly by 96 bits of their words. A key that a task
 meets twice is settled there and sent on once, so a passage that a third of
 all documents share reaches its group as one row per few MB of text.
 """
@@ -25,13 +25,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing as H
-from .common import KEY, same_key, scratch, with_key
+from .common import KEY as FULL_KEY
+from .common import with_key
 
 WINDOW, GRAM = 35, 8
 MAX_CELLS = 1 << 26
 BLOCK = 1 << 16
 ROWS = 2
 BATCH_ROWS = 200_000
+#: Candidates travel with the id and 64 bits of the text, which tells rows of one id apart.
+KEY = FULL_KEY[:2]
 
 
 def cells_for(n_bytes: int, max_cells: int = MAX_CELLS) -> int:
@@ -125,8 +128,8 @@ def _candidates(window: int, gram: int, cells: int, bits):
         hasher, repeated = H.WordHasher(lower=False), bits.value
         one, two = H.Powers(H.BASE_A), H.Powers(H.BASE_B)
         for batch in batches:
-            keys = [batch.column(i) for i in range(3)]
-            for a, b, data, off in H.chunks(batch.column(3)):
+            keys = [batch.column(i) for i in range(2)]
+            for a, b, data, off in H.chunks(batch.column(2)):
                 h, doc, _, _ = hasher(data, off)
                 at, _, g = _minimizers(h, doc, window, gram)
                 may = np.ones(len(at), bool)
@@ -158,7 +161,7 @@ def _candidates(window: int, gram: int, cells: int, bits):
                 who = pa.array(np.concatenate([doc[at[send]], of]) + a)
                 lows, highs = np.concatenate([local[send], lo]), np.concatenate([local[send], hi])
                 x1 = np.concatenate([k1[send], H.mix(of.astype(np.uint64) * np.uint64(977) + lo.astype(np.uint64))]).view(np.int64)
-                x2 = np.concatenate([k2[send], np.zeros(m, np.uint64)]).view(np.int64)
+                x2 = np.concatenate([k2[send], np.zeros(m, np.uint64)]).astype(np.uint32).view(np.int32)
                 known = np.concatenate([settled[send], np.ones(m, bool)])
                 wide = np.concatenate([np.zeros(n, bool), np.ones(m, bool)])
                 out = pa.RecordBatch.from_arrays(
@@ -171,7 +174,7 @@ def _candidates(window: int, gram: int, cells: int, bits):
     return run
 
 
-CANDIDATE = f"w1 long, w2 long, wide boolean, known boolean, {KEY[0]} long, {KEY[1]} long, {KEY[2]} long, lo int, hi int"
+CANDIDATE = f"w1 long, w2 int, wide boolean, known boolean, {KEY[0]} long, {KEY[1]} long, lo int, hi int"
 
 
 def _cut(window: int, with_text: bool):
@@ -180,7 +183,7 @@ def _cut(window: int, with_text: bool):
     def run(batches):
         hasher = H.WordHasher(lower=False)
         for batch in batches:
-            ids, texts, runs = batch.columns
+            ids, texts, single, runs = batch.columns
             for a, b, data, off in H.chunks(texts):
                 _, doc, s, e = hasher(data, off)
                 raw = data.tobytes()
@@ -189,6 +192,11 @@ def _cut(window: int, with_text: bool):
                 for d in range(b - a):
                     i, j = int(first[d]), int(first[d + 1])
                     step = np.zeros(j - i + 1, np.int64)
+                    r = single[a + d]
+                    if r.is_valid and len(r.values):
+                        lone = np.asarray(r.values)
+                        np.add.at(step, lone, 1)
+                        np.add.at(step, lone + window, -1)
                     r = runs[a + d]
                     if r.is_valid and len(r.values):
                         flat = np.asarray(r.values.flatten()[0]), np.asarray(r.values.flatten()[1])
@@ -238,11 +246,11 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = G
     found = keyed.select(*KEY, "text").mapInArrow(_candidates(window, gram, cells, bits), CANDIDATE)
     same = Window.partitionBy("w1", "w2", "wide")
     found = found.withColumn("n", F.count("*").over(same)).filter("known or n > 1")
-    runs = found.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("__nl_runs")).withColumnsRenamed({k: f"{k}_r" for k in KEY})
+    runs = found.groupBy(*KEY).agg(F.collect_list(F.when(~F.col("wide"), F.col("lo"))).alias("__nl_single"), F.collect_list(F.when(F.col("wide"), F.struct("lo", "hi"))).alias("__nl_runs")).withColumnsRenamed({k: f"{k}_r" for k in KEY})
     cond = F.lit(True)
     for k in KEY:
         cond = cond & F.col(k).eqNullSafe(F.col(f"{k}_r"))
-    both = keyed.join(runs, cond, "left").select("doc_id", "text", "__nl_runs")
+    both = keyed.join(runs, cond, "left").select("doc_id", "text", "__nl_single", "__nl_runs")
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     return both.mapInArrow(_cut(window, with_text), out + (", kept_text string" if with_text else ""))
 
