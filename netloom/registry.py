@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list[str] = []
+MODULES = ["network"]
 
 
 @dataclass(frozen=True)
@@ -36,7 +36,7 @@ def query(ops: str, oracle: str | None = None):
 
 def all_queries() -> dict[str, Query]:
     for m in MODULES:
-        importlib.import_module(f"netloom.queries.{m}")
+        importlib.import_module(f"netloom.plans.{m}")
     return dict(_FOUND)
 
 
