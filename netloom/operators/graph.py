@@ -36,21 +36,25 @@ def shared_stations(served: DataFrame, group: str) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component): the least id that each node reaches.
 
-    Each round, every node takes the least label among itself and its
-    neighbours, and then the label of that label, so paths are halved. A round
-    is two joins on the node; it is written to shared storage, which ends the
-    lineage.
+    Alternates two steps: every node's larger neighbours are linked to the least
+    node in reach (large star), then every node and its smaller neighbours are
+    (small star), until only stars are left. The rounds are logarithmic in the
+    longest chain; each is written to shared storage, which ends the lineage.
     """
-    e = saved(both_ways(edges).distinct(), "edges")
-    label = saved(e.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
+    e = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    mark = None
     while True:
-        near = e.join(label.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        step = label.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = step.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        new = saved(step.join(jump, "label", "left").select("id", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
-        if new.filter("label <> old").isEmpty():
-            return new.select("id", F.col("label").alias("component"))
-        label = new.select("id", "label")
+        ways = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        reach = ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = ways.filter("v > u").join(reach, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        e = saved(small.distinct(), "stars")
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == mark:
+            break
+        mark = now
+    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
 def corridors(edges: DataFrame, major: DataFrame, most: int = 64) -> DataFrame:

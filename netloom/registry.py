@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["network"]
+MODULES = ["network", "names", "geometry", "state"]
 
 
 @dataclass(frozen=True)
