@@ -62,6 +62,7 @@ def _counts(model_file: str, limit: int):
                     if len(known) + len(fresh) > REMEMBERED:
                         known, fresh = {}, entries
                     known.update(zip(fresh, map(len, sp.encode([x[1:] for x in fresh], num_threads=1)), strict=True))
+                    known[" "] = 1  # a last single space; alone it would be an empty text
                     pieces = np.fromiter((known[x] for x in entries), np.int64, len(entries))
                     total = np.concatenate([[0], np.cumsum(pieces[np.asarray(coded.indices)])])
                     edge = np.searchsorted(at, off)
