@@ -14,12 +14,11 @@ Shape of the job, all of it in shuffles on keys that spread:
    common with others, so proposals are linear in the bucket's size; pairs whose
    sizes rule out the similarity are left out;
 5. proposals are confirmed on full shingle sets, links become components;
-6. in buckets that still hold several components, the members outside the
-   largest one (strays) are paired with up to four of its members, per bucket;
-   few strays are also paired with each other, each pair in the first bucket
-   that both are in; many are dealt anew under keys with one more collection,
-   until none are left. Pairs that cannot be similar enough, as too many
-   shingles of theirs are in no other set at hand, are left out.
+6. documents of buckets that still hold several components meet once more, under
+   each single collection value: the members outside its largest component
+   (strays) with all of its members and with each other, on full shingle sets,
+   in jobs of two blocks. Documents that can match none, as too many shingles
+   of theirs are in no other set at hand, are left out.
 """
 
 from __future__ import annotations
@@ -35,8 +34,10 @@ from .components import components, extended
 
 SHINGLE, THRESHOLD = 5, (75, 100)
 COLLECTIONS, WIDTH = 16, 2
-#: Up to this many strays of a bucket are compared with each other directly.
-SMALL = 128
+#: Members and shingles of a block. They bound the memory of a task, not which pairs are tested.
+SMALL, BLOCK_SHINGLES = 128, 1 << 21
+#: Shingles that a job counts at once.
+COLUMNS = 4096
 #: Up to this many pairs (some 10 MB) are sent to all tasks; more are joined by shuffling.
 BROADCAST_PAIRS = 200_000
 
@@ -170,25 +171,11 @@ def _buckets(shared: DataFrame, member: DataFrame | None) -> DataFrame:
     return own.select("cls", "label", "c", "size", F.inline(pairs))
 
 
-def _longer(rows: DataFrame) -> DataFrame:
-    """Each row once more for every further collection of its class after those in its key; values that no other row has are dropped."""
-    last = F.col("mask")
-    more = F.filter("c", lambda x: x["bit"] > last)
-    out = rows.select("cls", "c", "size", "mask", "key", F.inline(more)).select("cls", "c", "size", F.col("mask").bitwiseOR(F.col("bit")).alias("mask"), F.col("key").bitwiseXOR(F.col("v")).alias("key"))
-    return out.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1").drop("n")
-
-
 def _fits(x: Column, y: Column, threshold: tuple[int, int]) -> Column:
     """Whether sets of these sizes can be similar enough at all."""
     return threshold[1] * F.least(x, y) >= threshold[0] * F.greatest(x, y)
 
 
-def _can_match(x: Column, own_x: Column, y: Column, own_y: Column, threshold: tuple[int, int]) -> Column:
-    """Whether sets of sizes x and y can be similar enough if so many shingles of each are in no other set."""
-    most = F.least(x - own_x, y - own_y)
-    return threshold[1] * most >= threshold[0] * (x + y - most)
-
-
 def _proposals(buckets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Each class of a bucket with the first one: linear in the bucket. First is who has most collections in common with others, the same one in many buckets."""
     me = F.struct("cls", "size")
@@ -198,27 +185,110 @@ def _proposals(buckets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     return both.select(F.least("me.cls", "to.cls").alias("a"), F.greatest("me.cls", "to.cls").alias("b")).distinct()
 
 
-def _strays(buckets: DataFrame) -> DataFrame:
-    """The rows of each bucket that are not in its largest component, with members of that one, and how many strays the bucket has."""
-    order, me = F.xxhash64("cls", "key"), F.struct("cls", "size")
-    central = F.size("c")  # a text close to many has most of its collections in common with others
-    by_label = buckets.groupBy("key", "label").agg(
-        F.count("*").alias("n"), F.min_by(me, order).alias("r1"), F.max_by(me, order).alias("r2"), F.max_by(me, F.struct(central, "cls")).alias("r3"), F.max_by(me, F.struct(central, order)).alias("r4")
-    )
-    main = by_label.groupBy("key").agg(F.max_by(F.struct("label", "r1", "r2", "r3", "r4"), F.struct("n", "label")).alias("m"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    main = main.filter("most < all").select("key", F.col("m.label").alias("main"), F.array_distinct(F.array("m.r1", "m.r2", "m.r3", "m.r4")).alias("reps"), (F.col("all") - F.col("most")).alias("n"))
-    return buckets.join(main.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("label") != F.col("main"))).select("cls", "label", "c", "size", "mask", "key", "reps", "n")
+def _blocks(buckets: DataFrame, block: int) -> DataFrame:
+    """buckets(v, cls, label, size) -> (job, side, cls, label): each bucket cut into blocks, a job for every two blocks that may hold a pair to test.
 
+    Members of the bucket's largest component are only met with the others, the
+    strays; strays are met with all. Blocks have some ``block`` members, fewer if
+    the sets are large, so no job grows with its bucket.
+    """
+    by_label = buckets.groupBy("v", "label").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    cut = by_label.groupBy("v").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max(F.struct("n", "label", "s")).alias("m"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("labels")).filter("labels > 1")
+
+    def blocks(n: Column, s: Column) -> Column:
+        return F.greatest(F.ceil(n / F.lit(block)), F.ceil(s / F.lit(BLOCK_SHINGLES))).cast("int")
+
+    cut = cut.select(F.col("v").alias("k"), "main", blocks(F.col("n") - F.col("m.n"), F.col("s") - F.col("m.s")).alias("q"), blocks(F.col("m.n"), F.col("m.s")).alias("p"))
+    rows = buckets.join(cut, F.col("v") == F.col("k"))
+    is_main, h = F.col("label") == F.col("main"), F.xxhash64("cls")
+    rows = rows.withColumn("at", F.when(is_main, F.col("q") + F.pmod(h, F.col("p"))).otherwise(F.pmod(h, F.col("q"))).cast("int"))
+    with_ = F.explode(F.sequence(F.lit(0), F.when(is_main, F.col("q")).otherwise(F.col("q") + F.col("p")) - 1)).alias("with")
+    rows = rows.select("v", "cls", "label", "at", with_)
+    i, j = F.least("at", "with"), F.greatest("at", "with")
+    # side: 0 first block, 1 second, 2 both (a block with itself)
+    return rows.select(F.xxhash64("v", i, j).alias("job"), F.when(i == j, 2).when(F.col("at") == i, 0).otherwise(1).alias("side"), "cls", "label")
+
+
+def _pairs_of(label: np.ndarray, side: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """The similar pairs of one job, by row numbers, as far as they join components that the job has not joined yet."""
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    if not len(left) or not len(right):
+        return []
+    size = np.array([len(x) for x in sets])
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    name, g = np.unique(flat, return_inverse=True)
+    on_left, on_right = np.zeros((2, len(name)), bool)
+    on_left[g[side[row] != 1]] = True
+    on_right[g[side[row] != 0]] = True
+    both = on_left & on_right
+    g, row = (np.cumsum(both) - 1)[g[both[g]]], row[both[g]]
+    by_g = np.argsort(g, kind="stable")
+    g, row = g[by_g], row[by_g]
+    at_left, at_right = np.zeros((2, len(sets)), np.int64)
+    at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
+    common = np.zeros((len(left), len(right)), np.float32)
+    n_both = int(both.sum())
+    for start in range(0, n_both, COLUMNS):
+        wide = min(COLUMNS, n_both - start)
+        a, b = np.searchsorted(g, [start, start + wide])
+        x, y = np.zeros((len(left), wide), np.float32), np.zeros((len(right), wide), np.float32)
+        r, c = row[a:b], g[a:b] - start
+        x[at_left[r[side[r] != 1]], c[side[r] != 1]] = 1
+        y[at_right[r[side[r] != 0]], c[side[r] != 0]] = 1
+        common += x @ y.T
+    common = common.astype(np.int64)
+    near = (den * common >= num * (size[left][:, None] + size[right][None, :] - common)) & (label[left][:, None] != label[right][None, :])
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while x in root:
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(near), strict=True):
+        a, b = find(int(label[left[i]])), find(int(label[right[j]]))
+        if a != b:
+            root[a] = b
+            out.append((left[i], right[j]))
+    return out
+
+
+def _across(num: int, den: int):
+    """Rows (job, side, cls, label, shingles), sorted by job -> links (a, b)."""
+
+    def links(t: pa.Table) -> list[tuple[int, int]]:
+        job = t.column(0).to_numpy()
+        cls, label, side = t.column(2).to_numpy(), t.column(3).to_numpy(), t.column(1).to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column(4)]
+        cuts = [0, *(np.flatnonzero(job[1:] != job[:-1]) + 1).tolist(), len(job)]
+        found = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            found += [(cls[a + i], cls[a + j]) for i, j in _pairs_of(label[a:b], side[a:b], sets[a:b], num, den)]
+        return [(min(x, y), max(x, y)) for x, y in found]
+
+    def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        ab = np.array(found, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
 
-def _across(few: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs of strays of different components, each met in the first bucket that both are in."""
-    keep = ["key", "cls", "label", "c", "size", "mask", "own"]
-    x, y = few.select(*keep).withColumnsRenamed({k: f"{k}_x" for k in keep}), few.select(*keep).withColumnsRenamed({k: f"{k}_y" for k in keep})
-    # No collection before the last of the key is shared but those in the key.
-    common = F.array_intersect("c_x", "c_y")
-    first = F.size(F.filter(common, lambda z: (z["bit"] < F.col("mask_x")) & (z["bit"].bitwiseAND(F.col("mask_x")) == 0) & (z["bit"] * 2 <= F.col("mask_x")))) == 0
-    pairs = x.join(y, (F.col("key_x") == F.col("key_y")) & (F.col("cls_x") < F.col("cls_y")) & (F.col("label_x") != F.col("label_y")) & _can_match(F.col("size_x"), F.col("own_x"), F.col("size_y"), F.col("own_y"), threshold) & first)
-    return pairs.select(F.col("cls_x").alias("a"), F.col("cls_y").alias("b"))
+    def run(batches):
+        held: list[pa.RecordBatch] = []  # of the last job, which may go on
+        for batch in batches:
+            if not len(batch):
+                continue
+            job = batch.column(0).to_numpy()
+            if held and held[0].column(0)[0].as_py() != job[0]:
+                yield batch_of(links(pa.Table.from_batches(held)))
+                held = []
+            first = int(np.searchsorted(job, job[-1]))
+            if first:
+                yield batch_of(links(pa.Table.from_batches([*held, batch.slice(0, first)])))
+                held = []
+            held.append(batch.slice(first))
+        if held:
+            yield batch_of(links(pa.Table.from_batches(held)))
+
+    return run
 
 
 def near_duplicates(
@@ -251,26 +321,16 @@ def near_duplicates(
 
     tested = scratch(_proposals(_buckets(shared, None), threshold), "pairs")
     member = components(_verified(tested, sets, threshold))
-    buckets, own = _buckets(shared, member), None
-    while True:  # ends: each round adds a collection to the keys
-        strays = scratch(_strays(buckets), "strays")
-        if strays.isEmpty():
-            break
-        fits = F.filter("reps", lambda r: _fits(F.col("size"), r["size"], threshold))
-        met = strays.select("cls", "size", fits.alias("reps")).groupBy("cls", "size").agg(F.array_distinct(F.flatten(F.collect_list("reps"))).alias("reps"))  # at most four for each key of a class
-        met = scratch(met.select("cls", "size", F.explode_outer("reps").alias("r")).select("cls", "size", F.col("r.cls").alias("rep"), F.col("r.size").alias("rep_size")), "met")
-        if own is None:  # later rounds have no other classes
-            own = _own(sets, met.select("cls").unionByName(met.filter("rep is not null").select(F.col("rep").alias("cls"))))
-        of_rep = own.select(F.col("cls").alias("rep"), F.col("own").alias("rep_own"))
-        met = met.join(own, "cls", "left").join(of_rep, "rep", "left").fillna(0, ["own", "rep_own"]).filter(_can_match(F.col("size"), F.col("own"), F.col("rep_size"), F.col("rep_own"), threshold))
-        # One whose own shingles alone rule out any match goes.
-        strays = strays.join(own, "cls", "left").fillna(0, ["own"]).filter(threshold[1] * (F.col("size") - F.col("own")) >= threshold[0] * F.col("size"))
-        fresh = met.select(F.least("cls", "rep").alias("a"), F.greatest("cls", "rep").alias("b")).unionByName(_across(strays.filter(F.col("n") <= small), threshold))
-        fresh = scratch(fresh.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(fresh)
-        member = extended(member, _verified(fresh, sets, threshold))
-        longer = scratch(_longer(strays.filter(F.col("n") > small)), "longer")
-        buckets = longer.join(member, longer["cls"] == member["id"], "left").select("cls", F.coalesce("component", "cls").alias("label"), "c", "size", "mask", "key")
+    buckets = _buckets(shared, member)
+    mixed = buckets.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("key")
+    hand = scratch(buckets.join(mixed.hint("merge"), "key", "left_semi").groupBy("cls").agg(F.min("label").alias("label"), F.min("size").alias("size"), F.first("c").alias("c")), "mixed")
+    # One whose own shingles alone rule out any match goes.
+    own = _own(sets, hand.select("cls"))
+    hand = hand.join(own, "cls", "left").fillna(0, ["own"]).filter(threshold[1] * (F.col("size") - F.col("own")) >= threshold[0] * F.col("size"))
+    jobs = _blocks(scratch(hand.select("cls", "label", "size", F.explode("c.v").alias("v")), "hand"), small)
+    held = jobs.join(sets.hint("merge"), "cls").select("job", "side", "cls", "label", "shingles")
+    links = held.repartition("job").sortWithinPartitions("job").mapInArrow(_across(*threshold), "a long, b long")
+    member = extended(member, scratch(links.distinct(), "links"))
 
     named = classes.join(member, classes["cls"] == member["id"], "left").select("n_shingles", "s1", "s2", F.coalesce("component", "cls").alias("component_id"))
     # An empty set is a class of its own: only its own doc_id leads it.

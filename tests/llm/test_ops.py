@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -127,6 +128,25 @@ def test_near_duplicates_against_all_pairs(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def family(n, words, edits, seed):
+    """Copies of one text with random edits: many pairs are just above or just below the threshold."""
+    pick = random.Random(seed)
+    rows = []
+    for i in range(n):
+        w = [f"w{j}" for j in range(words)]
+        for at in pick.sample(range(words), pick.randint(0, edits)):
+            w[at] = f"edit{pick.randrange(4)}at{at}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("small", [near_dedup.SMALL])
+def test_near_duplicates_of_a_large_family_against_all_pairs(spark, small):
+    rows = family(500, 120, 11, 3)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), small=small).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == groups(rows)
+
+
 def test_near_duplicates_odd_rows(odd, nothing):
     got = near_dedup.near_duplicates(odd).collect()
     by = {r["doc_id"]: r for r in got}
