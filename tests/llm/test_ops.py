@@ -140,7 +140,7 @@ def family(n, words, edits, seed):
     return rows
 
 
-@pytest.mark.parametrize("small", [near_dedup.SMALL])
+@pytest.mark.parametrize("small", [near_dedup.SMALL, 16])
 def test_near_duplicates_of_a_large_family_against_all_pairs(spark, small):
     rows = family(500, 120, 11, 3)
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), small=small).collect()
