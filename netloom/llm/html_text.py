@@ -29,7 +29,11 @@ ENDS |= {k: ({"td", "th", "tr", "caption"}, {"table"}) for k in ("tr",)} | {k: (
 ENDS |= {k: ({"td", "th", "tr", "caption", "tbody", "thead", "tfoot"}, {"table"}) for k in ("tbody", "thead", "tfoot")}
 CELL = ({"p"}, {"td", "th", "table", "caption", "button"})
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-HIDDEN = re.compile(r"""(?:^|[\s"'])hidden(?=[\s=/]|$)|style\s*=\s*["']?[^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)|type\s*=\s*["']?hidden""", re.I)
+#: Name and value (quoted, in a quote that never ends, or bare) of an attribute.
+ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>]*)))?""")
+MAY_HIDE = re.compile("hidden|style", re.I)
+#: Comments and strings of a style.
+QUOTED = re.compile(r"""/\*.*?(?:\*/|\Z)|"[^"]*"|'[^']*'""", re.S)
 SPAN = re.compile(r"""colspan\s*=\s*["']?(\d{1,3})""", re.I)
 START = re.compile(r"""start\s*=\s*["']?(-?\d{1,9})""", re.I)
 BLANK = re.compile(r"[ \t\n\r\f]+")
@@ -75,6 +79,25 @@ class Frame:
             self.close(keep=True)
 
 
+def hides(attrs: str) -> bool:
+    """Whether attributes hide their element: by the attribute hidden, or by display or visibility of the style. The first of attributes of one name counts, the last of declarations."""
+    if not MAY_HIDE.search(attrs):
+        return False
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attrs):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    if "hidden" in found:
+        return True
+    style: dict[str, tuple[bool, str]] = {}
+    for d in QUOTED.sub(" ", html.unescape(found.get("style", ""))).lower().split(";"):
+        name, _, value = (x.strip() for x in d.partition(":"))
+        plain = value.removesuffix("important").rstrip().removesuffix("!").rstrip() if value.endswith("important") else value
+        important = plain != value
+        if plain and not (name in style and style[name][0] and not important):
+            style[name] = (important, plain)
+    return style.get("display", (0, ""))[1] == "none" or style.get("visibility", (0, ""))[1] == "hidden"
+
+
 def lay_out(rows: list[list[tuple[list[str], int]]]) -> list[str]:
     """Lines of a table, from rows of (lines of a cell, columns it spans)."""
     rows = [r for r in rows if any(c for c, _ in r)]
@@ -173,7 +196,7 @@ def render(page: str | None) -> tuple[str, int, int]:
         if name in ("td", "th") and tables and shown() and not (stack and stack[-1][0] == "tr"):
             stack.append(("tr", False, False))
             tables[-1].append([])
-        hidden = not shown() or name in UNSEEN or bool(attrs and HIDDEN.search(attrs))
+        hidden = not shown() or name in UNSEEN or bool(attrs and hides(attrs))
         f = frames[-1]
         if not hidden:
             if name == "br":

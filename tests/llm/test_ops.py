@@ -208,6 +208,13 @@ def test_html_keeps_all_visible_words(spark):
         assert not {w for w in missing if "<" not in w and ">" not in w}, (r["page_id"], missing)
 
 
+def test_html_visibility_is_told_by_attributes():
+    for shown in ('class="hidden md:block"', 'class="a hidden b"', 'title="The hidden lake"', 'data-type="hidden"', "title='style=display:none'", 'data-style="display:none"', "aria-hidden=true", 'style="display:none;display:block"', """style="font-family:'display:none'" """, 'title="a hidden'):
+        assert html_text.render(f"<p>a</p><div {shown}>text</div>")[0] == "a\n\ntext", shown
+    for unseen in ("hidden", "HIDDEN=''", "class=x hidden", """style="font-family:'x';display:none" """, "style=display:none", 'style="Visibility : HIDDEN !important; visibility: visible"', "style='color:red;/* ; */display:none'"):
+        assert html_text.render(f"<p>a</p><div {unseen}>text</div>")[0] == "a", unseen
+
+
 def test_html_odd_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (None, "<p>x"), (3, "<" * 2000), (3, "</td></p></b>"), (4, "<div>" * 3000 + "deep"), (5, "<table><td>a<table><tr><td>b</table>"), (6, "a < b <i x='")], "page_id long, html string")
     got = {r["page_id"]: r["text"] for r in html_text.extract_text(df.withColumn("text", F.lit("z"))).collect()}
