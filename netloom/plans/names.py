@@ -187,7 +187,7 @@ def overlay_replace(spark: SparkSession, d: str) -> DataFrame:
 )
 def wikitext_counts(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id")
-    t = F.concat(F.substring("text", 1, 500), F.lit(" |stations = "), (k % 97).cast("string"), F.lit(" x | Stations="), (k % 31).cast("string"))
+    t = F.concat(F.lit(" |stations = "), (k % 97).cast("string"), F.lit(" x | Stations="), (k % 31).cast("string"), F.lit(" "), "text")
     return table(spark, d, "documents").select("doc_id", T.wikitext_station_count(t).alias("n"))
 
 

@@ -41,3 +41,10 @@ def test_entry_without_training_data(monkeypatch):
     monkeypatch.setattr(importlib, "import_module", broken)
     with pytest.raises(ModuleNotFoundError):
         e.queries()
+
+
+def test_wikitext_counts_reads_whole_texts(spark, tmp_path):
+    rows = [(1, "x" * 600 + " |stations = 4321"), (2, "no template"), (3, "x" * 20_000 + " |stations = 4321"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["n"] for r in FOUND["wikitext_counts"].fn(spark, str(tmp_path)).collect()}
+    assert got == {1: 4321, 2: 2, 3: 3, 4: None}
