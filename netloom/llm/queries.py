@@ -49,7 +49,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
-    return cut.select("doc_id", F.col("__nl_lines").alias("n_lines"), F.col("__nl_removed").alias("n_removed"), digest.alias("kept_sha256"))
+    return cut.select("doc_id", F.col("__nl_lines").alias("n_lines"), F.col("__nl_removed").alias("n_removed"), F.col("__nl_longest").alias("longest_run"), digest.alias("kept_sha256"))
 
 
 QUERIES = {

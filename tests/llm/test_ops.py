@@ -379,8 +379,74 @@ def test_lines_later_copies_go(spark):
     assert got[1] == (rows[0][1], 0) and got[2] == ("\nz", 4) and got[3] == ("a\nb", 0) and got[4] == ("one two three four five\nq", 1) and got[5] == ("", 1)
 
 
+def runs_by_sorting(rows, least=4):
+    """Maximal runs from a suffix array of sorted Python lists. Lines are ordered by first appearance: which neighbours a run gets depends on that order, its length and ends do not."""
+    where = [(i, [(n, x) for n, x in enumerate(t.split("\n")) if WORD.search(x)]) for i, t in rows]
+    seen = Counter(x for _, ls in where for _, x in ls)
+    suffixes = []
+    for i, ls in where:
+        for at in range(len(ls)):
+            end = at
+            while end < len(ls) and seen[ls[end][1]] > 1:
+                end += 1
+            if end > at:
+                before = ls[at - 1][1] if at and seen[ls[at - 1][1]] > 1 else None
+                suffixes.append(([x for _, x in ls[at:end]], before, i, ls[at][0]))
+    suffixes.sort(key=lambda s: (s[0], s[2], s[3]))
+    longest = Counter()
+    for a, b in zip(suffixes, suffixes[1:]):
+        n = next((k for k, (x, y) in enumerate(zip(a[0], b[0])) if x != y), min(len(a[0]), len(b[0])))
+        if n >= least:
+            for s in (a, b):
+                longest[(s[2], s[3])] = max(n, longest[(s[2], s[3])])
+    return longest, {(s[2], s[3]): s for s in suffixes}
+
+
+def test_a_run_is_one_row(spark):
+    rows, want = [], set()
+    for n in (4, 5, 7, 8, 31, 64, 100):
+        run = [f"line {k} of {n}" for k in range(n)]
+        rows += [(10 * n, "\n".join(["x", *run, "y"])), (10 * n + 1, "\n".join([*run, "", f"z {n}"])), (10 * n + 2, "\n".join([f"q {n}", "", *run[:3]]))]
+        want.add((n, frozenset({(10 * n, 1), (10 * n + 1, 0)})))
+    got = line_dedup.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["n_lines"], frozenset({(r["doc_id"], r["line"]), (r["other_id"], r["other_line"])})) for r in got} == want and len(got) == len(want)
+
+
+def test_runs_against_a_sorted_suffix_array(spark):
+    pick = random.Random(5)
+    pool = [[f"l{k}" for k in pick.sample(range(40), pick.randint(1, 30))] for _ in range(12)]
+    rows = []
+    for i in range(60):
+        ls = []
+        for _ in range(pick.randint(1, 4)):
+            p = pool[pick.randrange(12)]
+            a = pick.randrange(len(p))
+            ls += p[a : a + pick.randint(1, 30)] + (["", f"own {i}"] if pick.random() < 0.5 else ["same"] * pick.randint(0, 6))
+        rows.append((i, "\n".join(ls)))
+    rows += [(100, "same\n" * 70), (101, "same\n" * 33)]
+    got = line_dedup.repeated_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    longest, suffix = runs_by_sorting(rows)
+    for r in got:
+        a, b = suffix[(r["doc_id"], r["line"])], suffix[(r["other_id"], r["other_line"])]
+        n = next((k for k, (x, y) in enumerate(zip(a[0], b[0])) if x != y), min(len(a[0]), len(b[0])))
+        assert n == r["n_lines"] and (a[1] is None or a[1] != b[1])
+    # the longest run of each document, and of each first place of a run, is among the rows
+    for i in {i for i, _ in longest}:
+        assert max(n for (d, _), n in longest.items() if d == i) == max(r["n_lines"] for r in got if i in (r["doc_id"], r["other_id"]))
+
+
+def test_lines_clashing_columns_long_texts_and_ids(spark, odd):
+    got = line_dedup.drop_repeated_lines(odd.withColumns({"line": F.lit(1), "n": F.lit(2), "r": F.lit(3), "id": F.lit(4), "a.b": F.lit(5), "long": F.lit(6)}))
+    assert got.columns[:8] == [*odd.columns] and got.count() == 9 and "a.b" in got.columns
+    long_ = "\n".join(f"words of line number {k} here" for k in range(30_000))
+    rows = [(1, long_), (1, "other words of one id\nx"), (2, "y\n" + long_ + "\nend of it all now ok")]
+    by = {(r["doc_id"], r["__nl_lines"]): r for r in line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert by[(1, 30_000)]["__nl_removed"] == 0 and by[(2, 30_002)]["__nl_removed"] == 30_000 and by[(2, 30_002)]["__nl_longest"] == 30_000
+    assert by[(2, 30_002)]["text"] == "y\nend of it all now ok" and by[(1, 2)]["__nl_longest"] == 0
+
+
 def test_lines_odd_rows(odd, nothing):
-    got = line_dedup.drop_repeated_lines(odd.drop("n_words")).collect()
+    got = line_dedup.drop_repeated_lines(odd).collect()
     by = {r["doc_id"]: r for r in got}
     assert len(got) == 9 and by[1]["text"] is None and by[2]["text"] == "" and by[6]["__nl_removed"] == 1 and [r["__nl_removed"] for r in got if r["doc_id"] == 4] == [0, 0]
     assert line_dedup.drop_repeated_lines(nothing).count() == 0
