@@ -286,7 +286,7 @@ def test_mixing_odd_rows(odd, nothing):
 # 7: substring dedup
 
 
-def cut(rows, n=35):
+def cut(rows, n=35, sort=True):
     words = [WORD.findall(t or "") for _, t in rows]
     seen = Counter(tuple(w[i : i + n]) for w in words for i in range(len(w) - n + 1))
     out = []
@@ -294,15 +294,18 @@ def cut(rows, n=35):
         gone = {j + k for j in range(len(w) - n + 1) if seen[tuple(w[j : j + n])] > 1 for k in range(n)}
         kept = " ".join(x for j, x in enumerate(w) if j not in gone)
         out.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
-    return sorted(out)
+    return sorted(out) if sort else out
 
 
-@pytest.mark.parametrize("cells", [substring_dedup.BLOCK, substring_dedup.MAX_CELLS])
-def test_substrings_against_brute_force(spark, cells):
+@pytest.mark.parametrize("most_blocks", [substring_dedup.MOST_BLOCKS, 1])
+def test_substrings_against_brute_force(spark, monkeypatch, most_blocks):
+    monkeypatch.setattr(substring_dedup, "MOST_BLOCKS", most_blocks)
+    monkeypatch.setattr(substring_dedup, "HELD", 1 << 22 if most_blocks > 1 else 100)
     passage = " ".join(f"p{j}" for j in range(60))
     rows = texts(spark)[:40] + [(9000 + i, f"a{i} b{i} {passage} c{i}") for i in range(6)] + [(9100, "Und " * 100), (9101, passage + " " + passage), (9102, " ".join(passage.split()[:34]))]
-    got = substring_dedup.remove_repeated_windows(spark.createDataFrame(rows, "doc_id long, text string"), max_cells=cells).collect()
-    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == cut(rows)
+    rows += [(9103, " ".join(f"long{j}" for j in range(400_000)) + " " + passage), (9100, passage + " other text of that id"), (None, passage)]
+    got = substring_dedup.remove_repeated_windows(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r["doc_id"] or -1), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted((i or -1, *x) for i, *x in cut(rows, sort=False))
 
 
 def test_a_saturated_sketch_loses_nothing(spark, monkeypatch):
@@ -312,6 +315,17 @@ def test_a_saturated_sketch_loses_nothing(spark, monkeypatch):
     assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == cut(rows)
 
 
+def test_the_sketch_filters_at_any_size(spark):
+    """Minimizers that pass are few where nothing repeats, with ten times the text in ten times the cells."""
+    assert all(n / 16 <= substring_dedup.cells_for(n) < n / 8 for n in (10**8, 10**11, 10**14))
+    for n in (40, 400):
+        rows = [(i, " ".join(f"{i}w{j * 31 % 5000}x{j}" for j in range(1000))) for i in range(n)]
+        keyed = substring_dedup.with_key(spark.createDataFrame(rows, "doc_id long, text string"))
+        n_bytes = sum(len(t) for _, t in rows)
+        passed = substring_dedup.repeated_minimizers(keyed, 35, 8, substring_dedup.cells_for(n_bytes)).count()
+        assert passed < 0.03 * n * 1000 * 2 / 29
+
+
 def test_substrings_odd_rows(odd, nothing, spark):
     got = substring_dedup.remove_repeated_windows(odd).collect()
     assert len(got) == 9 and all(r["n_removed"] == 0 for r in got)
