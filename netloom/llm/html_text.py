@@ -34,11 +34,17 @@ ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'
 MAY_HIDE = re.compile("hidden|style", re.I)
 #: Comments and strings of a style.
 QUOTED = re.compile(r"""/\*.*?(?:\*/|\Z)|"[^"]*"|'[^']*'""", re.S)
-SPAN = re.compile(r"""colspan\s*=\s*["']?(\d{1,3})""", re.I)
-START = re.compile(r"""start\s*=\s*["']?(-?\d{1,9})""", re.I)
+SHEET = re.compile(r"<style(?=[\s>])[^>]*>(.*?)(?:</style|\Z)", re.I | re.S)
+#: Rules for print, fonts and the like; rules; selectors of one element by its name, id and classes.
+AT_RULE = re.compile(r"@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}|\Z)")
+RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+SELECTOR = re.compile(r"(\*|[a-z][\w-]*)?((?:[#.][\w-]+)*)", re.I)
+INLINE = (1, 0, 0, 0)
 BLANK = re.compile(r"[ \t\n\r\f]+")
-#: A table whose cells are single lines of up to this many characters is aligned; others are laid out cell by cell.
-CELL_CHARS = 120
+#: Lines of cells are broken at spaces to this many characters where a table has several columns.
+WRAP = 120
+#: Spans beyond this count as this, as browsers bound them too.
+MOST_SPAN = 1000
 
 
 class Frame:
@@ -79,62 +85,132 @@ class Frame:
             self.close(keep=True)
 
 
-def hides(attrs: str) -> bool:
-    """Whether attributes hide their element: by the attribute hidden, or by display or visibility of the style. The first of attributes of one name counts, the last of declarations."""
-    if not MAY_HIDE.search(attrs):
-        return False
+def attributes(attrs: str) -> dict[str, str]:
+    """Names and values; the first of attributes of one name counts."""
     found: dict[str, str] = {}
     for m in ATTRIBUTE.finditer(attrs):
         found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
-    if "hidden" in found:
-        return True
-    style: dict[str, tuple[bool, str]] = {}
-    for d in QUOTED.sub(" ", html.unescape(found.get("style", ""))).lower().split(";"):
+    return found
+
+
+def declarations(style: str) -> list[tuple[str, bool, str]]:
+    """(property, important, value) of what a style says about display and visibility."""
+    out = []
+    for d in QUOTED.sub(" ", style).lower().split(";"):
         name, _, value = (x.strip() for x in d.partition(":"))
         plain = value.removesuffix("important").rstrip().removesuffix("!").rstrip() if value.endswith("important") else value
-        important = plain != value
-        if plain and not (name in style and style[name][0] and not important):
-            style[name] = (important, plain)
-    return style.get("display", (0, ""))[1] == "none" or style.get("visibility", (0, ""))[1] == "hidden"
+        if name in ("display", "visibility") and plain:
+            out.append((name, plain != value, plain))
+    return out
 
 
-def lay_out(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Lines of a table, from rows of (lines of a cell, columns it spans)."""
-    rows = [r for r in rows if any(c for c, _ in r)]
-    if any(len(c) > 1 or (c and len(c[0]) > CELL_CHARS) for r in rows for c, _ in r):
-        return [s for r in rows for c, _ in r for s in c]
-    width: dict[int, int] = {}
-    for r in rows:
-        at = 0
-        for c, span in r:
-            if span == 1:
-                width[at] = max(width.get(at, 0), len(c[0]) if c else 0)
-            at += span
+def style_sheet(page: str) -> list[tuple[str, set, set, tuple, list]]:
+    """(element, ids, classes, specificity, declarations) of the rules about visibility in a page's style sheets, in order. Selectors that look at more than one element, and rules for some media only, are left out."""
+    rules = []
+    for m in SHEET.finditer(page):
+        for r in RULE.finditer(AT_RULE.sub(" ", QUOTED.sub(" ", m[1]))):
+            said = declarations(r[2])
+            for one in r[1].split(",") if said else ():
+                k = SELECTOR.fullmatch(one.strip())
+                if k and one.strip():
+                    ids, classes = ({x[1:] for x in re.findall(rf"[{c}][\w-]+", k[2])} for c in "#.")
+                    name = (k[1] or "*").lower()
+                    rules.append((name, ids, classes, (0, len(ids), len(classes), int(name != "*")), said))
+    return rules
+
+
+def visibility(name: str, attrs: str, sheet: list) -> tuple[bool, str | None]:
+    """Whether an element is not there at all, and the visibility that it states for itself and its content."""
+    if not sheet and not MAY_HIDE.search(attrs):
+        return False, None
+    own = attributes(attrs)
+    said = [(INLINE, declarations(html.unescape(own.get("style", ""))))]
+    if sheet:
+        classes, ids = set(own.get("class", "").split()), {own.get("id", "")}
+        said = [(k, d) for n, i, c, k, d in sheet if n in ("*", name) and i <= ids and c <= classes] + said
+    won: dict[str, tuple] = {}
+    for rank, decls in said:  # of equal rank the last counts
+        for prop, important, value in decls:
+            if prop not in won or (important, rank) >= won[prop][:2]:
+                won[prop] = (important, rank, value)
+    display = won["display"][2] if "display" in won else "none" if "hidden" in own else ""
+    return display == "none", won["visibility"][2] if "visibility" in won else None
+
+
+def _wrapped(lines: list[str], wide: int) -> list[str]:
+    """Lines broken at spaces; words that are longer stay whole."""
     out = []
+    for s in lines:
+        while len(s) > wide:
+            cut = s.rfind(" ", 1, wide + 1)
+            cut = cut if cut > 0 else s.find(" ", wide)
+            if cut < 0:
+                break
+            out.append(s[:cut])
+            s = s[cut + 1 :]
+        out.append(s)
+    return out
+
+
+def lay_out(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Lines of a table, from rows of (lines of a cell, columns, rows that it spans). A row has as many lines as its tallest cell; a cell over several rows stands in its first."""
+    grid, taken = [], {}  # taken: column -> rows that a cell above still reaches into
     for r in rows:
-        at, parts = 0, []
-        for c, span in r:
-            room = sum(width.get(at + k, 0) for k in range(span)) + 3 * (span - 1)
-            parts.append((c[0] if c else "").ljust(room))
-            at += span
-        out.append(" | ".join(parts).rstrip())
+        at, line = 0, []
+        for cell, wide, high in r:
+            while taken.get(at):
+                at += 1
+            line.append((at, cell, wide))
+            for k in range(at, at + wide):
+                taken[k] = max(taken.get(k, 0), high)
+            at += wide
+        taken = {k: n - 1 for k, n in taken.items() if n > 1}
+        grid.append(line)
+    grid = [r for r in grid if any(c for _, c, _ in r)]
+    if max((at + wide for r in grid for at, _, wide in r), default=0) > 1:
+        grid = [[(at, _wrapped(c, WRAP), wide) for at, c, wide in r] for r in grid]
+    width: dict[int, int] = {}
+    for one in (True, False):
+        for at, cell, wide in (x for r in grid for x in r if (x[2] == 1) == one):
+            need, last = max(map(len, cell), default=0), at + wide - 1
+            room = sum(width.get(k, 0) for k in range(at, last)) + 3 * (wide - 1)
+            width[last] = max(width.get(last, 0), need - room)
+    out = []
+    for r in grid:
+        for n in range(max(len(c) for _, c, _ in r)):
+            parts, reached = [], 0
+            for at, cell, wide in r:
+                parts += [" " * width.get(k, 0) for k in range(reached, at)]
+                room = sum(width.get(k, 0) for k in range(at, at + wide)) + 3 * (wide - 1)
+                parts.append((cell[n] if n < len(cell) else "").ljust(room))
+                reached = at + wide
+            out.append(" | ".join(parts).rstrip())
     return out
 
 
+def _number(value: str, otherwise: int) -> int:
+    m = re.match(r"\s*(-?\d{1,9})", value)
+    return int(m[1]) if m else otherwise
+
+
 def render(page: str | None) -> tuple[str, int, int]:
     """The visible text of a page, and how many list items and tables it holds; empty for null."""
     page = page or ""
     end = page.rfind(">") + 1
+    sheet = style_sheet(page) if SHEET.search(page) else []
     frames, tables, lists = [Frame()], [], []
-    stack: list[tuple[str, bool, bool]] = []  # name, hidden, pre
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, not there, pre, visible
     n_items = n_tables = 0
 
-    def shown() -> bool:
+    def there() -> bool:
         return not (stack and stack[-1][1])
 
+    def shown() -> bool:
+        return not stack or (not stack[-1][1] and stack[-1][3])
+
     def pop() -> None:
-        name, hidden, _ = stack.pop()
-        if hidden:
+        name, gone, _, _ = stack.pop()
+        if gone:
             return
         f = frames[-1]
         if name in ("td", "th") and tables:
@@ -177,7 +253,7 @@ def render(page: str | None) -> tuple[str, int, int]:
         attrs = m[3] or m[6] or ""
         if m[1] or m[4]:
             if name == "br":
-                if shown():
+                if there():
                     frames[-1].close()
                 continue
             shields = set() if name in ("html", "body", "table") else {"table"} if name in ("td", "th", "tr", "tbody", "thead", "tfoot") else {"td", "th", "table"}
@@ -193,19 +269,22 @@ def render(page: str | None) -> tuple[str, int, int]:
             end_of(*CELL)
         if name in ENDS:
             end_of(*ENDS[name])
-        if name in ("td", "th") and tables and shown() and not (stack and stack[-1][0] == "tr"):
-            stack.append(("tr", False, False))
+        if name in ("td", "th") and tables and there() and not (stack and stack[-1][0] == "tr"):
+            stack.append(("tr", False, False, shown()))
             tables[-1].append([])
-        hidden = not shown() or name in UNSEEN or bool(attrs and hides(attrs))
+        gone, stated = visibility(name, attrs, sheet) if attrs or sheet else (False, None)
+        gone = gone or not there() or name in UNSEEN
+        visible = (not stack or stack[-1][3]) if stated in (None, "inherit") else stated not in ("hidden", "collapse")
         f = frames[-1]
-        if not hidden:
+        if not gone:
             if name == "br":
                 f.close()
             elif name in ("td", "th") and tables:
                 if not tables[-1]:
                     tables[-1].append([])
-                span = SPAN.search(attrs)
-                tables[-1][-1].append(([], max(1, int(span[1])) if span else 1))
+                own = attributes(attrs) if "span" in attrs.lower() else {}
+                wide, high = (min(MOST_SPAN, max(1, _number(own.get(k, ""), 1))) for k in ("colspan", "rowspan"))
+                tables[-1][-1].append(([], wide, high))
                 frames.append(Frame())
             elif name == "tr" and tables:
                 tables[-1].append([])
@@ -216,10 +295,9 @@ def render(page: str | None) -> tuple[str, int, int]:
             elif name in BLOCKS:
                 f.close(BLOCKS[name] if not (name in ("ul", "ol", "menu") and lists) else 0)
                 if name in ("ul", "ol", "menu"):
-                    start = START.search(attrs)
-                    lists.append([int(start[1]) if start else 1, name == "ol"])
+                    lists.append([_number(attributes(attrs).get("start", ""), 1), name == "ol"])
                 elif name == "li":
-                    n_items += 1
+                    n_items += visible
                     mark = "- "
                     if lists and lists[-1][1]:
                         mark = f"{lists[-1][0]}. "
@@ -227,11 +305,11 @@ def render(page: str | None) -> tuple[str, int, int]:
                     f.marks.append([mark, len(mark)])
         if name in VOID or attrs.endswith("/") and name not in BLOCKS:
             continue
-        stack.append((name, hidden, name == "pre" or bool(stack and stack[-1][2])))
+        stack.append((name, gone, name == "pre" or bool(stack and stack[-1][2]), visible))
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at, end)
             stop = close.start() if close else end
-            if not hidden:
+            if not gone and visible:
                 frames[-1].text(html.unescape(page[at:stop]), True)
             at = stop
     if at < len(page) and shown():
@@ -248,12 +326,16 @@ def extract_text(pages: DataFrame) -> DataFrame:
     All visible text is kept, in order: blocks on lines of their own with a
     blank line around paragraphs, headings, lists and tables, list items with
     their marks and indents, preformatted text as it is, cells of a table in
-    aligned columns. Scripts, styles, the head and elements hidden by attribute
-    or inline style are left out. Broken markup is rendered as browsers would
-    guess; a tag that never ends is text.
+    aligned columns, also over several columns and rows; a row with a cell of
+    several lines has several lines. Scripts, the head and elements hidden by
+    attribute, by their style or by a style sheet of the page are left out;
+    content that is made visible again inside hidden content is kept. Of style
+    sheets, selectors of one element count (``p``, ``.a.b``, ``#x``), by
+    specificity and order; nested ones and those for some media do not. Broken
+    markup is rendered as browsers would guess; a tag that never ends is text.
 
-    Null and empty pages give the empty string. Repeated rows and null ids are
-    passed through. Extra columns are ignored; an empty table gives an empty
+    Null and empty pages give the empty string; very long ones are read whole.
+    Repeated rows and null ids are passed through. Extra columns are ignored; an empty table gives an empty
     result.
     """
     pages = pages.select(F.col("page_id"), F.col("html").cast("string").alias("html"))

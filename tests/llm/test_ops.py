@@ -215,6 +215,101 @@ def test_html_visibility_is_told_by_attributes():
         assert html_text.render(f"<p>a</p><div {unseen}>text</div>")[0] == "a", unseen
 
 
+def test_html_tables():
+    t = html_text.render
+    assert t("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>")[0] == "a | b\n  | c"
+    assert t("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td colspan=2>wide cell<td>d</table>")[0] == "a | b\n  | c\nwide cell | d"
+    assert t("<table><tr><td>a<td colspan=2>b<tr><td>c<td>d<td>e</table>")[0] == "a | b\nc | d | e"
+    assert t("<table><tr><td>one<br>two<td>x<tr><td>three<td>y</table>")[0] == "one   | x\ntwo   |\nthree | y"
+    long_ = " ".join(f"w{k}" for k in range(60))
+    got = t(f"<table><tr><td>{long_}<td>x<tr><td>short<td>y</table>")[0].split("\n")
+    assert len({s.index("|") for s in got}) == 1 and " ".join(s.split("|")[0].strip() for s in got) == long_ + " short" and [s.split("|")[1].strip() for s in got if s.split("|")[1].strip()] == ["x", "y"]
+    assert t(f"<table><tr><td>{long_}</table>")[0] == long_
+
+
+def test_html_style_sheets():
+    t = lambda css, body: html_text.render(f"<head><style>{css}</style></head>{body}")[0]
+    assert t(".h{display:none}", "<p class='a h'>no<p class=hh>yes") == "yes"
+    assert t("#x , .y.z{ color:red; DISPLAY : none }", "<p id=x>no<p class=y>yes<p class='z y'>no") == "yes"
+    assert t("p{display:none} p.s{display:block}", "<p>no<p class=s>yes") == "yes"
+    assert t("p.s{display:none!important} p.s{display:block}", "<p class=s style='display:block'>no<p>yes") == "yes"
+    assert t("@media print{p{display:none}} div p{display:none} /* p{display:none} */", "<div><p>yes</div>") == "yes"
+    assert t(".v{visibility:hidden}", "<div class=v>no <b style='visibility:visible'>yes</b> no</div>") == "yes"
+    assert t(".v{display:none}", "<div class=v>no <b style='display:block'>no</b></div>yes") == "yes"
+    assert html_text.render("<div hidden style='display:block'>yes</div>")[0] == "yes"
+    assert html_text.render("<ul><li style='visibility:hidden'>no<li>yes</ul>")[0] == "- yes"
+
+
+def visible_words(page):
+    """A second renderer, by the standard library's parser, without layout: the words that are shown, in order. For pages whose elements are all closed."""
+    from html.parser import HTMLParser
+
+    class Words(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.open, self.out = [], []
+
+        def handle_starttag(self, tag, attrs):
+            a = dict(attrs)
+            style = (a.get("style") or "").replace(" ", "").lower()
+            if tag not in html_text.VOID:
+                hides = tag in html_text.UNSEEN or "hidden" in a or "display:none" in style or "hide" in (a.get("class") or "").split()
+                self.open.append((tag, hides or bool(self.open and self.open[-1][1])))
+            if tag not in ("b", "i", "a", "span", "em", "u", "code"):
+                self.out.append(" ")
+
+        def handle_endtag(self, tag):
+            if tag in [t for t, _ in self.open]:
+                while self.open.pop()[0] != tag:
+                    pass
+            if tag not in ("b", "i", "a", "span", "em", "u", "code"):
+                self.out.append(" ")
+
+        def handle_data(self, data):
+            if not (self.open and self.open[-1][1]):
+                self.out.append(data)
+
+    p = Words()
+    p.feed(page)
+    p.close()
+    return "".join(p.out).split()
+
+
+def test_html_against_a_second_renderer():
+    pick = random.Random(9)
+
+    def block(depth):
+        kind = pick.choice(["p", "div", "ul", "ol", "table", "h2", "pre", "section"] if depth < 4 else ["p"])
+        attrs = pick.choice(["", "", "", "", " hidden", " style='display: none'", " class='x hide'", " title='hidden > display:none'", " class='hidden'"])
+        if kind in ("p", "h2", "pre"):
+            words = [pick.choice(["<b>{}</b>", "{}", "<a href='?x=hidden'>{}</a>", "{}&amp;{}", "<span hidden>{}</span>", "{} &lt;"]).replace("{}", f"w{pick.randrange(10**6)}") for _ in range(pick.randint(0, 6))]
+            return f"<{kind}{attrs}>{' '.join(words)}</{kind}>"
+        if kind in ("ul", "ol"):
+            return f"<{kind}{attrs}>" + "".join(f"<li>w{pick.randrange(10**6)} {block(depth + 1) if pick.random() < 0.4 else ''}</li>" for _ in range(pick.randint(0, 4))) + f"</{kind}>"
+        if kind == "table":
+            return f"<table{attrs}>" + "".join("<tr>" + "".join(f"<td{pick.choice(['', ' rowspan=2', ' colspan=3'])}>w{pick.randrange(10**6)} {block(depth + 1) if pick.random() < 0.2 else ''}</td>" for _ in range(pick.randint(1, 4))) + "</tr>" for _ in range(pick.randint(1, 4))) + "</table>"
+        return f"<{kind}{attrs}>" + "".join(block(depth + 1) for _ in range(pick.randint(0, 4))) + f"</{kind}>"
+
+    for _ in range(150):
+        page = "<html><head><title>t</title><style>.hide{display:none}</style></head><body>" + "".join(block(0) for _ in range(6)) + "</body></html>"
+        marks = lambda x: x in ("|", "-") or re.fullmatch(r"\d+\.", x)
+        got, want = [w for w in html_text.render(page)[0].split() if not marks(w)], visible_words(page)
+        assert Counter(got) == Counter(want)
+        if "<table" not in page:
+            assert got == want
+
+
+def test_html_pages_against_a_second_renderer(spark):
+    from html.parser import HTMLParser
+
+    assert HTMLParser
+    for r in spark.read.parquet(f"{DATA}/pages.parquet").collect():
+        page = re.sub(r"(?is)<style.*?</style>", "", r["html"] or "")
+        marks = lambda x: x in ("|", "-") or re.fullmatch(r"\d+\.", x)
+        missing = Counter(w for w in visible_words(page) if not marks(w)) - Counter(html_text.render(page)[0].split())
+        assert not {w for w in missing if "<" not in w and ">" not in w}, r["page_id"]
+
+
 def test_html_odd_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (None, "<p>x"), (3, "<" * 2000), (3, "</td></p></b>"), (4, "<div>" * 3000 + "deep"), (5, "<table><td>a<table><tr><td>b</table>"), (6, "a < b <i x='")], "page_id long, html string")
     got = {r["page_id"]: r["text"] for r in html_text.extract_text(df.withColumn("text", F.lit("z"))).collect()}
