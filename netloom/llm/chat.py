@@ -70,7 +70,7 @@ def format_chats(conversations: DataFrame, template: dict | None = None, machine
 
     Turns are ordered by turn, nulls first, ties by role and text. Null texts
     and roles are empty strings. Repeated rows are turns of their own. Rows with
-    a null conv_id form one conversation. A conversation is one output string,
+    a null conv_id form one conversation. Very long texts are escaped whole. A conversation is one output string,
     so one group: its turns meet in one row. Extra columns are ignored; an empty
     table gives an empty result.
     """
@@ -114,11 +114,13 @@ def read_back(formatted: Column, template: dict | None = None) -> Column:
     return F.transform(found, turn)
 
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """What format_chats gives -> per conversation the counts and digests of what its output says."""
-    turns = F.array_join(F.transform(read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
-    return formatted.select("conv_id", F.size(read_back(F.col("formatted"))).cast("long").alias("n_turns"), "valid", turns.alias("turns"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars")).select(
+def digests(formatted: DataFrame, template: dict | None = None) -> DataFrame:
+    """What format_chats gives -> per conversation the counts and digests of what its formatted text says: turns and loss mask are parsed back from it."""
+    masked = [k for k, (_, _, loss) in (template or TEMPLATE).items() if loss]
+    back = formatted.select("conv_id", "valid", "formatted", read_back(F.col("formatted"), template).alias("back"))
+    turns = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join(F.transform(F.filter("back", lambda t: t["role"].isin(*masked)), lambda t: t["text"]), "")
+    return back.select("conv_id", F.size("back").cast("long").alias("n_turns"), "valid", turns.alias("turns"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars")).select(
         "conv_id",
         "n_turns",
         F.sha2(F.encode("turns", "UTF-8"), 256).alias("turns_sha256"),

@@ -54,9 +54,11 @@ def same_key(a: DataFrame, b: DataFrame) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or where that is unset one of our own."""
+    """The shared folder for intermediate tables: spark.checkpoint.dir. Where that is unset, a session on one machine gets a folder of its own; a cluster is told to set it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="netloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

@@ -13,9 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The bound on what is learned from: this many texts a language, this many characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 96, 3000
-DICTIONARY = 1 << 17
+#: The bound on what is learned from: whole texts, by language, until they have so many bytes together, and so many at most.
+DICTIONARY, SAMPLE_DOCS = 1 << 17, 256
+#: Longer texts are taken only where shorter ones do not fill the dictionary.
+SHORT = 4000
 PIECE, LEVEL = 4096, 6
 #: Rejected if the best size is not smaller than the next by this share.
 MARGIN = 0.01
@@ -29,20 +30,26 @@ def normal(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace").translate(TO_SPACE).translate(None, NOISE.translate(None, b" "))
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
-    """Dictionaries by language from docs(doc_id, text, lang): the rows with the least hashes of each language.
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, n_bytes: int = DICTIONARY) -> dict[str, bytes]:
+    """Dictionaries by language from docs(doc_id, text, lang): whole texts, in order of a hash of the id, short ones first.
 
-    Rows with null text, lang or doc_id teach nothing. The number of languages
-    is taken to be a few hundred at most; each adds ``sample_docs`` short texts.
+    A text is taken if those before it have fewer than ``n_bytes`` together, so
+    a dictionary ends with the text that fills it. Rows with null text, lang or
+    doc_id teach nothing. The number of languages is taken to be a few hundred
+    at most.
     """
-    rows = docs.filter("lang is not null and text is not null and doc_id is not null")
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(w)).filter(F.col("n") <= sample_docs).select("doc_id").distinct()
-    chosen = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "doc_id", F.substring("text", 1, sample_chars).alias("text"))
+    rows = docs.filter("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang", "text")
+    order = [F.length("text") > SHORT, F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
+    w = Window.partitionBy("lang").orderBy("long", "h", "doc_id", "t")
+    ids = rows.select("lang", order[0].alias("long"), order[1].alias("h"), "doc_id", order[3].alias("t"), F.octet_length("text").alias("n"))
+    ids = ids.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= sample_docs)  # a few rows a language from here on
+    ids = ids.withColumn("before", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter(F.col("before") < n_bytes)
+    ids = ids.select("lang", "doc_id", "t").distinct()
+    chosen = rows.withColumn("t", F.xxhash64("text")).join(F.broadcast(ids), ["lang", "doc_id", "t"], "left_semi").select("lang", "doc_id", "text").distinct()
     found: dict[str, list[str]] = {}
     for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["doc_id"], r["text"])):
         found.setdefault(r["lang"], []).append(r["text"])
-    return {k: b" ".join(normal(t) for t in v)[-DICTIONARY:] for k, v in sorted(found.items())}
+    return {k: b" ".join(normal(t) for t in v) for k, v in sorted(found.items())}
 
 
 def _predict(dictionaries: dict[str, bytes], margin: float):
@@ -81,7 +88,7 @@ def _predict(dictionaries: dict[str, bytes], margin: float):
 def predict_language(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
     """docs(doc_id long, text string, ...) -> doc_id, held_out, lang_pred, score, rejected; one row per input row.
 
-    Whole texts are read, and nothing but the text. ``und`` with score 0 where
+    Whole texts are read, very long ones in pieces, and nothing but the text. ``und`` with score 0 where
     the text is null, has no letter, or nothing was learned. score grows with
     the margin between the best language and the next, from 0 to 1; rejected
     marks narrow margins. held_out is false for a null doc_id. Ties go to the

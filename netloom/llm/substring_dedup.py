@@ -126,9 +126,11 @@ def _ask(window: int, gram: int, cells: int):
                 known = n[back] > 1
                 m, of = len(g), doc[where]
                 place = where - np.searchsorted(doc, np.arange(b - a))[of]
+                # what is known asks no block, so it may go anywhere
+                to = np.where(known, -1 - (H.mix(place.astype(np.uint64) + g) % np.uint64(4096)).astype(np.int64), at.of(g))
                 who = pa.array(of + a)
                 out = pa.RecordBatch.from_arrays(
-                    [pa.array(at.of(g)), pa.array(1 + known.astype(np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(g.view(np.int64)), batch.column(0).take(who), batch.column(1).take(who), pa.array(place.astype(np.int32))],
+                    [pa.array(to), pa.array(1 + known.astype(np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(g.view(np.int64)), batch.column(0).take(who), batch.column(1).take(who), pa.array(place.astype(np.int32))],
                     QUESTION_NAMES,
                 )
                 for i in range(0, m, BATCH_ROWS):

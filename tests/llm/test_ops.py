@@ -471,6 +471,24 @@ def test_language_never_learns_from_held_out_rows(spark):
     assert held and learned.count("text") == 60 - len(held)
 
 
+def test_language_learns_whole_texts_until_full(spark):
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    short = [(i, f"s{name(i)}z " * 500, "en") for i in range(400)]
+    long_ = [(1000 + i, f"l{name(i)}z " * 9000, "xx") for i in range(9)]
+    got = language_id.fit(spark.createDataFrame(short + long_ + [(2000, "one text", "yy")], "doc_id long, text string, lang string"))
+    for k, rows in (("en", short), ("xx", long_)):
+        n = {i: got[k].count(language_id.normal(t.split()[0]) + b" ") for i, t, _ in rows}
+        assert all(n[i] in (0, len(t.split())) for i, t, _ in rows) and sum(len(t) for i, t, _ in rows if n[i]) >= language_id.DICTIONARY
+    assert got["yy"] == b"one text"
+    assert len(got["en"]) < 2 * language_id.DICTIONARY
+
+
+def test_language_long_texts_and_clashing_columns(spark, odd):
+    df = spark.createDataFrame([(1, "the cat and the dog " * 200_000), (1, "der Hund und die Katze")], "doc_id long, text string").withColumns({"held_out": F.lit("x"), "score": F.lit("y")})
+    got = language_id.predict_language(df, {"en": b"the cat and the dog sat", "de": b"der Hund und die Katze sind"}).collect()
+    assert [r["lang_pred"] for r in got] == ["en", "de"]
+
+
 def test_language_odd_rows(odd, nothing):
     got = {r["doc_id"]: r for r in language_id.identify_languages(odd).collect()}
     assert got[1]["lang_pred"] == got[2]["lang_pred"] == got[3]["lang_pred"] == "und" and got[7]["lang_pred"] != "und"
