@@ -340,6 +340,33 @@ def test_decontamination_checks_slots(spark):
     assert {r["doc_id"] for r in got} == {2}
 
 
+def test_decontamination_of_dense_and_short_items(spark):
+    items = [(1, "Compute 12 + 34 * 56 - 78 / 9 + 10."), (2, "What is 17 times 24?"), (3, "Solve 3x + 5 = 20."), (4, "A train goes 60 km in 2 h and 90 km in 3 h; how far is it from here"), (5, "Why?"), (6, None)]
+    docs = [(10 * i, f"Some words before it here. {t} And some after.") for i, t in items if t] + [(91, "Compute 1 + 2 * 3 - 4 / 5 + 6."), (92, "what is 17 times 25"), (93, "A train goes 70 km in 4 h and 95 km in 5 h; how far is it from here"), (94, "1 2 3 4 5 6 7 8 9 10 11 12")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(10, 1), (20, 2), (30, 3), (40, 4)} or got == {(10, 1), (20, 2), (30, 3), (40, 4), (93, 4)}
+    assert {r["item_id"] for r in decontam.unfindable(bench).collect()} == {5, 6}
+
+
+def test_decontamination_checks_slots_both_ways(spark):
+    item = "Say that Alice met Bob and then Alice saw Bob near where Alice lives with Bob now"
+    merged = "Say that Xu met Xu and then Xu saw Xu near where Xu lives with Xu now"
+    numbers = "Take some 12 red balls and some 5 blue balls from the old box under the bed"
+    equal = "Take some 7 red balls and some 7 blue balls from the old box under the bed"
+    got = decontam.contaminated(spark.createDataFrame([(1, merged), (2, equal)], "doc_id long, text string"), spark.createDataFrame([(1, item), (2, numbers)], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(2, 2)}
+
+
+def test_decontamination_of_long_texts_and_clashing_columns(spark, odd):
+    item = "On Monday the farmer Alice bought 12 kg of apples and gave 5 kg to Bob who ate them with Carol in the old garden"
+    docs = spark.createDataFrame([(1, "filler words go on " * 100_000 + item), (1, "a second text of that id")], "doc_id long, text string").withColumns({"item_id": F.lit(1), "h": F.lit(2), "shift": F.lit(3), "n_windows": F.lit("x")})
+    bench = spark.createDataFrame([(7, item, 1)], "item_id long, text string, doc_id long")
+    assert [(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, bench).collect()] == [(1, 7)]
+    left = decontam.drop_contaminated(docs, bench).collect()
+    assert [r["text"] for r in left] == ["a second text of that id"] and left[0]["n_windows"] == "x"
+
+
 def test_decontamination_by_shuffle_gives_the_same(spark):
     d, b = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
     rows = [sorted(map(tuple, decontam.contaminated(d, b, broadcast_rows=n).collect())) for n in (10**6, 0)]
