@@ -147,6 +147,61 @@ def test_near_duplicates_of_a_large_family_against_all_pairs(spark, small):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == groups(rows)
 
 
+def groups_by_matrix(rows, k=5):
+    """As groups, for families: common shingles of all pairs by a matrix product."""
+    import numpy as np
+
+    sets = [{tuple(w[j : j + k]) for j in range(len(w) - k + 1)} for w in (t.split() for _, t in rows)]
+    name = {g: n for n, g in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(rows), len(name)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [name[g] for g in s]] = 1
+    common, size = m @ m.T, m.sum(1)
+    near = 100 * common >= 75 * (size[:, None] + size[None, :] - common)
+    left, out = set(range(len(rows))), {}
+    while left:
+        at = min(left)
+        found, todo = {at}, [at]
+        while todo:
+            for j in np.flatnonzero(near[todo.pop()]).tolist():
+                if j not in found:
+                    found.add(j)
+                    todo.append(j)
+        out |= {rows[i][0]: (len(sets[i]), min(rows[j][0] for j in found)) for i in found}
+        left -= found
+    return out
+
+
+def test_near_duplicates_of_a_star_of_stars(spark):
+    """A text, 200 copies with 5 words changed, and a copy of each of these with 5 more changed."""
+    pick = random.Random(4)
+    base = [f"w{j}" for j in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(200):
+        w = list(base)
+        for at in pick.sample(range(200), 5):
+            w[at] = f"x{i}at{at}"
+        rows.append((1000 + i, " ".join(w)))
+        for at in pick.sample(range(200), 5):
+            w[at] = f"y{i}at{at}"
+        rows.append((5000 + i, " ".join(w)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == groups_by_matrix(rows)
+
+
+def test_near_duplicates_of_over_two_thousand_against_all_pairs(spark):
+    rows = family(2100, 120, 11, 8)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == groups_by_matrix(rows)
+
+
+def test_near_duplicates_long_texts_and_ids(spark):
+    long_ = " ".join(f"w{j}" for j in range(300_000))
+    rows = [(5, long_), (3, long_ + " end"), (7, "one id with several texts of many words here"), (7, "quite another text that has the same id as that"), (9, "Quite another text that has the same id as that")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumns({"component_id": F.lit("x"), "kept": F.lit(1)})).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(3, 3, True), (5, 3, False), (7, 7, True), (7, 7, True), (9, 7, False)]
+
+
 def test_near_duplicates_odd_rows(odd, nothing):
     got = near_dedup.near_duplicates(odd).collect()
     by = {r["doc_id"]: r for r in got}
