@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 SPACE_CHARS = " \t\n\x0b\f\r"
 SPACES = r"[\x20\x09-\x0D]+"
 KEY = ["__nl_id", "__nl_k1", "__nl_k2"]
+#: A key with one in so many of all rows is frequent: there are at most so many of them.
+FREQUENT = 1000
 
 
 def let(value: Column, body) -> Column:
@@ -53,6 +56,30 @@ def same_key(a: DataFrame, b: DataFrame) -> Column:
     return cond
 
 
+def equal(a: list, b: list) -> Column:
+    return reduce(lambda x, y: x & y, (F.col(x) == F.col(y) for x, y in zip(a, b, strict=True)))
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], total: int, spread: list[str]) -> DataFrame:
+    """rows with the columns of table(keys, n, ...), on equal keys; n is how many rows have them, ``total`` how many there are.
+
+    Keys of a thousandth of all rows or more, of which there are a thousand at most, are sent to all tasks; their rows are
+    spread by a hash of the columns ``spread``, so that no task of the other join gets such a key.
+    """
+    own = [c for c in table.columns if c not in keys]
+
+    def side(df: DataFrame, tag: str) -> DataFrame:
+        return df.select(*[F.col(k).alias(f"{k}_{tag}") for k in keys], F.struct(*own).alias(f"__nl_{tag}"))
+
+    often = F.col("n") * FREQUENT >= total
+    hot, rest = F.broadcast(side(table.filter(often), "hot")), side(table.filter(~often), "rest")
+    met = rows.join(hot, equal(keys, [f"{k}_hot" for k in keys]), "left")
+    met = met.withColumn("__nl_to", F.when(F.col("__nl_hot").isNull(), F.col(keys[0])).otherwise(F.xxhash64(*spread)))
+    met = met.join(rest, equal(["__nl_to", *keys[1:]], [f"{k}_rest" for k in keys]), "left")
+    found = met.withColumn("__nl_v", F.coalesce("__nl_hot", "__nl_rest")).filter("__nl_v is not null")
+    return found.select(*rows.columns, *[F.col(f"__nl_v.{c}").alias(c) for c in own])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: spark.checkpoint.dir. Where that is unset, a session on one machine gets a folder of its own; a cluster is told to set it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -88,4 +115,4 @@ def rows_over(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() > limit
 
 
-__all__ = ["F", "KEY", "SPACES", "SPACE_CHARS", "Window", "clear_scratch", "let", "n_words", "rows_over", "same_key", "scratch", "shared_dir", "table", "with_key", "words"]
+__all__ = ["F", "KEY", "SPACES", "SPACE_CHARS", "Window", "clear_scratch", "equal", "let", "lookup", "n_words", "rows_over", "same_key", "scratch", "shared_dir", "table", "with_key", "words"]

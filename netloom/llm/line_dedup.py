@@ -27,42 +27,18 @@ tasks instead of being dealt to one.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import KEY, scratch, with_key, words
+from .common import KEY, equal, lookup, scratch, with_key, words
 
 MIN_LINES, MIN_WORDS = 4, 5
-#: A key with one in so many of all rows is frequent: there are at most so many of them.
-FREQUENT = 1000
 #: Bits of a rank below its leading digits.
 LOW = 20
 DOC = ["__nl_d1", "__nl_d2"]
 POS = [*DOC, "__nl_at"]
 
 
-def _equal(a: list, b: list) -> Column:
-    return reduce(lambda x, y: x & y, (F.col(x) == F.col(y) for x, y in zip(a, b, strict=True)))
-
-
-def _lookup(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """rows with the columns of table(keys, n, ...), on equal keys. The rows of frequent keys meet them by broadcast (at most FREQUENT rows), and are spread over the tasks of the other join."""
-    own = [c for c in table.columns if c not in keys]
-
-    def side(df: DataFrame, tag: str) -> DataFrame:
-        return df.select(*[F.col(k).alias(f"{k}_{tag}") for k in keys], F.struct(*own).alias(f"__nl_{tag}"))
-
-    often = F.col("n") * FREQUENT >= total
-    hot, rest = F.broadcast(side(table.filter(often), "hot")), side(table.filter(~often), "rest")
-    met = rows.join(hot, _equal(keys, [f"{k}_hot" for k in keys]), "left")
-    met = met.withColumn("__nl_to", F.when(F.col("__nl_hot").isNull(), F.col(keys[0])).otherwise(F.xxhash64(*POS)))
-    met = met.join(rest, _equal(["__nl_to", *keys[1:]], [f"{k}_rest" for k in keys]), "left")
-    found = met.withColumn("__nl_v", F.coalesce("__nl_hot", "__nl_rest")).filter("__nl_v is not null")
-    return found.select(*rows.columns, *[F.col(f"__nl_v.{c}").alias(c) for c in own])
-
-
 def _before(counts: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """counts(keys, top, order, n) with before: the sum of n over the rows of equal keys that sort earlier by (top, order)."""
     tops = counts.groupBy(*keys, "top").agg(F.sum("n").alias("m"))
@@ -90,21 +66,21 @@ def _positions(docs: DataFrame, min_words: int) -> DataFrame:
     place = F.struct(*POS)
     classes = scratch(rows.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min(place).alias("a"), F.max(place).alias("z")).filter("a <> z").select("c1", "c2", "n"), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    return scratch(_lookup(rows, classes, ["c1", "c2"], total).drop("n").distinct(), "lines")
+    return scratch(lookup(rows, classes, ["c1", "c2"], total, POS).drop("n").distinct(), "lines")
 
 
 def _first_ranks(lines: DataFrame, total: int) -> DataFrame:
     """lines(POS, c1, c2) -> (POS, r, size): ranks by the first line. Lines are ordered by their ids."""
     counts = lines.groupBy("c1", "c2").agg(F.count("*").alias("n")).withColumn("top", F.shiftright("c1", 52))
     starts = _before(counts, [], ["c1", "c2"]).select("c1", "c2", "n", F.col("before").alias("r"))
-    return scratch(_lookup(lines.select(*POS, "c1", "c2"), starts, ["c1", "c2"], total).select(*POS, "r", F.col("n").alias("size")), "ranks")
+    return scratch(lookup(lines.select(*POS, "c1", "c2"), starts, ["c1", "c2"], total, POS).select(*POS, "r", F.col("n").alias("size")), "ranks")
 
 
 def _doubled(ranks: DataFrame, step: int, total: int) -> DataFrame:
     """Ranks by twice as many lines. A suffix that ends within them sorts before the others of its rank, and is unlike any other."""
     open_ = ranks.filter("size > 1").select(*POS, "r")
     ahead = ranks.select(*[F.col(k).alias(f"{k}_a") for k in DOC], (F.col(POS[2]) - step).alias(f"{POS[2]}_a"), F.col("r").alias("r2"))
-    rows = open_.join(ahead, _equal(POS, [f"{k}_a" for k in POS]), "left")
+    rows = open_.join(ahead, equal(POS, [f"{k}_a" for k in POS]), "left")
     ends, zero = F.col("r2").isNull(), F.lit(0).cast("long")
     rows = rows.select(
         *POS,
@@ -117,7 +93,7 @@ def _doubled(ranks: DataFrame, step: int, total: int) -> DataFrame:
     key = ["o1", "o2", "o3"]
     counts = rows.groupBy("r", "top", *key).agg(F.count("*").alias("n"))
     places = _before(counts, ["r"], key).select("r", *key, "n", "before")
-    new = _lookup(rows.select(*POS, "r", *key), places, [*key, "r"], total)
+    new = lookup(rows.select(*POS, "r", *key), places, [*key, "r"], total, POS)
     new = new.select(*POS, (F.col("r") + F.col("before")).alias("r"), F.col("n").alias("size"))
     return scratch(ranks.filter("size = 1").unionByName(new), "ranks")
 
@@ -140,7 +116,7 @@ def _later(level: DataFrame, lines: DataFrame, total: int) -> DataFrame:
     place = F.struct("id", *POS)
     rows = level.select(*POS, "r").join(lines.select(*POS, "id", "line", "long"), POS)
     groups = rows.groupBy("r").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    return _lookup(rows, groups, ["r"], total).filter(place != F.col("first")).select(*POS, "line", "long")
+    return lookup(rows, groups, ["r"], total, POS).filter(place != F.col("first")).select(*POS, "line", "long")
 
 
 def _runs(lines: DataFrame, levels: list[DataFrame], last: DataFrame, min_lines: int) -> DataFrame:
@@ -153,7 +129,7 @@ def _runs(lines: DataFrame, levels: list[DataFrame], last: DataFrame, min_lines:
     for k in reversed(range(len(levels))):
         for side, tag in (("", "x"), ("q_", "y")):
             look = levels[k].select(*[F.col(c).alias(f"{c}_{tag}") for c in POS], F.col("r").alias(tag))
-            cond = _equal([f"{side}{c}" for c in DOC], [f"{c}_{tag}" for c in DOC]) & (F.col(f"{side}{POS[2]}") + F.col("n") == F.col(f"{POS[2]}_{tag}"))
+            cond = equal([f"{side}{c}" for c in DOC], [f"{c}_{tag}" for c in DOC]) & (F.col(f"{side}{POS[2]}") + F.col("n") == F.col(f"{POS[2]}_{tag}"))
             pairs = pairs.join(look, cond, "left").drop(*[f"{c}_{tag}" for c in POS])
         pairs = pairs.withColumn("n", F.when(F.col("x") == F.col("y"), F.col("n") + (1 << k)).otherwise(F.col("n"))).drop("x", "y")
     return pairs
@@ -213,7 +189,7 @@ def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words:
     found = lists.join(ends.groupBy(*DOC).agg(F.max("n").alias("__nl_n")), DOC, "full").withColumnsRenamed({k: f"{k}_g" for k in DOC})
     lines = _lines(F.col("text"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__nl_gone"))
-    both = keyed.join(found, _equal(DOC, [f"{k}_g" for k in DOC]), "left")
+    both = keyed.join(found, equal(DOC, [f"{k}_g" for k in DOC]), "left")
     pick = F.element_at(F.transform(F.array(F.struct(lines.alias("l"), kept.alias("k"))), lambda s: F.array_join(F.transform(s["k"], lambda i: F.get(s["l"], i)), "\n")), 1)
     n = F.size(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
     text = F.when(F.col("__nl_gone").isNull(), F.col("text")).otherwise(pick)
