@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from . import graph, proximity
+
 MERGE_RADIUS_M = 650.0
 CHANGEOVER_S = 300.0
 
@@ -52,7 +54,14 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], fn: Callable[
 
 def greedy_clusters(nodes: DataFrame, key: str, order: str, radius_m: float = MERGE_RADIUS_M) -> DataFrame:
     """nodes(key, order, id, lat, lon) -> (id, cluster): each node joins the first open cluster of its key whose
-    running mean is nearer than the radius, else opens one; a cluster is named by its first node."""
+    running mean is nearer than the radius, else opens one; a cluster is named by its first node.
+
+    The mean is less than the radius away from the node that joined last, so who joins is within twice the radius of
+    that one: nodes of one key are folded by the components of that graph, however many nodes have the key.
+    """
+    near = proximity.within(nodes.select("id", "lat", "lon", key), "id", 2 * radius_m, by=key)
+    part = graph.connected_components(near).withColumnRenamed("id", "_i")
+    nodes = nodes.join(part, F.col("id") == F.col("_i"), "left").withColumn("_part", F.coalesce("component", "id")).drop("_i", "component")
 
     def fold(g):
         lat, lon, n, name, out = [], [], [], [], []
@@ -68,7 +77,7 @@ def greedy_clusters(nodes: DataFrame, key: str, order: str, radius_m: float = ME
                 lat.append(la), lon.append(lo), n.append(1), name.append(i), out.append(i)
         return [(r["id"], c) for r, c in zip(g, out, strict=True)]
 
-    return ordered_fold(nodes, [key], [order], fold, "id long, cluster long")
+    return ordered_fold(nodes, ["_part"], [order], fold, "id long, cluster long")
 
 
 def fold_similar(lines: DataFrame, group: str) -> DataFrame:
@@ -114,12 +123,12 @@ def schedule(jobs: DataFrame, machines: DataFrame, group: str, changeover_s: flo
     (the first of those that tie), which is free again after the changeover.
     Jobs without an eligible machine are left out. A null kind fits all.
     """
-    pool = machines.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("ord", "machine", F.col("kind").alias("mkind"), "factor"))).alias("pool"))
-    both = jobs.join(pool, group)
+    names = machines.select(group, F.lit(None).cast("double").alias("minus"), F.col("ord").cast("long").alias("job"), F.col("factor").alias("seconds"), "kind", "machine")
+    own = jobs.select(group, (-F.col("seconds")).alias("minus"), "job", F.col("seconds").cast("double").alias("seconds"), "kind", F.lit(None).cast("string").alias("machine"))
 
-    def fold(g):
-        pool = [dict(machine=m["machine"], kind=m["mkind"], factor=m["factor"], free=0.0) for m in g[0]["pool"]]
-        for job, sec, kind in ((r["job"], r["seconds"], r["kind"]) for r in g):
+    def fold(g):  # machines come first, as nulls sort before all
+        pool = [dict(machine=r["machine"], kind=r["kind"], factor=r["seconds"], free=0.0) for r in g if r["machine"] is not None]
+        for job, sec, kind in ((r["job"], r["seconds"], r["kind"]) for r in g if r["machine"] is None):
             fit = [m for m in pool if kind is None or m["kind"] == kind]
             if not fit:
                 continue
@@ -128,8 +137,7 @@ def schedule(jobs: DataFrame, machines: DataFrame, group: str, changeover_s: flo
             best["free"] = end + changeover_s
             yield g[0][group], job, best["machine"], start, end
 
-    both = both.withColumn("minus", -F.col("seconds"))
-    return ordered_fold(both, [group], ["minus", "job"], fold, f"{group} long, job long, machine string, start_s double, end_s double")
+    return ordered_fold(names.unionByName(own), [group], ["minus", "job"], fold, f"{group} long, job long, machine string, start_s double, end_s double")
 
 
 def shelves(items: DataFrame, group: str, width: float, height: float) -> DataFrame:

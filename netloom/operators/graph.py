@@ -57,30 +57,36 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def corridors(edges: DataFrame, major: DataFrame, most: int = 64) -> DataFrame:
-    """Chains of nodes between majors, each once, the smaller end first: (a, b, path).
-
-    Grows one path from each major over each neighbour, a node a round, until
-    it meets a major. ``most`` bounds the rounds; rounds cost one join of the open
-    paths with the edges. Rings without a major are not corridors.
+def corridors(edges: DataFrame, major: DataFrame) -> DataFrame:
+    """Chains of nodes between majors, each once, the smaller end first: (a, b, path). Nodes that are no majors have two neighbours.
+
+    Each directed edge points at the one that follows it behind a node between;
+    pointers are doubled until they stand at an edge into a major, which takes
+    rounds logarithmic in the longest chain. Edges with the same last edge, in
+    order of their distance from it, are a corridor. Rings without a major are
+    none: their pointers are left when a round ends no other.
     """
     e = saved(both_ways(edges).distinct(), "edges")
     m = major.select(F.col("station").alias("b")).distinct().withColumn("end", F.lit(True))
     e = saved(e.join(m, "b", "left").select("a", "b", F.coalesce("end", F.lit(False)).alias("end")), "ends")
-    start = e.join(m.select(F.col("b").alias("a")), "a", "left_semi")
-    open_ = saved(start.select(F.array("a", "b").alias("path"), F.col("b").alias("at"), "end"), "paths")
-    done = open_.filter("end")
-    for _ in range(most):
-        going = open_.filter("not end")
-        if going.isEmpty():
+    last = e.filter("end").select("a", "b", F.col("a").alias("x"), F.col("b").alias("y"), F.lit(0).cast("long").alias("n"), "end")
+    follow = e.select(F.col("a").alias("x"), F.col("b").alias("y"))
+    step = e.filter("not end").join(follow, (F.col("b") == F.col("x")) & (F.col("a") != F.col("y"))).select("a", "b", "x", "y", F.lit(1).cast("long").alias("n"), "end")
+    at = saved(last.unionByName(step), "pointers")
+    left = at.filter("not end").count()
+    while left:
+        to = at.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("n").alias("n2"), F.col("end").alias("end2"))
+        moved = at.filter("not end").join(to, ["x", "y"]).select("a", "b", F.col("x2").alias("x"), F.col("y2").alias("y"), (F.col("n") + F.col("n2")).alias("n"), F.col("end2").alias("end"))
+        at = saved(at.filter("end").unionByName(moved), "pointers")
+        now = at.filter("not end").count()
+        if now == left:
             break
-        nxt = going.select("path", "at").join(e.withColumnRenamed("a", "at"), "at")
-        nxt = nxt.filter(F.col("b") != F.element_at("path", -2)).filter(~F.array_contains("path", F.col("b")) | ((F.col("b") == F.element_at("path", 1)) & F.col("end")))
-        open_ = saved(nxt.select(F.concat("path", F.array("b")).alias("path"), F.col("b").alias("at"), "end"), "paths")
-        done = done.unionByName(open_.filter("end"))
+        left = now
+    paths = at.filter("end").groupBy("x", "y").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "a"))).alias("s"))
+    path = paths.select(F.concat(F.transform("s", lambda v: v["a"]), F.array("y")).alias("path"))
     back = F.reverse("path")
     canonical = F.when(F.col("path") <= back, F.col("path")).otherwise(back)
-    return done.select(canonical.alias("path")).distinct().select(F.element_at("path", 1).alias("a"), F.element_at("path", -1).alias("b"), "path")
+    return path.select(canonical.alias("path")).distinct().select(F.element_at("path", 1).alias("a"), F.element_at("path", -1).alias("b"), "path")
 
 
 def hops(edges: DataFrame, starts: DataFrame, most: int) -> DataFrame:
@@ -97,5 +103,10 @@ def hops(edges: DataFrame, starts: DataFrame, most: int) -> DataFrame:
     return seen
 
 
-def top(df: DataFrame, keys: list[str], n: int, *order) -> DataFrame:
+def top(df: DataFrame, keys: list[str], n: int, *order, spread: str | None = None) -> DataFrame:
+    """The first n rows of each group, with _r. With ``spread``, a column that tells rows apart, groups are first cut to n in 64 parts each, so a large one is no single window."""
+    if spread:
+        part = F.pmod(F.xxhash64(spread), F.lit(64))
+        w = Window.partitionBy(*keys, "_part").orderBy(*order)
+        df = df.withColumn("_part", part).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_part", "_r")
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_r") <= n)

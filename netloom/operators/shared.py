@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table under spark.checkpoint.dir and reads it again: lineage ends, a lost executor costs nothing."""
+    """Writes a table under spark.checkpoint.dir and reads it again: lineage ends, a lost executor costs nothing.
+
+    Where that is unset, a session on one machine gets a folder of its own; a cluster is told to set it.
+    """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="netloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root}/netloom/{name}-{uuid.uuid4().hex}"

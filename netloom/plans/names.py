@@ -25,7 +25,7 @@ def unique_slugs(spark: SparkSession, d: str) -> DataFrame:
     return sequence.unique_ids(p, "base", "p_partkey")
 
 
-@query("F01 F06 F07", f"SELECT doc_id, md5({NORM.format('text')}) AS h FROM documents")
+@query("F01 F06", f"SELECT doc_id, md5({NORM.format('text')}) AS h FROM documents")
 def normalize_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(F.encode(T.normalize_name(F.col("text")), "UTF-8")).alias("h"))
 
@@ -47,9 +47,9 @@ def ref_family(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "F05 P17",
+    "F05",
     r"""WITH s AS (SELECT s_suppkey, 'N. Main St., ' || s_name || ' Ave (East & West) / ' || CASE s_suppkey % 3 WHEN 0 THEN 'Mt Airy Sq' WHEN 1 THEN 'Trans. Ctr. Blvd' ELSE 'Phila Jct' END AS name FROM supplier)
-    SELECT s_suppkey, name, 'North Main Street ' || (SELECT s_name FROM supplier x WHERE x.s_suppkey = s.s_suppkey) || ' Avenue-' || CASE s_suppkey % 3 WHEN 0 THEN 'Mount Airy Square' WHEN 1 THEN 'Transportation Center Boulevard' ELSE 'Philadelphia Junction' END AS full_name FROM s""",
+    SELECT s_suppkey, name, replace(array_to_string(list_transform(string_split(trim(regexp_replace(replace(regexp_replace(name, '\s*\([^)]*\)\s*', ' ', 'g'), ',', ' '), '\s+', ' ', 'g')), ' '), lambda w: coalesce(map_extract(MAP {'N.': 'North', 'St.': 'Street', 'Ave': 'Avenue', 'Mt': 'Mount', 'Sq': 'Square', 'Trans.': 'Transportation', 'Ctr.': 'Center', 'Blvd': 'Boulevard', 'Phila': 'Philadelphia', 'Jct': 'Junction'}, w)[1], w)), ' '), ' / ', '-') AS full_name FROM s""",
 )
 def expand_abbrev(spark: SparkSession, d: str) -> DataFrame:
     last = F.when(F.col("s_suppkey") % 3 == 0, "Mt Airy Sq").when(F.col("s_suppkey") % 3 == 1, "Trans. Ctr. Blvd").otherwise("Phila Jct")
@@ -75,7 +75,7 @@ def normalize_colours(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "S06 S22 V10",
+    "A06",
     r"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<(/?[a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM pages)
     SELECT page_id, lower(tag) AS tag, count(*) AS n FROM t GROUP BY 1, 2""",
 )
@@ -85,7 +85,7 @@ def html_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "S07 S08",
+    "S07",
     r"""WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '<style>([^<]*)</style>', 1)) || 'p,h1{margin:1em;color:red}' AS css FROM pages),
     b AS (SELECT page_id, unnest(regexp_extract_all(css, '[^{}]+\{[^}]*\}')) AS b, unnest(range(0, len(regexp_extract_all(css, '[^{}]+\{[^}]*\}')))) AS i FROM s),
     e AS (SELECT page_id, i, trim(unnest(string_split(split_part(b, '{', 1), ','))) AS selector, rtrim(split_part(b, '{', 2), '}') AS body FROM b),
@@ -122,7 +122,7 @@ def fuzzy_key_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "J20 J21",
+    "T07",
     """WITH c AS (SELECT c_custkey, c_name, lower(c_mktsegment) AS ref FROM customer), p AS (SELECT p_partkey, lower(p_brand) AS label, p_size::BIGINT AS stations FROM part),
     l AS (SELECT c_custkey, 'brand#' || (11 + c_custkey % 60) AS ref FROM customer), m AS (SELECT c_custkey, p_partkey, label, stations, CASE WHEN label = ref THEN 1 WHEN contains(label, ref) OR contains(ref, label) THEN 2 END AS tier FROM l JOIN p ON contains(label, ref) OR contains(ref, label))
     SELECT c_custkey, p_partkey, tier::INT AS tier FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY tier, stations DESC, p_partkey) AS r FROM m) WHERE r = 1""",
@@ -134,7 +134,7 @@ def tiered_line_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "V01 A19 V03",
+    "V01 A19",
     """WITH n AS (SELECT c_nationkey AS line, count(DISTINCT o_custkey) AS found FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
     p AS (SELECT c_nationkey AS line, count(*) AS published, bool_or(c_custkey % 2 = 0) AS hard FROM customer GROUP BY 1),
     k AS (SELECT n_nationkey::BIGINT AS line, found - published AS delta, published, hard FROM nation LEFT JOIN n ON n.line = n_nationkey LEFT JOIN p ON p.line = n_nationkey)
@@ -149,7 +149,7 @@ def check_status(spark: SparkSession, d: str) -> DataFrame:
     return n.select("line", "delta", matching.status(F.col("published"), F.col("delta"), F.col("hard")).alias("status"))
 
 
-@query("F40 S10 O07", "SELECT p_partkey, p_name, p_brand, p_size::BIGINT AS p_size, p_retailprice FROM part")
+@query("F40 S10", "SELECT p_partkey, p_name, p_brand, p_size::BIGINT AS p_size, p_retailprice FROM part")
 def json_manifest(spark: SparkSession, d: str) -> DataFrame:
     """Rows written as JSON documents and read back."""
     p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", F.col("p_size").cast("long").alias("p_size"), "p_retailprice")
@@ -158,7 +158,7 @@ def json_manifest(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "F11 K02 P16",
+    "F11 K02",
     """WITH s AS (SELECT c_custkey, 'a1:' || (c_custkey % 4) || ', s3' || CASE WHEN c_custkey % 2 = 0 THEN ':2' ELSE '' END AS spec FROM customer),
     i AS (SELECT c_custkey, trim(unnest(string_split(spec, ','))) AS x FROM s), e AS (SELECT c_custkey, split_part(x, ':', 1) AS id, greatest(1, coalesce(try_cast(split_part(x, ':', 2) AS INT), 1)) AS n FROM i)
     SELECT c_custkey, id, (unnest(range(1, n + 1)))::INT AS machine FROM e""",
@@ -170,7 +170,7 @@ def farm_spec(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "U06 J22 J23 U04 G25 P13",
+    "U06 J23 U04",
     """WITH over_ AS (SELECT s_suppkey AS k, 'overlay ' || s_name AS name FROM supplier WHERE s_acctbal < 0), hit AS (SELECT p_partkey AS k, p_name AS name FROM part)
     SELECT k, name, 'overlay' AS origin FROM over_ UNION ALL SELECT k, name, 'base' FROM hit WHERE k NOT IN (SELECT k FROM over_)""",
 )
@@ -182,7 +182,7 @@ def overlay_replace(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "S13",
-    r"""WITH a AS (SELECT doc_id, substr(substr(text, 1, 500) || ' |stations = ' || (doc_id % 97) || ' x | Stations=' || (doc_id % 31), 1, 20000) AS t FROM documents)
+    r"""WITH a AS (SELECT doc_id, substr(' |stations = ' || (doc_id % 97) || ' x | Stations=' || (doc_id % 31) || ' ' || text, 1, 20000) AS t FROM documents)
     SELECT doc_id, list_max(list_transform(regexp_extract_all(t, '(?i)\|\s*stations\s*=\s*(\d+)', 1), lambda x: x::BIGINT)) AS n FROM a""",
 )
 def wikitext_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -201,7 +201,7 @@ def durations(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "T07 S01 S17 S18 S19",
+    "T07",
     """SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY (c_acctbal > 5000) DESC, (c_mktsegment = 'BUILDING') DESC, abs(length(c_name) - 18), c_custkey) AS r FROM customer) WHERE r = 1""",
 )
 def preference_pick(spark: SparkSession, d: str) -> DataFrame:

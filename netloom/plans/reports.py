@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.text import FALLBACK_COLOURS
-from ..operators import sequence
+from ..operators import graph, sequence
 from ..registry import query
 from .tables import table
 
 
 @query(
-    "A14 A16 K12 V12",
+    "A14 A16",
     """SELECT o_custkey, min(o_totalprice) AS minx, max(o_totalprice) AS maxx, min(o_orderkey) AS miny, max(o_orderkey) AS maxy, CAST(floor(avg(o_orderkey) * 100 + 0.5) AS BIGINT) AS cy, (max(o_totalprice) - min(o_totalprice) > 100000) AS outsize FROM orders GROUP BY 1""",
 )
 def bounding_boxes(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +35,7 @@ def guarded_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "A22 P11 P12 V10",
+    "A22 P11 P12",
     """SELECT p_brand AS colour, CAST(sum(p_size) AS BIGINT) AS length, max(p_retailprice) AS width, count(*) AS n, CAST(coalesce(sum(p_size) FILTER (p_retailprice > 1200 AND p_size > 10), 0) AS BIGINT) AS route_like FROM part GROUP BY 1 HAVING sum(p_size) > 50""",
 )
 def stroke_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -45,20 +45,21 @@ def stroke_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "A25 V04 T10",
+    "A25 T10",
     """WITH m AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WHERE o_orderstatus <> 'F')
     SELECT o_custkey, max(n) AS missing, string_agg(o_orderkey::VARCHAR, ', ' ORDER BY o_orderkey) FILTER (r <= 8) || CASE WHEN max(n) > 8 THEN ' (+' || (max(n) - 8) || ')' ELSE '' END AS sample FROM m GROUP BY 1""",
 )
 def missing_lists(spark: SparkSession, d: str) -> DataFrame:
     """Open orders of each customer, the first eight by name: the report's own bound."""
     m = table(spark, d, "orders").filter("o_orderstatus <> 'F'").select("o_custkey", "o_orderkey")
-    g = m.groupBy("o_custkey").agg(F.count("*").alias("missing"), F.array_sort(F.collect_list("o_orderkey")).alias("l"))
+    n = m.groupBy("o_custkey").agg(F.count("*").alias("missing"))
+    g = graph.top(m, ["o_custkey"], 8, "o_orderkey", spread="o_orderkey").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("l")).join(n, "o_custkey")
     more = F.when(F.col("missing") > 8, F.concat(F.lit(" (+"), (F.col("missing") - 8).cast("string"), F.lit(")"))).otherwise("")
-    return g.select("o_custkey", "missing", F.concat(F.array_join(F.slice("l", 1, 8), ", "), more).alias("sample"))
+    return g.select("o_custkey", "missing", F.concat(F.array_join("l", ", "), more).alias("sample"))
 
 
 @query(
-    "J17 J29 J31",
+    "J17",
     """SELECT l_orderkey, l_linenumber::INT AS l_linenumber, l_partkey, l_suppkey, coalesce(s.s_name, p.p_name, '?') AS plate FROM lineitem LEFT JOIN supplier s ON s.s_suppkey = l_partkey LEFT JOIN part p ON p.p_partkey = l_partkey AND p.p_size > 10""",
 )
 def coalesced_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +69,7 @@ def coalesced_lookup(spark: SparkSession, d: str) -> DataFrame:
     return li.join(s, "l_partkey", "left").join(p, "l_partkey", "left").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce("s_name", "p_name", F.lit("?")).alias("plate"))
 
 
-@query("J18 J28", "SELECT DISTINCT s_suppkey, p_partkey FROM supplier, part WHERE p_partkey = s_suppkey OR p_size * 40 = s_suppkey")
+@query("J18", "SELECT DISTINCT s_suppkey, p_partkey FROM supplier, part WHERE p_partkey = s_suppkey OR p_size * 40 = s_suppkey")
 def either_key_join(spark: SparkSession, d: str) -> DataFrame:
     """A join on one key or another: two equi-joins, not a nested loop."""
     s, p = table(spark, d, "supplier").select("s_suppkey"), table(spark, d, "part").select("p_partkey", (F.col("p_size").cast("long") * 40).alias("grp"))
@@ -78,7 +79,7 @@ def either_key_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "J24 J25",
+    "U01",
     """WITH e AS (SELECT c_custkey, unnest([c_mktsegment, 'SEG ' || (c_custkey % 5)]) AS part, c_nationkey FROM customer), pin AS (SELECT n_nationkey, 'SEG ' || (n_nationkey % 7) AS entry FROM nation)
     SELECT DISTINCT c_custkey, entry FROM e JOIN pin ON entry = part AND n_nationkey = c_nationkey""",
 )
@@ -101,7 +102,7 @@ def fallback_colours(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "W12 W16",
+    "W12",
     """WITH e AS (SELECT user_id, event_id, value, lag(value) OVER w AS before FROM events WHERE event_type <> 'view' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, count(*) FILTER (abs(value - before) > 60) AS jumps, min(event_id) FILTER (value > 90) AS first_high FROM e GROUP BY 1""",
 )
 def jumps(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +112,7 @@ def jumps(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "V09 V14 V13 A05 V08",
+    "V14 A05",
     """SELECT p_brand AS kind, (p_size // 10)::BIGINT AS bucket, count(*) AS n, count(*) FILTER (p_type LIKE '%STEEL%' OR p_size = 1) AS odd, CAST(sum(CAST(floor(p_retailprice * 100) AS BIGINT)) AS BIGINT) AS volume FROM part GROUP BY 1, 2""",
 )
 def histograms(spark: SparkSession, d: str) -> DataFrame:
@@ -121,7 +122,7 @@ def histograms(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "V11 J30",
+    "V11",
     """WITH a AS (SELECT c_custkey AS k, count(*) AS n_a FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey AS k, count(*) AS n_b FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1)
     SELECT coalesce(a.k, b.k) AS k, coalesce(n_a, 0) AS n_a, coalesce(n_b, 0) AS n_b, abs(coalesce(n_a, 0) - coalesce(n_b, 0)) <= 1 AS near FROM a FULL JOIN b ON a.k = b.k""",
 )

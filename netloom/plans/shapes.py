@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import proximity, shapes
+from ..operators import graph, proximity, shapes
+from ..operators.shared import saved
 from ..registry import query
-from .geometry import RADIUS, stations
-from .tables import table
+from .tables import table, towns
 
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
@@ -45,12 +45,13 @@ def snapped_points(spark: SparkSession, d: str) -> DataFrame:
 
 @query("G03 J06")
 def merged_interchanges(spark: SparkSession, d: str) -> DataFrame:
-    """Near stations of one brand merged by distance; a brand's pairs are one group."""
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("s"), "p_name", F.expr("cast(substr(p_brand, 7) as long)").alias("k"))
-    near = proximity.within(stations(spark, d), "station", RADIUS)
-    a, b = p.select(F.col("s").alias("a"), F.col("p_name").alias("name_a"), "k"), p.select(F.col("s").alias("b"), F.col("p_name").alias("name_b"), F.col("k").alias("k2"))
-    pairs = near.join(a, "a").join(b, "b").filter("k = k2").select("k", "a", "b", F.col("metres").alias("d"), "name_a", "name_b")
-    return shapes.merge_interchanges(pairs, "k")
+    """Near stations of one brand merged by distance. Merges never leave a component of the near pairs, so each is a group."""
+    k = F.col("p_partkey")
+    p = table(spark, d, "part").select(k.alias("s"), "p_name", "p_brand", *towns(k))
+    pairs = saved(proximity.within(p, "s", 300.0, by="p_brand"), "near")
+    a, b = p.select(F.col("s").alias("a"), F.col("p_name").alias("name_a")), p.select(F.col("s").alias("b"), F.col("p_name").alias("name_b"))
+    part = graph.connected_components(pairs).select(F.col("id").alias("a"), F.col("component").alias("k"))
+    return shapes.merge_interchanges(pairs.join(part, "a").join(a, "a").join(b, "b").select("k", "a", "b", F.col("metres").alias("d"), "name_a", "name_b"), "k")
 
 
 @query(
@@ -91,7 +92,7 @@ def transformed_points(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "F34 T11",
+    "F34",
     """WITH i AS (SELECT p_partkey, unnest(range(0, 9)) AS i FROM part) SELECT p_partkey, i::BIGINT AS i, CAST(floor((2 * (1 - i / 8.0::DOUBLE) * (i / 8.0::DOUBLE) * (p_partkey % 100) + (i / 8.0::DOUBLE) * (i / 8.0::DOUBLE) * 50) * 1000 + 0.5) AS BIGINT) AS x FROM i""",
 )
 def flattened_curves(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +111,7 @@ def file_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "F39 P16 S04",
+    "F39",
     """SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 'master' ELSE 'route' END AS ref, 'route' AS kind, greatest(0.12, least(0.6, c_acctbal / 10000.0)) AS half_span FROM customer""",
 )
 def merged_tags(spark: SparkSession, d: str) -> DataFrame:
@@ -145,7 +146,7 @@ def scored_colours(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "A23 P14 P15 T05 T02 V05 V06 V02 K11 K13",
+    "A23 P15 T05",
     """WITH p AS (SELECT p_brand, p_partkey, p_size * (p_partkey % 9) AS area, p_size * 9 AS box FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY area DESC, p_partkey) AS r FROM p WHERE area >= 1)
     SELECT p_brand, CAST(min(area) AS BIGINT) AS smallest, CAST(sum(box - area) AS BIGINT) AS waste, '| ' || p_brand || ' | ' || count(*) || ' | ' || string_agg(p_partkey::VARCHAR, ', ' ORDER BY r) FILTER (r <= 3) || ' |' AS line FROM k GROUP BY 1""",
 )
@@ -153,6 +154,8 @@ def piece_report(spark: SparkSession, d: str) -> DataFrame:
     """Pieces of each brand without vanished ones: the smallest, the waste, and a table line with the three largest."""
     area = F.col("p_size") * (F.col("p_partkey") % 9)
     p = table(spark, d, "part").select("p_brand", "p_partkey", area.alias("area"), (F.col("p_size") * 9 - area).alias("left")).filter("area >= 1")
-    g = p.groupBy("p_brand").agg(F.min("area").alias("smallest"), F.sum("left").alias("waste"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct((-F.col("area")).alias("a"), "p_partkey"))).alias("all"))
-    top = F.array_join(F.transform(F.slice("all", 1, 3), lambda x: x["p_partkey"].cast("string")), ", ")
-    return g.select("p_brand", F.col("smallest").cast("long"), "waste", F.concat(F.lit("| "), "p_brand", F.lit(" | "), F.col("n").cast("string"), F.lit(" | "), top, F.lit(" |")).alias("line"))
+    g = p.groupBy("p_brand").agg(F.min("area").alias("smallest"), F.sum("left").alias("waste"), F.count("*").alias("n"))
+    three = graph.top(p, ["p_brand"], 3, F.col("area").desc(), "p_partkey", spread="p_partkey")
+    three = three.groupBy("p_brand").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", "p_partkey"))), lambda x: x["p_partkey"].cast("string")), ", ").alias("three"))
+    line = F.concat(F.lit("| "), "p_brand", F.lit(" | "), F.col("n").cast("string"), F.lit(" | "), "three", F.lit(" |"))
+    return g.join(three, "p_brand").select("p_brand", F.col("smallest").cast("long"), "waste", line.alias("line"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import fold, graph, sequence
 from ..registry import query
-from .tables import lat, lon, table
+from .tables import lat, lon, table, towns
 
 EV = "ev AS (SELECT user_id AS k, event_id AS i, event_type AS t, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord FROM events)"
 
@@ -30,7 +30,7 @@ def modal_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "K09 F37",
+    "F37",
     f"""WITH {EV}, s AS (SELECT *, sum((t = 'view')::INT) OVER (PARTITION BY k ORDER BY ord) AS seg FROM ev)
     SELECT k, i, CAST(sum(CAST(floor(v * 100) AS BIGINT)) OVER (PARTITION BY k, seg ORDER BY ord) AS BIGINT) AS pos FROM s""",
 )
@@ -40,7 +40,7 @@ def relative_position(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "W13 W14 F24 W15",
+    "W13 W14 F24",
     f"""WITH {EV}, m AS (SELECT k, i, ord, abs(v) + 1 AS dist, CASE WHEN abs(coalesce(lag(v) OVER w, v) - v) < 40 THEN 10.0::DOUBLE ELSE 0 END AS v0, CASE WHEN abs(coalesce(lead(v) OVER w, v) - v) < 40 THEN 10.0::DOUBLE ELSE 0 END AS v1 FROM ev WINDOW w AS (PARTITION BY k ORDER BY ord)),
     t AS (SELECT k, i, CASE WHEN (2500 - v0 * v0) / 2000 + (2500 - v1 * v1) / 2000 <= dist THEN (50 - v0) / 1000 + (50 - v1) / 1000 + (dist - (2500 - v0 * v0) / 2000 - (2500 - v1 * v1) / 2000) / 50
       ELSE (sqrt(greatest(0, (2000 * dist + v0 * v0 + v1 * v1) / 2)) - v0) / 1000 + (sqrt(greatest(0, (2000 * dist + v0 * v0 + v1 * v1) / 2)) - v1) / 1000 END AS sec FROM m)
@@ -55,7 +55,7 @@ def motion_times(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "A13 P10 G14",
+    "A13 P10",
     "WITH r AS (SELECT l_suppkey, l_extendedprice AS v, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) AS r, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem) SELECT l_suppkey, v AS upper_median FROM r WHERE r = floor(n / 2) + 1",
 )
 def upper_median(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +76,7 @@ def weighted_mass_by_kind(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "A07 A08 T01 A02 A05 E21",
+    "A02 A05",
     """SELECT c_mktsegment AS city, o_orderpriority AS width, count(*) AS plates, CAST(sum(CAST(floor(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents, CAST(floor(count(*) FILTER (o_orderstatus = 'F') * 100.0 / count(*) + 0.5) AS BIGINT) AS pct
     FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""",
 )
@@ -87,14 +87,14 @@ def matrix_report(spark: SparkSession, d: str) -> DataFrame:
     return g.agg(F.count("*").alias("plates"), F.sum(F.floor(F.col("o_totalprice") * 100)).alias("cents"), pct.alias("pct")).orderBy("city", "width")
 
 
-@query("T08 T09 T10", "SELECT l_suppkey, l_orderkey, l_linenumber::INT AS l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, l_orderkey, l_linenumber, l_partkey) AS r FROM lineitem) WHERE r = 1")
+@query("T08 T10", "SELECT l_suppkey, l_orderkey, l_linenumber::INT AS l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, l_orderkey, l_linenumber, l_partkey) AS r FROM lineitem) WHERE r = 1")
 def top1_with_ties(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", "l_partkey")
     return sequence.first_of(li, ["l_suppkey"], F.col("l_quantity").desc(), "l_orderkey", "l_linenumber", "l_partkey").drop("l_partkey")
 
 
 @query(
-    "W09 W03 W10 G28",
+    "W09 W03 W10",
     """WITH b AS (SELECT p_partkey, p_brand, floor(p_retailprice / 50)::BIGINT AS band, p_size FROM part), r AS (SELECT *, dense_rank() OVER (PARTITION BY p_brand ORDER BY band) AS row_no, row_number() OVER (PARTITION BY p_brand, band ORDER BY p_size, p_partkey) AS col_no, count(*) OVER (PARTITION BY p_brand) AS n FROM b)
     SELECT p_partkey, 'R' || row_no || 'C' || col_no AS tag, p_brand || CASE WHEN n > 1 THEN ' plate ' || lpad(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)::VARCHAR, 4, '0') || ' of ' || n ELSE '' END AS name FROM r""",
 )
@@ -117,7 +117,7 @@ def _chain(spark: SparkSession, d: str) -> DataFrame:
     return c.join(F.broadcast(n)).select(F.col("c_custkey").alias("a"), (1 + (F.col("c_custkey") * 37 + F.col("c_nationkey") * 11) % F.col("n")).alias("b")).filter("a <> b")
 
 
-@query("G10 G11 J26", f"WITH RECURSIVE {CHAIN}, r(id, x) AS (SELECT a, a FROM sym UNION SELECT r.id, sym.b FROM r JOIN sym ON sym.a = r.x) SELECT id, min(x) AS component FROM r GROUP BY id")
+@query("G10 G11", f"WITH RECURSIVE {CHAIN}, r(id, x) AS (SELECT a, a FROM sym UNION SELECT r.id, sym.b FROM r JOIN sym ON sym.a = r.x) SELECT id, min(x) AS component FROM r GROUP BY id")
 def components(spark: SparkSession, d: str) -> DataFrame:
     return graph.connected_components(_chain(spark, d))
 
@@ -136,7 +136,7 @@ def corridors(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "G04",
+    "G10",
     f"""WITH RECURSIVE {CHAIN}, r(start, id, depth) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier UNION SELECT r.start, sym.b, r.depth + 1 FROM r JOIN sym ON sym.a = r.id WHERE r.depth < 4)
     SELECT start, id, min(depth)::INT AS depth FROM r GROUP BY start, id""",
 )
@@ -144,7 +144,7 @@ def local_path_bfs(spark: SparkSession, d: str) -> DataFrame:
     return graph.hops(_chain(spark, d), table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), 4)
 
 
-@query("K01 K02 K05 A21 T03 J19")
+@query("K01 K02 A21 T03 J19")
 def lpt_schedule(spark: SparkSession, d: str) -> DataFrame:
     """Orders of each customer as jobs on a farm of three machines, one of them half as fast."""
     jobs = table(spark, d, "orders").select(F.col("o_custkey").alias("farm"), F.col("o_orderkey").alias("job"), F.col("o_totalprice").alias("seconds"), F.when(F.col("o_orderstatus") == "P", "s3").alias("kind"))
@@ -155,9 +155,9 @@ def lpt_schedule(spark: SparkSession, d: str) -> DataFrame:
 
 @query("G01 A09 J08")
 def greedy_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Parts of one name word as stop nodes, clustered by nearness in order of key."""
+    """Parts as stop nodes named by their brand, clustered by nearness in order of key."""
     k = F.col("p_partkey")
-    nodes = table(spark, d, "part").select(F.concat_ws(" ", "p_brand", "p_type").alias("name"), k.alias("ord"), k.alias("id"), (F.lit(40.0) + (lat(k) - 40) / 50).alias("lat"), (F.lit(-75.0) + (lon(k) + 75) / 50).alias("lon"))
+    nodes = table(spark, d, "part").select(F.col("p_brand").alias("name"), k.alias("ord"), k.alias("id"), *towns(k))
     return fold.greedy_clusters(nodes, "name", "ord")
 
 
@@ -179,7 +179,7 @@ def greedy_match(spark: SparkSession, d: str) -> DataFrame:
     return fold.greedy_matching(pairs.withColumn("d", dist), "k")
 
 
-@query("K04 K14")
+@query("K04")
 def shelf_pack(spark: SparkSession, d: str) -> DataFrame:
     """Lines of each order packed onto plates as rectangles."""
     k = F.col("l_partkey")

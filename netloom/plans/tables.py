@@ -41,6 +41,12 @@ def lon(key: Column) -> Column:
     return F.lit(-75.0) + (key * 104729 % 10009) / F.lit(10009.0)
 
 
+def towns(key: Column) -> list[Column]:
+    """lat and lon in towns of a hundred keys each, 2 km wide and far from each other: more rows make more towns, not denser ones."""
+    n = F.floor(key / 100)
+    return [(40 + (n % 700) * 0.05 + (key * 7919 % 101) / F.lit(5050.0)).alias("lat"), (-75 + F.floor(n / 700) * 0.05 + (key * 104729 % 103) / F.lit(5150.0)).alias("lon")]
+
+
 STOPS = """
 stops AS (
   SELECT l_orderkey AS seq, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ord, l_partkey AS station FROM lineitem

@@ -23,6 +23,11 @@ def spark(tmp_path_factory):
     s.stop()
 
 
+@pytest.fixture(scope="session")
+def data_dir():
+    return DATA
+
+
 @pytest.fixture(scope="session")
 def duck():
     import duckdb

@@ -11,10 +11,8 @@ def test_against_sql(name, same):
 
 
 @pytest.mark.parametrize("name", [k for k, q in FOUND.items() if not q.oracle])
-def test_folds_run(name, spark):
-    from conftest import DATA
-
-    assert FOUND[name].fn(spark, DATA).count() > 0
+def test_folds_give_rows(name, spark, data_dir):
+    assert FOUND[name].fn(spark, data_dir).count() > 0
 
 
 def test_entry_without_training_data(monkeypatch):
@@ -48,3 +46,9 @@ def test_wikitext_counts_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["n"] for r in FOUND["wikitext_counts"].fn(spark, str(tmp_path)).collect()}
     assert got == {1: 4321, 2: 2, 3: 3, 4: None}
+
+
+def test_wikitext_oracle_reads_whole_texts(duck):
+    con = duck.cursor()
+    con.execute("CREATE TEMP TABLE documents AS SELECT 1 AS doc_id, repeat('x', 600) || ' |stations = 4321' AS text")
+    assert con.sql(FOUND["wikitext_counts"].oracle).fetchall() == [(1, 4321)]
