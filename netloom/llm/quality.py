@@ -175,14 +175,17 @@ def judge(docs: DataFrame, carry: list[str], threshold: float = 0.5) -> DataFram
     windows), one vote per rule (vote_<rule>), quality (the posterior) and kept
     (not base_failed, and quality of at least the threshold).
 
-    Null, empty and blank texts have zero words, fail the base and are not kept.
-    Repeated rows are judged alike. Carried columns may have any names except
-    those added here. The counted table is written once; the texts are read
+    Null, empty and blank texts have zero words, fail the base and are not kept;
+    very long ones are measured whole. Repeated rows are judged alike. Carried
+    columns may have any names except those added here, which are refused. The
+    counted table is written once; the texts are read
     once.
     """
-    m = docs.select(*carry, measures(F.col("text")).alias("__nl_m"))
     votes = rules(F.col("__nl_m"))
     names = [f"vote_{k}" for k in votes]
+    if clash := sorted(set(carry) & {*BASE, "base_failed", *names, "quality", "kept"}):
+        raise ValueError(f"columns named like results cannot be carried: {clash}")
+    m = docs.select(*[F.col(f"`{c}`") for c in carry], measures(F.col("text")).alias("__nl_m"))
     failed = (F.col("__nl_m.n_words") < 10) | (100 * F.col("__nl_m.n_repeat_words") > 20 * F.col("__nl_m.n_words"))
     voted = scratch(m.select(*carry, *[F.col(f"__nl_m.{c}").alias(c) for c in BASE], failed.alias("base_failed"), *[v.alias(f"vote_{k}") for k, v in votes.items()]), "votes")
     model = fit(voted, names)

@@ -81,6 +81,15 @@ def test_quality_estimates_match_plain_em(spark):
     assert model["good"] == pytest.approx(good, abs=2e-3)
 
 
+def test_quality_long_texts_and_clashing_columns(spark, odd):
+    rows = [(1, "the cat and the dog sat on a mat with many other words\n" * 40_000), (1, " ".join(f"word{i} of that" for i in range(100_000)) + "."), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"kept": F.lit("x"), "quality": F.lit(1)})
+    got = sorted(quality.judge(df, ["doc_id"]).collect(), key=lambda r: r["n_words"])
+    assert [r["n_words"] for r in got] == [0, 300_000, 520_000] and got[2]["base_failed"] and got[2]["n_dup_lines"] == 39_999 and not got[1]["base_failed"]
+    with pytest.raises(ValueError):
+        quality.judge(df, ["doc_id", "kept"])
+
+
 def test_quality_odd_rows(odd, nothing):
     got = quality.judge(odd.select("doc_id", "text"), ["doc_id"]).collect()
     assert len(got) == 9 and all(not r["kept"] for r in got if r["n_words"] < 10)
@@ -234,6 +243,13 @@ def test_chat_states(spark):
     assert got == {1: True, 2: True, 3: False, 4: False, 5: False, 6: False}
 
 
+def test_chat_long_texts_and_clashing_columns(spark):
+    long_ = "</s> many words " * 100_000
+    df = spark.createDataFrame([(1, 0, "user", long_), (1, 1, "assistant", long_)], "conv_id long, turn long, role string, text string").withColumns({"segments": F.lit(1), "formatted": F.lit(2), "n_turns": F.lit("x")})
+    got = chat.digests(chat.format_chats(df)).collect()
+    assert len(got) == 1 and got[0]["loss_chars"] == len(long_) and got[0]["loss_sha256"] == hashlib.sha256(long_.encode()).hexdigest()
+
+
 def test_chat_odd_rows(spark):
     df = spark.createDataFrame([(None, None, None, None), (1, 1, "user", None), (1, 1, "user", None), (1, None, "assistant", "b")], "conv_id long, turn long, role string, text string").withColumn("valid", F.lit(3))
     got = {r["conv_id"]: r for r in chat.digests(chat.format_chats(df)).collect()}
@@ -454,6 +470,13 @@ def test_mixing_caps_are_reshared(spark):
     assert got == {"a": 30.0, None: 270.0, "b": pytest.approx(800.0)}
 
 
+def test_mixing_long_texts_repeated_ids_and_clashing_columns(spark):
+    rows = [(1, "w " * 500_000, "a"), (1, "w x", "a"), (1, "w x", "a"), (None, None, None), (None, "w", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", n_words(F.col("text"))).withColumns({"n": F.lit(1), "target_": F.lit(2), "copies_": F.lit(3)})
+    got = mixing.mix(df).collect()
+    assert len(got) == 5 and all(r["taken"] <= 3 * r["size"] for r in got) and {r["source_size"] for r in got} == {500_004, 1}
+
+
 def test_mixing_odd_rows(odd, nothing):
     got = mixing.mix(odd.withColumn("size", n_words(F.col("text")))).collect()
     assert len(got) == 9 and all(r["taken"] <= 3 * r["size"] for r in got)
@@ -526,6 +549,12 @@ def test_token_counts_equal_the_library(spark):
         assert (got[i]["n_tokens"], got[i]["n_bytes"], got[i]["over_limit"]) == (n, len((t or "").encode()), n > 4096), repr(t)[:50]
 
 
+def test_token_counts_long_texts_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a word " * 400_000), (1, "b")], "doc_id long, text string").withColumns({"n_tokens": F.lit("x"), "n_bytes": F.lit("y")})
+    a, b = token_counts.token_counts(df).collect()
+    assert a["n_bytes"] == 2_800_000 and a["n_tokens"] >= 800_000 and a["over_limit"] and b["n_bytes"] == 1
+
+
 def test_token_counts_odd_rows(odd, nothing):
     assert token_counts.token_counts(odd).count() == 9 and token_counts.token_counts(nothing).count() == 0
 
