@@ -70,3 +70,23 @@ def trapezoid_time(d: Column, v: Column, v0: Column, v1: Column, a: Column) -> C
     peak = F.sqrt(F.greatest(F.lit(0.0), (a * d * 2 + v0 * v0 + v1 * v1) / 2))
     full = (v - v0) / a + (v - v1) / a + (d - up - down) / v
     return F.when(d <= 0, F.lit(0.0)).when(up + down <= d, full).otherwise((peak - v0) / a + (peak - v1) / a)
+
+
+def turned_box(x: Column, y: Column, half_w: Column, half_h: Column, cos: Column, sin: Column) -> Column:
+    """Corners of a box around a point, turned by an angle: an array of structs (x, y)."""
+    corner = lambda a, b: F.struct((x + a * cos - b * sin).alias("x"), (y + a * sin + b * cos).alias("y"))
+    return F.array(corner(-half_w, -half_h), corner(half_w, -half_h), corner(half_w, half_h), corner(-half_w, half_h))
+
+
+def convex_touch(a: Column, b: Column, eps: float = 1e-9) -> Column:
+    """Whether two convex polygons (arrays of structs) overlap or touch: no normal of an edge keeps them apart."""
+
+    def apart(p: Column, i: Column) -> Column:
+        u, v = F.get(p, i), F.get(p, (i + 1) % F.size(p))
+        nx, ny = v["y"] - u["y"], u["x"] - v["x"]
+        on = lambda q: F.transform(q, lambda c: c["x"] * nx + c["y"] * ny)
+        slack = eps * F.sqrt(nx * nx + ny * ny)
+        return (F.array_max(on(a)) < F.array_min(on(b)) - slack) | (F.array_max(on(b)) < F.array_min(on(a)) - slack)
+
+    edges = lambda p: F.exists(F.sequence(F.lit(0), F.size(p) - 1), lambda i: apart(p, i))
+    return ~(edges(a) | edges(b))

@@ -56,3 +56,76 @@ def status(published: Column, delta: Column, hard: Column) -> Column:
 def overlay(base: DataFrame, over: DataFrame, key: str) -> DataFrame:
     """Overlay rows replace base rows of the same key; all others stay."""
     return over.withColumn("origin", F.lit("overlay")).unionByName(base.join(over.select(key), key, "left_anti").withColumn("origin", F.lit("base")))
+
+
+def natural_order(ref: Column) -> list[Column]:
+    """Order of references: by leading number, those without one behind, then by letters regardless of case, lower case first."""
+    number = F.try_to_number(F.nullif(F.regexp_extract(ref, r"^(\d{1,9})", 1), F.lit("")), F.lit("999999999")).cast("long")
+    return [F.coalesce(number, F.lit(1_000_000).cast("long")), F.lower(ref), ref.desc()]
+
+
+def published(lines: DataFrame, pub: DataFrame) -> DataFrame:
+    """lines(c_custkey, grp, ref, name), pub(p_partkey, grp, label, n) -> (c_custkey, tier, p_partkey): the best match within a group.
+
+    Four candidate sets, each by an equi-join on the group and a key of the label: its number (1 if it is the only one,
+    2 otherwise: no parenthesis first, then most stations), its whole name (3), a word of eight letters or more (4, if
+    the only one).
+    """
+    number = F.nullif(F.regexp_extract("label", r"(?i)^line (\w+)", 1), F.lit(""))
+    hits = lines.select("c_custkey", "grp", "ref").join(pub.select("p_partkey", "grp", "n", number.alias("ref"), F.contains("label", F.lit("(")).cast("int").alias("par")), ["grp", "ref"])
+    one = hits.groupBy("c_custkey").agg(F.count("*").alias("k"), F.min(F.struct("par", (-F.col("n")).alias("m"), "p_partkey")).alias("b"))
+    numbered = one.select("c_custkey", F.when(F.col("k") == 1, 1).otherwise(2).alias("tier"), F.col("b.p_partkey").alias("p_partkey"))
+    equal = lines.select("c_custkey", "grp", F.col("name").alias("label")).join(pub, ["grp", "label"]).groupBy("c_custkey").agg(F.min(F.struct((-F.col("n")).alias("m"), "p_partkey")).alias("b")).select("c_custkey", F.lit(3).alias("tier"), F.col("b.p_partkey").alias("p_partkey"))
+
+    def long_words(df: DataFrame, key: str, c: str) -> DataFrame:
+        return df.select(key, "grp", F.explode(F.array_distinct(F.filter(F.split(c, " "), lambda x: F.length(x) > 7))).alias("word"))
+
+    met = long_words(lines, "c_custkey", "name").join(long_words(pub, "p_partkey", "label"), ["grp", "word"]).groupBy("c_custkey").agg(F.min("p_partkey").alias("p_partkey"), F.max("p_partkey").alias("last"))
+    loose = met.filter("p_partkey = last").select("c_custkey", F.lit(4).alias("tier"), "p_partkey")
+    best = numbered.unionByName(equal).unionByName(loose).groupBy("c_custkey").agg(F.min(F.struct("tier", "p_partkey")).alias("b"))
+    return best.select("c_custkey", "b.tier", "b.p_partkey")
+
+
+def share_ends(mine: Column, theirs: Column) -> Column:
+    """Whether two of mine, or all if there are fewer, contain or are contained in one of theirs."""
+    hits = F.filter(mine, lambda a: F.exists(theirs, lambda b: F.contains(a, b) | F.contains(b, a)))
+    return F.size(hits) >= F.least(F.lit(2), F.size(mine))
+
+
+def resolve(official: DataFrame, stations: DataFrame, aliases: DataFrame, reach: int) -> DataFrame:
+    """official(id, key, alias, x, y), stations(station, key, x, y), aliases(alias, station) -> (id, station, how): by key, else alias, else the nearest within reach, else missing."""
+    by_key = official.select("id", "key").join(stations.select("key", "station"), "key").groupBy("id").agg(F.min("station").alias("a"))
+    by_alias = official.select("id", "alias").join(aliases, "alias").groupBy("id").agg(F.min("station").alias("b"))
+    around = lambda c: F.explode(F.sequence(F.floor(F.col(c) / reach) - 1, F.floor(F.col(c) / reach) + 1))
+    o = official.select("id", "x", "y").withColumn("cx", around("x")).withColumn("cy", around("y"))
+    st = stations.select("station", F.col("x").alias("sx"), F.col("y").alias("sy"), F.floor(F.col("x") / reach).alias("cx"), F.floor(F.col("y") / reach).alias("cy"))
+    dx, dy = F.col("x") - F.col("sx"), F.col("y") - F.col("sy")
+    near = o.join(st, ["cx", "cy"]).filter((F.abs(dx) <= reach) & (F.abs(dy) <= reach)).groupBy("id").agg(F.min(F.struct((dx * dx + dy * dy).alias("d"), "station"))["station"].alias("c"))
+    all_ = official.select("id").join(by_key, "id", "left").join(by_alias, "id", "left").join(near, "id", "left")
+    how = F.when(F.col("a").isNotNull(), "key").when(F.col("b").isNotNull(), "alias").when(F.col("c").isNotNull(), "near").otherwise("missing")
+    return all_.select("id", F.coalesce("a", "b", "c").alias("station"), how.alias("how"))
+
+
+def pinned(entries: DataFrame, stations: DataFrame) -> DataFrame:
+    """entries(c_custkey, entry), stations(station, name, line) -> (c_custkey, entry, station): Name, or Name@REF for a line; names match whole or by a part."""
+    parts = stations.select("station", "line", F.explode(F.array_distinct(F.concat(F.array("name"), F.split("name", " / ")))).alias("part"))
+    e = entries.select("c_custkey", "entry", F.split_part("entry", F.lit("@"), F.lit(1)).alias("part"), F.nullif(F.split_part("entry", F.lit("@"), F.lit(2)), F.lit("")).alias("ref"))
+    free = parts.groupBy("part").agg(F.min("station").alias("any_"))
+    on_line = parts.groupBy("part", F.col("line").alias("ref")).agg(F.min("station").alias("own"))
+    met = e.join(free, "part", "left").join(on_line, ["part", "ref"], "left")
+    return met.select("c_custkey", "entry", F.when(F.col("ref").isNull(), F.col("any_")).otherwise(F.col("own")).alias("station"))
+
+
+def labels_below(labels: DataFrame, cell: float) -> DataFrame:
+    """labels(id, sheet, em, angle, x, y) -> (id, below): the first label, by y and x, that may go on below; cells must be wider than 1.6 of any em."""
+    around = lambda c: F.explode(F.sequence(F.floor(F.col(c) / cell) - 1, F.floor(F.col(c) / cell) + 1))
+    a = labels.withColumn("cx", around("x")).withColumn("cy", around("y"))
+    b = labels.select("sheet", "angle", F.col("id").alias("below"), F.col("em").alias("em2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
+    em, down, aside = F.col("em"), F.col("y2") - F.col("y"), F.abs(F.col("x2") - F.col("x"))
+    fits = (F.col("id") != F.col("below")) & (F.abs(F.col("em2") - em) <= em * 0.15) & down.between(em * 0.8, em * 1.6) & (aside <= em * 0.6)
+    return a.join(b, ["sheet", "angle", "cx", "cy"]).filter(fits).groupBy("id").agg(F.min(F.struct("y2", "x2", "below"))["below"].alias("below"))
+
+
+def merged(defaults: Column, own: Column) -> Column:
+    """A map over its defaults, key by key."""
+    return F.map_concat(F.map_filter(defaults, lambda k, _: F.try_element_at(own, k).isNull()), own)

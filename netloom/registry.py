@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["network", "names", "geometry", "state", "reports", "shapes"]
+MODULES = ["network", "names", "geometry", "state", "reports", "shapes", "lines", "solids"]
 
 
 @dataclass(frozen=True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netloom.operators import fold, graph, proximity, shapes
 from netloom.plans import shapes as plan_shapes
-from netloom.plans import state
+from netloom.plans import solids, state
 from netloom.plans.tables import table, towns
 
 
@@ -36,6 +36,18 @@ def test_schedule(spark, data_dir):
     assert {tuple(r) for r in state.lpt_schedule(spark, data_dir).collect()} == want
 
 
+def test_four_pools(spark, data_dir):
+    want = {}
+    for farm, rows in by_key(table(spark, data_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", "o_orderkey").items():
+        for pool in (1, 2, 3, 4):
+            free, end = [0.0] * pool, 0.0
+            for r in sorted(rows, key=lambda r: -r["o_totalprice"]):
+                at = min(range(pool), key=lambda m: free[m])
+                end, free[at] = max(end, free[at] + r["o_totalprice"]), free[at] + r["o_totalprice"] + 300.0
+            want[(farm, pool)] = (end, len(rows))
+    assert {(r["c_custkey"], r["pool"]): (r["makespan"], r["jobs"]) for r in solids.what_if_farms(spark, data_dir).collect()} == want
+
+
 def test_greedy_clusters_by_component_equal_those_of_the_whole_name(spark, data_dir):
     k = F.col("p_partkey")
     nodes = by_key(table(spark, data_dir, "part").select(k.alias("id"), "p_brand", *towns(k)), "p_brand", "id")
