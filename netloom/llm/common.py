@@ -99,6 +99,23 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranked(rows: DataFrame, order: list[Column], most: int | None = None) -> DataFrame:
+    """Adds rank: the place of each row in the whole order, from 1, up to ``most``; null for the rest.
+
+    Rows are sorted by ranges and written; a place is that in its range, plus the rows of the ranges before. What is
+    gathered is one count for each partition.
+    """
+    placed = scratch(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__nl_at", F.monotonically_increasing_id()), "placed")
+    part, before, table = F.shiftright("__nl_at", 33), 0, []
+    for p, n in sorted((r["p"], r["n"]) for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()):
+        table.append((p, before))
+        before += n
+    starts = rows.sparkSession.createDataFrame(table, "__nl_p long, __nl_before long")
+    rank = F.col("__nl_before") + F.col("__nl_at").bitwiseAND((1 << 33) - 1) + 1
+    found = rank if most is None else F.when(rank <= most, rank)
+    return placed.join(F.broadcast(starts), part == F.col("__nl_p")).withColumn("rank", found).drop("__nl_at", "__nl_p", "__nl_before")
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Removes the intermediate tables once results are written."""
     jvm = spark._jvm
@@ -115,4 +132,4 @@ def rows_over(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() > limit
 
 
-__all__ = ["F", "KEY", "SPACES", "SPACE_CHARS", "Window", "clear_scratch", "equal", "let", "lookup", "n_words", "rows_over", "same_key", "scratch", "shared_dir", "table", "with_key", "words"]
+__all__ = ["F", "KEY", "SPACES", "SPACE_CHARS", "Window", "clear_scratch", "equal", "let", "lookup", "n_words", "ranked", "rows_over", "same_key", "scratch", "shared_dir", "table", "with_key", "words"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_text, language_id, line_dedup, mixing, near_dedup, quality, substring_dedup, token_counts
+from . import chat, decontam, hard_negatives, html_text, importance, language_id, line_dedup, mixing, near_dedup, quality, substring_dedup, token_counts
 from .common import n_words, scratch, table
 
 
@@ -52,6 +52,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.col("__nl_lines").alias("n_lines"), F.col("__nl_removed").alias("n_removed"), F.col("__nl_longest").alias("longest_run"), digest.alias("kept_sha256"))
 
 
+def op11_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -65,6 +75,8 @@ QUERIES = {
         op8_token_counts,
         op9_language_id,
         op10_line_dedup,
+        op11_hard_negative_mining,
+        op13_importance_resampling,
     )
 }
 
@@ -76,4 +88,6 @@ ORACLES = {
     "op6_source_mixing": mixing.ORACLE,
     "op7_substring_dedup": substring_dedup.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op11_hard_negative_mining": hard_negatives.ORACLE,
+    "op13_importance_resampling": importance.ORACLE,
 }

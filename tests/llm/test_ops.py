@@ -17,7 +17,7 @@ def texts(spark):
     return [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
 
 
-@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+@pytest.mark.parametrize("name", sorted(k for k in queries.ORACLES if int(k[2:].split("_")[0]) <= 10))  # the others' tests are in files of their own
 def test_query_against_sql(name, same):
     same(queries.QUERIES[name], queries.ORACLES[name])
 
