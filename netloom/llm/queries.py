@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, hard_negatives, html_text, importance, language_id, line_dedup, mixing, near_dedup, quality, substring_dedup, token_counts
+from . import chat, decontam, hard_negatives, html_text, importance, language_id, line_dedup, mixing, near_dedup, quality, substring_dedup, suffix_dedup, token_counts
 from .common import n_words, scratch, table
 
 
@@ -58,6 +58,10 @@ def op11_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
 
 
+def op12_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated_strings(table(spark, sf_dir, "documents"), with_kept=False)
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -76,6 +80,7 @@ QUERIES = {
         op9_language_id,
         op10_line_dedup,
         op11_hard_negative_mining,
+        op12_suffix_array_dedup,
         op13_importance_resampling,
     )
 }
@@ -89,5 +94,6 @@ ORACLES = {
     "op7_substring_dedup": substring_dedup.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
     "op11_hard_negative_mining": hard_negatives.ORACLE,
+    "op12_suffix_array_dedup": suffix_dedup.ORACLE,
     "op13_importance_resampling": importance.ORACLE,
 }
