@@ -13,7 +13,7 @@ minimizers builds a run-compressed index of them (``run_index``), streams their
 matching statistics and marks all strings that start earlier.
 
 A minimizer may stand in a third of all texts, each time in other surroundings.
-A group of over PIECE bytes of different segments is therefore dealt anew, by a
+A group of over LARGE bytes of different segments is therefore dealt anew, by a
 longer gram around the minimizer: half of what is missing to the whole string,
 on the left for strings that have it there, else on the right. After a few
 rounds the gram is the string itself.
@@ -37,8 +37,8 @@ LENGTH = 100
 CHUNK, COMPARED = 1 << 18, 32 << 20
 #: Text for each block of minimizers, fewest blocks, and minimizers after which a task sends its own.
 BLOCK_BYTES, LEAST_BLOCKS, HELD = 64 << 20, 64, 1 << 21
-#: Bytes of an index.
-PIECE = 4 << 20
+#: Bytes of an index, so that its arrays stay near the processor; and of a group's different segments beyond which it is dealt anew.
+PIECE, LARGE = 1 << 19, 4 << 20
 #: A document: 64 bits of id and text, and 64 of the text.
 KEY = ["__nl_h", "__nl_k"]
 BEFORE_ALL = -(1 << 63)
@@ -92,6 +92,18 @@ def _changes(at: np.ndarray, where: np.ndarray) -> np.ndarray:
     return new
 
 
+def _packed(g: np.ndarray, place: np.ndarray) -> tuple[bytes, bytes]:
+    """The upper 48 bits of hashes (the block is told by other bits), and places with their lower halves first: less to shuffle."""
+    place = place.astype(np.uint32).view(np.uint16).reshape(-1, 2)
+    return np.ascontiguousarray(g.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes(), np.ascontiguousarray(place.T).tobytes()
+
+
+def _unpacked(g: bytes, place: bytes) -> tuple[np.ndarray, np.ndarray]:
+    wide = np.zeros((len(g) // 6, 8), np.uint8)
+    wide[:, 2:] = np.frombuffer(g, np.uint8).reshape(-1, 6)
+    return wide.view(np.uint64)[:, 0], np.ascontiguousarray(np.frombuffer(place, np.uint16).reshape(2, -1).T).view(np.uint32)[:, 0]
+
+
 ASKED = f"b long, g binary, h binary, place binary, many binary, {KEY[0]} long, places binary"
 
 
@@ -117,7 +129,8 @@ def _ask(length: int, gram: int, blocks: int):
         for i in range(0, len(cuts) - 1, 256):
             part = cuts[i : i + 257]
             ends = list(zip(part[:-1].tolist(), part[1:].tolist(), strict=True))
-            cols = [pa.array([v[at[x:y]].tobytes() for x, y in ends], pa.binary()) for v in (g, h, place)]
+            packed = [_packed(g[at[x:y]], place[at[x:y]]) for x, y in ends]
+            cols = [pa.array(v, pa.binary()) for v in ([p[0] for p in packed], [h[at[x:y]].tobytes() for x, y in ends], [p[1] for p in packed])]
             yield pa.RecordBatch.from_arrays([pa.array(b[part[:-1]]), *cols, pa.array([many[x:y].tobytes() for x, y in ends], pa.binary()), pa.nulls(len(ends), pa.int64()), pa.nulls(len(ends), pa.binary())], names)
 
     def run(batches):
@@ -147,7 +160,8 @@ def _answer(batches):
     """Rows sorted by block -> the places of minimizers that occur twice in it."""
 
     def answered(rows: list[tuple]):
-        g, h, place, many = (np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in enumerate((np.uint64, np.int64, np.uint32, np.uint8)))
+        g, place = (np.concatenate(x) for x in zip(*(_unpacked(r[0], r[2]) for r in rows), strict=True))
+        h, many = (np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in ((1, np.int64), (3, np.uint8)))
         by = np.argsort(g, kind="stable")
         new = np.append(True, g[by][1:] != g[by][:-1])
         group = np.cumsum(new) - 1
@@ -176,7 +190,7 @@ def _answer(batches):
         yield from answered(rows)
 
 
-#: kind 0: the strings from lo to hi are removed; 1: a segment, whose strings start at lo to hi, with its gram at m.
+#: kind 0: the strings from lo to hi are removed; 1: a segment, whose strings start at lo and the next places (hi is null), with its gram at m.
 ROW = f"kind int, key long, ord long, {KEY[0]} long, {KEY[1]} long, lo long, hi long, m int, seg binary"
 NAMES = [x.split()[0] for x in ROW.split(", ")]
 
@@ -235,7 +249,7 @@ def _segments(length: int, gram: int):
                     x = at[i : i + 20_000]
                     r = row[x]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.ones(len(x), np.int32)), pa.array(g[x].view(np.int64)), *(pa.array(v[r]) for v in (order, h, k)), pa.array(lo[x]), pa.array(lo[x] + n[x] - 1), pa.array(m[x].astype(np.int32)), pa.array([content[j] for j in number[own[x]].tolist()], pa.binary())],
+                        [pa.array(np.ones(len(x), np.int32)), pa.array(g[x].view(np.int64)), *(pa.array(v[r]) for v in (order, h, k)), pa.array(lo[x]), pa.nulls(len(x), pa.int64()), pa.array(m[x].astype(np.int32)), pa.array([content[j] for j in number[own[x]].tolist()], pa.binary())],
                         NAMES,
                     )
 
@@ -273,8 +287,8 @@ def _segments(length: int, gram: int):
     return run
 
 
-def _split(seg: bytes, lo: int, m: int, gram: int, length: int) -> list[tuple[int, int, int, int, bytes]]:
-    """(key, lo, hi, m, segment) of a segment's strings by a longer gram: on the left for those that have enough there, else on the right."""
+def _split(seg: bytes, lo: int, m: int, gram: int, length: int) -> list[tuple[int, int, int, bytes]]:
+    """(key, lo, m, segment) of a segment's strings by a longer gram: on the left for those that have enough there, else on the right."""
     more = (length - gram + 1) // 2
     n, out = len(seg) - length + 1, []
     cut = min(n, max(0, m - more + 1))  # strings up to here have ``more`` bytes before the gram
@@ -282,7 +296,7 @@ def _split(seg: bytes, lo: int, m: int, gram: int, length: int) -> list[tuple[in
         if x < y:
             around = seg[begin : begin + gram + more]
             key = int.from_bytes(hashlib.blake2b(around, digest_size=8, person=b"left" if begin < m else b"right").digest(), "little", signed=True)
-            out.append((key, lo + x, lo + y - 1, begin - x, seg[x : y + length - 1]))
+            out.append((key, lo + x, begin - x, seg[x : y + length - 1]))
     return out
 
 
@@ -309,7 +323,7 @@ def _index(length: int, gram: int):
             kind = np.asarray(batch.column(0))
             if (kind == 0).any():
                 yield batch.filter(pa.array(kind == 0))
-            for key, order, h, k, lo, hi, m, seg in zip(*(batch.filter(pa.array(kind == 1)).column(i).to_pylist() for i in range(1, 9)), strict=True):
+            for key, order, h, k, lo, m, seg in zip(*(batch.filter(pa.array(kind == 1)).column(i).to_pylist() for i in (1, 2, 3, 4, 5, 7, 8)), strict=True):
                 if key != now:
                     if size >= PIECE or len(removed) > 200_000:
                         yield from marked()
@@ -318,20 +332,20 @@ def _index(length: int, gram: int):
                 first = seen.get(seg)
                 if first is not None:
                     if first != (h, k, lo):
-                        removed.append((h, k, lo, hi))
+                        removed.append((h, k, lo, lo + len(seg) - length))
                     continue
                 if not large:
                     seen[seg] = (h, k, lo)
                     own += len(seg)
-                    if own > PIECE and gram < length:
+                    if own > LARGE and gram < length:
                         large = True
                         for (h2, k2, lo2), (o2, m2), s2 in zip(who[group:], extra, texts[group:], strict=True):
-                            again.extend((1, x[0], o2, h2, k2, *x[1:]) for x in _split(s2, lo2, m2, gram, length))
+                            again.extend((1, x[0], o2, h2, k2, x[1], None, *x[2:]) for x in _split(s2, lo2, m2, gram, length))
                         size -= sum(map(len, texts[group:]))
                         del texts[group:], who[group:]
                         seen = {}
                 if large:
-                    again.extend((1, x[0], order, h, k, *x[1:]) for x in _split(seg, lo, m, gram, length))
+                    again.extend((1, x[0], order, h, k, x[1], None, *x[2:]) for x in _split(seg, lo, m, gram, length))
                     if len(again) > 20_000:
                         yield _batch(again)
                         again = []

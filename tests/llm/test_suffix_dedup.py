@@ -72,7 +72,7 @@ def test_copies_add_no_runs():
 @pytest.mark.parametrize(("length", "gram", "piece", "chunk", "held"), [(20, 10, 4 << 20, 1 << 18, 1 << 21), (20, 10, 200, 64, 50), (21, 5, 60, 128, 1000), (13, 13, 4 << 20, 1 << 18, 1 << 21), (9, 1, 30, 32, 10)])
 def test_strings_against_brute_force(spark, monkeypatch, length, gram, piece, chunk, held):
     """Also in small slices, in small indexes and with groups dealt anew up to the whole string."""
-    for name, v in (("PIECE", piece), ("CHUNK", chunk), ("HELD", held), ("COMPARED", 10 * piece)):
+    for name, v in (("PIECE", piece), ("LARGE", piece), ("CHUNK", chunk), ("HELD", held), ("COMPARED", 10 * piece)):
         monkeypatch.setattr(suffix_dedup, name, v)
     docs = passages(length, 120)
     docs = list({i: (i, t) for i, t in docs}.values())
@@ -82,7 +82,7 @@ def test_strings_against_brute_force(spark, monkeypatch, length, gram, piece, ch
 
 def test_a_passage_in_all_texts_is_dealt_anew(spark, monkeypatch):
     """A line of 70 bytes in every text, in other surroundings each time, is no match; one of 100 is."""
-    monkeypatch.setattr(suffix_dedup, "PIECE", 2000)
+    monkeypatch.setattr(suffix_dedup, "LARGE", 2000)
     rng = random.Random(3)
     noise = lambda: "".join(rng.choice("abcdefghij") for _ in range(60))
     short, long = "-" + "s" * 30 + noise()[:39], noise() + noise()[:41]
