@@ -177,3 +177,26 @@ def css_rules(c: Column) -> Column:
         return F.flatten(F.transform(sel, lambda s: F.transform(decl, lambda p: F.struct(s.alias("selector"), p["property"].alias("property"), p["value"].alias("value"), (i * 1000 + p["j"]).alias("ord")))))
 
     return F.flatten(F.transform(blocks, block))
+
+
+def decode_entities(c: Column) -> Column:
+    """Character entities as their characters: the five named ones in this order, then decimal and hexadecimal numbers. Numbers that are no character stay."""
+    for name, to in (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
+        c = F.replace(c, F.lit(name), F.lit(to))
+
+    def numbered(s: Column, pattern: str, base: int) -> Column:
+        def put(acc: Column, item: Column) -> Column:
+            n = F.conv(F.regexp_extract(item, "([0-9a-fA-F]+);$", 1), base, 10).try_cast("long")
+            fits = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+            return F.replace(acc, item, F.when(fits, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(item))
+
+        return F.aggregate(F.array_distinct(F.regexp_extract_all(s, F.lit(pattern), F.lit(0))), s, put)
+
+    return F.when(F.contains(c, F.lit("&#")), numbered(numbered(c, "&#[0-9]+;", 10), "&#[xX][0-9a-fA-F]+;", 16)).otherwise(c)
+
+
+def encode_entities(c: Column) -> Column:
+    """Text as it stands in markup, also inside quoted attributes."""
+    for plain, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(plain), F.lit(name))
+    return c
