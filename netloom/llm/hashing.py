@@ -1,11 +1,14 @@
 """Word and window hashes of whole Arrow batches with numpy, without Python strings.
 
-A word's hash is a polynomial over its bytes modulo 2^64, read off prefix sums,
-so one pass of a few vector operations hashes all words of a batch.
+A word's hash is the sum of random numbers, one for each byte and its place in the
+word (tabulation), so no words are made to collide by their structure; words of
+over 256 bytes take a digest instead. Runs of words are polynomials over these
+hashes: they are far shorter than the words on which such polynomials fail.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,13 +67,16 @@ def chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.n
 
 
 class WordHasher:
+    #: Places of a word that have numbers of their own.
+    PLACES = 256
+
     def __init__(self, lower: bool):
-        codes = seeds(256, 11)
+        self.table = seeds(256 * self.PLACES, 11)
+        self.fold = np.arange(256, dtype=np.uint8)
         self.space = np.zeros(256, bool)
         self.space[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
         if lower:
-            codes[0x41:0x5B] = codes[0x61:0x7B]
-        self.codes, self.powers = codes, Powers(BASE_BYTES)
+            self.fold[0x41:0x5B] += 32
 
     def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of all words in order: hash, document (from 0), first byte, byte after the last."""
@@ -85,10 +91,15 @@ class WordHasher:
         begins[1:] &= ~word[:-1] | edge[1:n]
         ends[:-1] &= ~word[1:] | edge[1:n]
         s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        up, down = self.powers.get(n)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.codes[data] * up, out=total[1:])
-        h = mix((total[e] - total[s]) * down[s])
+        if not len(s):
+            return np.zeros(0, np.uint64), s, s, e
+        size = e - s
+        first = np.cumsum(size) - size
+        place = np.arange(first[-1] + size[-1]) - np.repeat(first, size)
+        cells = ((place & (self.PLACES - 1)) << 8) | self.fold[data[word]]
+        h = mix(np.add.reduceat(self.table[cells], first) + size.astype(np.uint64))
+        for i in np.flatnonzero(size > self.PLACES).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.fold[data[s[i] : e[i]]].tobytes(), digest_size=8).digest(), "little")
         return h, np.searchsorted(off, s, "right") - 1, s, e
 
 
