@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not shown.
-UNSEEN = frozenset("head title script style template noscript object iframe svg math canvas audio video datalist".split())
+UNSEEN = frozenset("head title script style template noscript object iframe canvas audio video datalist desc defs metadata annotation annotation-xml".split())
 RAW = frozenset("script style title textarea iframe noscript".split())
 #: Blocks, with the blank lines around them.
 BLOCKS = dict.fromkeys("address article aside body center dd details dialog div dt fieldset figcaption figure footer form header hgroup html legend li main nav option section summary tr caption tbody thead tfoot td th".split(), 0)
@@ -37,7 +38,6 @@ QUOTED = re.compile(r"""/\*.*?(?:\*/|\Z)|"[^"]*"|'[^']*'""", re.S)
 SHEET = re.compile(r"<style(?=[\s>])[^>]*>(.*?)(?:</style|\Z)", re.I | re.S)
 #: Rules for print, fonts and the like; rules; selectors of one element by its name, id and classes.
 AT_RULE = re.compile(r"@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}|\Z)")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 SELECTOR = re.compile(r"(\*|[a-z][\w-]*)?((?:[#.][\w-]+)*)", re.I)
 INLINE = (1, 0, 0, 0)
 BLANK = re.compile(r"[ \t\n\r\f]+")
@@ -104,22 +104,26 @@ def declarations(style: str) -> list[tuple[str, bool, str]]:
     return out
 
 
-def style_sheet(page: str) -> list[tuple[str, set, set, tuple, list]]:
-    """(element, ids, classes, specificity, declarations) of the rules about visibility in a page's style sheets, in order. Selectors that look at more than one element, and rules for some media only, are left out."""
-    rules = []
+def style_sheet(page: str) -> dict[str, list[tuple]]:
+    """The rules about visibility in a page's style sheets: number, element, ids, classes, specificity, declarations, by what an element must have (#id, .class, name or *). Selectors that look at more than one element, and rules for some media only, are left out."""
+    rules: dict[str, list[tuple]] = {}
+    n = 0
     for m in SHEET.finditer(page):
-        for r in RULE.finditer(AT_RULE.sub(" ", QUOTED.sub(" ", m[1]))):
-            said = declarations(r[2])
-            for one in r[1].split(",") if said else ():
+        for block in AT_RULE.sub(" ", QUOTED.sub(" ", m[1])).split("}")[:-1]:
+            before, brace, body = block.rpartition("{")
+            said = declarations(body) if brace else []
+            for one in before.rpartition("{")[2].split(",") if said else ():
                 k = SELECTOR.fullmatch(one.strip())
                 if k and one.strip():
                     ids, classes = ({x[1:] for x in re.findall(rf"[{c}][\w-]+", k[2])} for c in "#.")
                     name = (k[1] or "*").lower()
-                    rules.append((name, ids, classes, (0, len(ids), len(classes), int(name != "*")), said))
+                    key = f"#{min(ids)}" if ids else f".{min(classes)}" if classes else name
+                    rules.setdefault(key, []).append((n, name, ids, classes, (0, len(ids), len(classes), int(name != "*")), said))
+                    n += 1
     return rules
 
 
-def visibility(name: str, attrs: str, sheet: list) -> tuple[bool, str | None]:
+def visibility(name: str, attrs: str, sheet: dict[str, list[tuple]]) -> tuple[bool, str | None]:
     """Whether an element is not there at all, and the visibility that it states for itself and its content."""
     if not sheet and not MAY_HIDE.search(attrs):
         return False, None
@@ -127,7 +131,8 @@ def visibility(name: str, attrs: str, sheet: list) -> tuple[bool, str | None]:
     said = [(INLINE, declarations(html.unescape(own.get("style", ""))))]
     if sheet:
         classes, ids = set(own.get("class", "").split()), {own.get("id", "")}
-        said = [(k, d) for n, i, c, k, d in sheet if n in ("*", name) and i <= ids and c <= classes] + said
+        may = sorted((r for key in (*(f"#{x}" for x in ids), *(f".{x}" for x in classes), name, "*") for r in sheet.get(key, ())), key=lambda r: r[0])
+        said = [(k, d) for _, n, i, c, k, d in may if n in ("*", name) and i <= ids and c <= classes] + said
     won: dict[str, tuple] = {}
     for rank, decls in said:  # of equal rank the last counts
         for prop, important, value in decls:
@@ -197,19 +202,25 @@ def render(page: str | None) -> tuple[str, int, int]:
     """The visible text of a page, and how many list items and tables it holds; empty for null."""
     page = page or ""
     end = page.rfind(">") + 1
-    sheet = style_sheet(page) if SHEET.search(page) else []
+    sheet = style_sheet(page[:end]) if "<style" in page.lower() else {}
     frames, tables, lists = [Frame()], [], []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, not there, pre, visible
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # name, not there, pre, visible, closed details
+    opened: Counter[str] = Counter()  # names in the stack, so that it is not walked for one that is not there
     n_items = n_tables = 0
 
     def there() -> bool:
         return not (stack and stack[-1][1])
 
     def shown() -> bool:
-        return not stack or (not stack[-1][1] and stack[-1][3])
+        return not stack or (not stack[-1][1] and stack[-1][3] and not stack[-1][4])
+
+    def push(name: str, gone: bool, pre: bool, visible: bool, closed: bool = False) -> None:
+        stack.append((name, gone, pre, visible, closed))
+        opened[name] += 1
 
     def pop() -> None:
-        name, gone, _, _ = stack.pop()
+        name, gone, *_ = stack.pop()
+        opened[name] -= 1
         if gone:
             return
         f = frames[-1]
@@ -229,6 +240,8 @@ def render(page: str | None) -> tuple[str, int, int]:
                 lists.pop()
 
     def end_of(names: set, shields: set) -> None:
+        if not any(opened[n] for n in names):
+            return
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] in names:
                 while len(stack) > k:
@@ -256,6 +269,8 @@ def render(page: str | None) -> tuple[str, int, int]:
                 if there():
                     frames[-1].close()
                 continue
+            if not opened[name]:
+                continue
             shields = set() if name in ("html", "body", "table") else {"table"} if name in ("td", "th", "tr", "tbody", "thead", "tfoot") else {"td", "th", "table"}
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
@@ -270,10 +285,11 @@ def render(page: str | None) -> tuple[str, int, int]:
         if name in ENDS:
             end_of(*ENDS[name])
         if name in ("td", "th") and tables and there() and not (stack and stack[-1][0] == "tr"):
-            stack.append(("tr", False, False, shown()))
+            push("tr", False, False, shown())
             tables[-1].append([])
         gone, stated = visibility(name, attrs, sheet) if attrs or sheet else (False, None)
-        gone = gone or not there() or name in UNSEEN
+        own = attributes(attrs) if name in ("dialog", "details") else {}
+        gone = gone or not there() or name in UNSEEN or (name == "dialog" and "open" not in own) or bool(stack and stack[-1][4] and name != "summary")
         visible = (not stack or stack[-1][3]) if stated in (None, "inherit") else stated not in ("hidden", "collapse")
         f = frames[-1]
         if not gone:
@@ -305,7 +321,7 @@ def render(page: str | None) -> tuple[str, int, int]:
                     f.marks.append([mark, len(mark)])
         if name in VOID or attrs.endswith("/") and name not in BLOCKS:
             continue
-        stack.append((name, gone, name == "pre" or bool(stack and stack[-1][2]), visible))
+        push(name, gone, name == "pre" or bool(stack and stack[-1][2]), visible, name == "details" and "open" not in own)
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at, end)
             stop = close.start() if close else end
@@ -328,7 +344,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     their marks and indents, preformatted text as it is, cells of a table in
     aligned columns, also over several columns and rows; a row with a cell of
     several lines has several lines. Scripts, the head and elements hidden by
-    attribute, by their style or by a style sheet of the page are left out;
+    attribute, by their style or by a style sheet of the page are left out, and so
+    are dialogs that are not open and all of closed details but their summary;
     content that is made visible again inside hidden content is kept. Of style
     sheets, selectors of one element count (``p``, ``.a.b``, ``#x``), by
     specificity and order; nested ones and those for some media do not. Broken

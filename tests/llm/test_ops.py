@@ -688,3 +688,31 @@ def test_lines_odd_rows(odd, nothing):
     by = {r["doc_id"]: r for r in got}
     assert len(got) == 9 and by[1]["text"] is None and by[2]["text"] == "" and by[6]["__nl_removed"] == 1 and [r["__nl_removed"] for r in got if r["doc_id"] == 4] == [0, 0]
     assert line_dedup.drop_repeated_lines(nothing).count() == 0
+
+
+def test_words_built_to_collide_are_told_apart(spark):
+    """Words on which every polynomial modulo 2^64 fails: no window repeats, and 26 of 36 shingles are no link."""
+    turn = lambda n, a, b: "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+    for n in (128, 1024):
+        same = " ".join(f"w{i}" for i in range(34))
+        docs = spark.createDataFrame([(i, f"{same[:60]} {turn(n, *ab)} {same[60:]}") for i, ab in enumerate(("ab", "ba"))], "doc_id long, text string")
+        assert [r["n_removed"] for r in substring_dedup.remove_repeated_windows(docs, with_text=False).collect()] == [0, 0]
+        assert all(r["kept"] for r in near_dedup.near_duplicates(docs).collect())
+
+
+def test_html_broken_and_large_pages_in_linear_time():
+    import time
+
+    began = time.time()
+    assert html_text.render("<style>" + "p .x b, " * 130_000)[0] == ""
+    assert html_text.render("<style>" + "{" * 300_000 + "</style>shown")[0] == "shown"
+    assert html_text.render("<style " * 100_000)[0].startswith("<style")
+    assert html_text.render("<div>" * 100_000 + "deep")[0] == "deep"
+    page = "<style>" + "".join(f".c{i}{{display:none}}" for i in range(10_000)) + "</style>" + "".join(f"<p class='c{i}'>gone</p><p class='d{i}'>p{i}</p>" for i in range(10_000))
+    assert html_text.render(page)[0].split() == [f"p{i}" for i in range(10_000)]
+    assert time.time() - began < 15
+
+
+def test_html_drawings_formulas_dialogs_and_details():
+    got = html_text.render("<p>a <svg><title>no</title><desc>no</desc><defs><text>no</text></defs><text>b</text></svg> <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p><dialog>no</dialog><dialog open>c</dialog><details>no<p>no</p><summary>d</summary><b>no</b></details><details open><summary>e</summary>f</details>")[0]
+    assert got.split() == ["a", "b", "x=1", "c", "d", "e", "f"]
