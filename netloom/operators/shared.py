@@ -5,21 +5,31 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: The folder of a session on one machine that names none; the setting itself cannot be changed in a session.
+_OWN: dict[str, str] = {}
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table under spark.checkpoint.dir and reads it again: lineage ends, a lost executor costs nothing.
 
-    Where that is unset, a session on one machine gets a folder of its own; a cluster is told to set it.
-    """
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Where that is unset, a session on one machine gets a folder of its own; a cluster is told to set it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="netloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root}/netloom/{name}-{uuid.uuid4().hex}"
+        root = _OWN.setdefault("root", "file://" + tempfile.mkdtemp(prefix="netloom-"))
+    return root
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table into the shared folder and reads it again: lineage ends, a lost executor costs nothing."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/netloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_saved(spark: SparkSession) -> None:
+    """Removes the intermediate tables, once results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/netloom")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
