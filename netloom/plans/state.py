@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import fold, graph, sequence
+from ..operators import fold, graph, packing, sequence
 from ..registry import query
 from .tables import lat, lon, table, towns
 
@@ -185,3 +185,17 @@ def shelf_pack(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("l_partkey")
     rect = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), k.alias("item"), (10 + k % 60).cast("double").alias("w"), (10 + k * 7 % 50).cast("double").alias("h")).distinct()
     return fold.shelves(rect, "k", 180.0, 180.0)
+
+
+def triangles_to_print(spark: SparkSession, d: str) -> DataFrame:
+    """Right triangles, one for each order of a customer (its group)."""
+    k = F.col("o_orderkey")
+    w, h = 20.0 + k % 50, 20.0 + k * 7 % 61
+    zero = F.lit(0.0)
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("grp"), k.alias("item"), F.array(zero, w, zero).alias("xs"), F.array(zero, zero, h).alias("ys"), (w * h).alias("area"))
+
+
+@query("K04 K06 F38")
+def bitmap_pack(spark: SparkSession, d: str) -> DataFrame:
+    """Triangles packed by their outlines onto beds of 180 by 180."""
+    return packing.pack(triangles_to_print(spark, d), "grp", (180.0, 180.0))
