@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import graph, proximity, shapes
+from ..operators import graph, paths, proximity, shapes
 from ..operators.shared import saved
 from ..registry import query
-from .tables import table, towns
+from .tables import STOPS, stops, table, towns
 
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
@@ -159,3 +159,33 @@ def piece_report(spark: SparkSession, d: str) -> DataFrame:
     three = three.groupBy("p_brand").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", "p_partkey"))), lambda x: x["p_partkey"].cast("string")), ", ").alias("three"))
     line = F.concat(F.lit("| "), "p_brand", F.lit(" | "), F.col("n").cast("string"), F.lit(" | "), "three", F.lit(" |"))
     return g.join(three, "p_brand").select("p_brand", F.col("smallest").cast("long"), "waste", line.alias("line"))
+
+
+def stop_paths(spark: SparkSession, d: str) -> DataFrame:
+    """A path for each pattern: stairs over its stops, so every side is level or upright."""
+    s = stops(spark, d)
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    o, k = F.col("ord"), F.col("station") % 7 + 1
+    rise = F.sum(F.when(o % 2 == 0, -k).otherwise(k)).over(Window.partitionBy("seq").orderBy("ord"))
+    s = s.withColumn("up", rise).withColumn("before", F.coalesce(F.lag("up").over(Window.partitionBy("seq").orderBy("ord")), F.lit(0)))
+    return s.select(F.col("seq").alias("path"), F.posexplode(F.array(at(o * 20, F.col("before")), at(o * 20, F.col("up")))).alias("k", "p"), "ord").select("path", (F.col("ord") * 2 + F.col("k")).alias("i"), "p.x", "p.y")
+
+
+@query(
+    "G20 F18",
+    f"""WITH {STOPS}, u AS (SELECT seq, ord, CASE WHEN ord % 2 = 0 THEN -(station % 7 + 1) ELSE station % 7 + 1 END AS k, sum(CASE WHEN ord % 2 = 0 THEN -(station % 7 + 1) ELSE station % 7 + 1 END) OVER (PARTITION BY seq ORDER BY ord) AS up FROM stops),
+    p AS (SELECT seq AS path, ord * 2 + b AS i, ord * 20 AS x, CASE WHEN b = 0 THEN up - k ELSE up END AS y, CASE WHEN k > 0 THEN 1 ELSE -1 END AS v, b, ord, count(*) OVER (PARTITION BY seq) // 2 AS n FROM u, (SELECT unnest([0, 1]) AS b)),
+    s AS (SELECT *, b = 0 AND ord = 1 AS first, b = 1 AND ord = n AS last FROM p)
+    SELECT path, CAST(i - 2 AS BIGINT) AS i, x - 1.5 * v::DOUBLE AS x, y + CASE WHEN first OR last THEN 0 ELSE 1.5 END::DOUBLE AS y FROM s""",
+)
+def offset_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths one and a half to the left of the stairs."""
+    return paths.offset(stop_paths(spark, d), F.lit(1.5))
+
+
+@query("W21 G20")
+def bed_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The stairs with round corners, in pieces that fit a bed of 60 by 40."""
+    p = paths.fillet(stop_paths(spark, d), 2.0)
+    marks = stops(spark, d).select(F.col("seq").alias("path"), (F.col("ord") * 23.0).alias("s"))
+    return paths.split_for_bed(p, marks, 2.5, 60.0, 40.0)
