@@ -35,6 +35,26 @@ def fuzzy_best(labels: DataFrame, stations: DataFrame) -> DataFrame:
     return best.select("id", F.col("b.sid").alias("sid"), (-F.col("b.s")).alias("score"))
 
 
+def containing(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a(k), b(n) of distinct keys -> (k, n): all pairs of which one holds the other, without a nested loop.
+
+    A key that is held shares each of its grams (four letters, or the whole of a shorter key) with the one that holds it, so
+    candidates meet under its rarest one. The empty key is held by none.
+    """
+
+    def held(short: DataFrame, s: str, long: DataFrame, g: str) -> DataFrame:
+        pieces = lambda key, n: F.transform(F.sequence(F.lit(1), F.length(key) - (n - 1)), lambda i: F.substring(F.col(key), i, n))
+        every = F.array_distinct(F.flatten(F.array(*[F.when(F.length(g) >= n, pieces(g, n)).otherwise(F.array().cast("array<string>")) for n in range(1, LEAST_LENGTH + 1)])))
+        parts = long.select(g, F.explode(every).alias("_g"))
+        own = F.when(F.length(s) >= LEAST_LENGTH, pieces(s, LEAST_LENGTH)).otherwise(F.array(s))
+        asked = short.filter(F.length(s) > 0).select(s, F.explode(F.array_distinct(own)).alias("_g"))
+        often = parts.groupBy("_g").agg(F.count("*").alias("_n"))
+        rarest = asked.join(often, "_g", "left").groupBy(s).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g").alias("g"))).alias("_r")).filter("_r.n > 0").select(s, F.col("_r.g").alias("_g"))
+        return rarest.join(parts, "_g").filter(F.contains(g, s)).select("k", "n")
+
+    return held(a, "k", b, "n").unionByName(held(b, "n", a, "k")).distinct()
+
+
 def tiered(lines: DataFrame, cands: DataFrame) -> DataFrame:
     """lines(c_custkey, ref), cands(p_partkey, label, stations): equal labels first, then containing ones; most stations, least id.
 
@@ -43,7 +63,8 @@ def tiered(lines: DataFrame, cands: DataFrame) -> DataFrame:
     """
     refs, labels = lines.select("ref").distinct(), cands.groupBy("label").agg(F.min(F.struct((-F.col("stations")).alias("s"), F.col("p_partkey").alias("p"))).alias("best"))
     tier = F.when(F.col("label") == F.col("ref"), 1).otherwise(2)
-    hit = refs.join(labels, F.contains("label", "ref") | F.contains("ref", "label"))
+    both = containing(refs.select(F.col("ref").alias("k")), labels.select(F.col("label").alias("n")))
+    hit = both.select(F.col("k").alias("ref"), F.col("n").alias("label")).join(labels, "label")
     top = hit.groupBy("ref").agg(F.min(F.struct(tier.alias("tier"), F.col("best.s").alias("s"), F.col("best.p").alias("p"))).alias("m"))
     return lines.join(top, "ref").select("c_custkey", F.col("m.p").alias("p_partkey"), F.col("m.tier").alias("tier"))
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import saved
+
 
 def _by(keys: list[str], *order: str | Column):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -42,6 +44,21 @@ def renumber(df: DataFrame, keys: list[str], *order: str | Column, name: str = "
     return df.withColumn(name, F.row_number().over(_by(keys, *order)).cast("long"))
 
 
+def numbered(df: DataFrame, keys: list[str], *order: str | Column, name: str = "ord") -> DataFrame:
+    """As renumber, for keys that may hold any share of all rows: no window over a key.
+
+    Rows are sorted by ranges of (keys, order) and written; a row's number is its place among those of its key in its
+    range, plus what the key has in the ranges before. Keys must not be null.
+    """
+    by = [*keys, *order]
+    placed = saved(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
+    begin = placed.groupBy(*keys, part.alias("_p")).agg(F.min("_at").alias("_min"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(_by(keys, "_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begin = begin.select(*keys, "_p", (before - F.col("_min") + 1).alias("_shift"))
+    return placed.withColumn("_p", part).join(begin, [*keys, "_p"]).withColumn(name, F.col("_at") + F.col("_shift")).drop("_p", "_at", "_shift")
+
+
 def tag(prefix: str, n: Column, width: int) -> Column:
     """Zero-padded tag; numbers that are longer keep all digits."""
     s = n.cast("string")

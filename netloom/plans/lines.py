@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import matching
+from ..operators import matching, sequence
 from ..registry import query
 from .tables import table
 
@@ -22,13 +22,12 @@ def _ref() -> Column:
 @query(
     "T01",
     f"""WITH r AS (SELECT c_custkey, c_nationkey, {REF} AS ref FROM customer)
-    SELECT c_custkey, ref, row_number() OVER (PARTITION BY c_nationkey, c_custkey // 5000 ORDER BY coalesce(try_cast(regexp_extract(ref, '^(\\d+)', 1) AS BIGINT), 1000000), lower(ref), ref DESC, c_custkey)::INT AS place FROM r""",
+    SELECT c_custkey, ref, row_number() OVER (PARTITION BY c_nationkey ORDER BY coalesce(try_cast(regexp_extract(ref, '^(\\d+)', 1) AS BIGINT), 1000000), lower(ref), ref DESC, c_custkey)::INT AS place FROM r""",
 )
 def natural_line_order(spark: SparkSession, d: str) -> DataFrame:
     """Lines of a network by the leading number of their reference, others behind, then by letters, lower case first."""
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey", _ref().alias("ref"))
-    w = Window.partitionBy("c_nationkey", F.floor(F.col("c_custkey") / 5000)).orderBy(*matching.natural_order(F.col("ref")), "c_custkey")
-    return c.select("c_custkey", "ref", F.row_number().over(w).alias("place"))
+    return sequence.numbered(c, ["c_nationkey"], *matching.natural_order(F.col("ref")), "c_custkey", name="place").select("c_custkey", "ref", F.col("place").cast("int").alias("place"))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, sequence
+from ..operators import graph, matching, sequence
 from ..registry import query
 from .tables import STOPS, line_stops, patterns, stops, table
 
@@ -131,7 +131,7 @@ def local_operator_filter(spark: SparkSession, d: str) -> DataFrame:
     local = part.select(F.explode(F.split(F.concat_ws(";", "p_brand", "p_type"), ";")).alias("n")).select(F.lower(F.trim("n")).alias("n")).distinct()
     keys = table(spark, d, "customer").select("c_custkey", F.explode(F.array(F.lower("c_mktsegment"), F.concat(F.lit("brand#"), (F.col("c_custkey") % 77).cast("string")))).alias("k"))
     distinct = keys.select("k").distinct()
-    hit = distinct.join(local, (F.col("k") == F.col("n")) | ((F.length("n") > 3) & (F.contains("k", "n") | F.contains("n", "k"))), "left_semi")
+    hit = matching.containing(distinct, local).filter((F.col("k") == F.col("n")) | (F.length("n") > 3)).select("k").distinct()
     return keys.join(hit, "k", "left_semi").select("c_custkey").distinct()
 
 

@@ -90,13 +90,13 @@ def pinned_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "W05 F43",
+    "W05",
     f"""WITH l AS (SELECT c_nationkey, c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i FROM customer)
     SELECT c_nationkey, c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN '#111111' ELSE ([{", ".join(f"'{c}'" for c in FALLBACK_COLOURS)}])[(i % 16 + 1)::INT] END AS colour FROM l""",
 )
 def fallback_colours(spark: SparkSession, d: str) -> DataFrame:
-    i = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
-    c = table(spark, d, "customer").select("c_nationkey", "c_custkey", "c_mktsegment").withColumn("i", i)
+    """Lines without a colour take the fallback ones in turn, by their number within their network."""
+    c = sequence.numbered(table(spark, d, "customer").select("c_nationkey", "c_custkey", "c_mktsegment"), ["c_nationkey"], "c_custkey", name="i").withColumn("i", F.col("i") - 1)
     turn = F.element_at(F.array(*[F.lit(x) for x in FALLBACK_COLOURS]), (F.col("i") % 16 + 1).cast("int"))
     return c.select("c_nationkey", "c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", "#111111").otherwise(turn).alias("colour"))
 

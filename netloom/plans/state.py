@@ -89,8 +89,9 @@ def matrix_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query("T08 T10", "SELECT l_suppkey, l_orderkey, l_linenumber::INT AS l_linenumber, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_quantity DESC, l_orderkey, l_linenumber, l_partkey) AS r FROM lineitem) WHERE r = 1")
 def top1_with_ties(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", "l_partkey")
-    return sequence.first_of(li, ["l_suppkey"], F.col("l_quantity").desc(), "l_orderkey", "l_linenumber", "l_partkey").drop("l_partkey")
+    """The largest item of each supplier, the first of several: an aggregation that is combined before the shuffle."""
+    first = F.min(F.struct((-F.col("l_quantity")).alias("minus"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"))
+    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(first.alias("m")).select("l_suppkey", "m.l_orderkey", "m.l_linenumber", "m.l_quantity")
 
 
 @query(
@@ -100,11 +101,12 @@ def top1_with_ties(spark: SparkSession, d: str) -> DataFrame:
 )
 def row_column_tags(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "part").select("p_partkey", "p_brand", F.floor(F.col("p_retailprice") / 50).alias("band"), "p_size")
-    w = Window.partitionBy("p_brand")
-    row, col = F.dense_rank().over(w.orderBy("band")), F.row_number().over(Window.partitionBy("p_brand", "band").orderBy("p_size", "p_partkey"))
-    n, at = F.count("*").over(w), sequence.tag("", F.row_number().over(w.orderBy("p_partkey")), 4)
-    name = F.concat("p_brand", F.when(n > 1, F.concat(F.lit(" plate "), at, F.lit(" of "), n.cast("string"))).otherwise(""))
-    return b.select("p_partkey", F.concat(F.lit("R"), row.cast("string"), F.lit("C"), col.cast("string")).alias("tag"), name.alias("name"))
+    # bands are few, so their order is a small window over distinct ones; parts are numbered without a window over a brand
+    bands = b.groupBy("p_brand", "band").agg(F.count("*").alias("k")).withColumns({"row": F.dense_rank().over(Window.partitionBy("p_brand").orderBy("band")), "n": F.sum("k").over(Window.partitionBy("p_brand"))})
+    b = sequence.numbered(b, ["p_brand", "band"], "p_size", "p_partkey", name="col")
+    b = sequence.numbered(b, ["p_brand"], "p_partkey", name="at").join(bands.select("p_brand", "band", "row", "n"), ["p_brand", "band"])
+    name = F.concat("p_brand", F.when(F.col("n") > 1, F.concat(F.lit(" plate "), sequence.tag("", F.col("at"), 4), F.lit(" of "), F.col("n").cast("string"))).otherwise(""))
+    return b.select("p_partkey", F.concat(F.lit("R"), F.col("row").cast("string"), F.lit("C"), F.col("col").cast("string")).alias("tag"), name.alias("name"))
 
 
 CHAIN = "link AS (SELECT c_custkey AS a, 1 + (c_custkey * 37 + c_nationkey * 11) % (SELECT count(*) FROM customer) AS b FROM customer), sym AS (SELECT a, b FROM link WHERE a <> b UNION SELECT b, a FROM link WHERE a <> b)"
