@@ -75,7 +75,7 @@ def normalize_colours(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "A06",
+    "S06",
     r"""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<(/?[a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM pages)
     SELECT page_id, lower(tag) AS tag, count(*) AS n FROM t GROUP BY 1, 2""",
 )

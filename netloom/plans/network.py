@@ -27,7 +27,7 @@ def stops_dedup_consecutive(spark: SparkSession, d: str) -> DataFrame:
 EDGES = "edges AS (SELECT seq, least(station, b) AS a, greatest(station, b) AS b FROM (SELECT seq, station, lead(station) OVER (PARTITION BY seq ORDER BY ord) AS b FROM stops) WHERE b <> station)"
 
 
-@query("W02 J02 J03", f"WITH {STOPS}, {EDGES} SELECT a, b, count(*) AS n FROM edges GROUP BY a, b")
+@query("W02", f"WITH {STOPS}, {EDGES} SELECT a, b, count(*) AS n FROM edges GROUP BY a, b")
 def edges_undirected(spark: SparkSession, d: str) -> DataFrame:
     return sequence.undirected(sequence.steps(stops(spark, d), ["seq"], "ord", "station")).groupBy("a", "b").agg(F.count("*").alias("n"))
 
@@ -105,7 +105,7 @@ def keep_regular(routes: DataFrame, line: str, variant: str) -> DataFrame:
 
 
 @query(
-    "P03 P04",
+    "P04",
     """WITH g AS (SELECT l_orderkey, list(DISTINCT l_suppkey) FILTER (l_returnflag = 'A') AS a, list(DISTINCT l_suppkey) FILTER (l_returnflag = 'R') AS b, list(DISTINCT l_suppkey) AS c FROM lineitem GROUP BY 1),
     t AS (SELECT l_orderkey, CASE WHEN len(a) >= 2 THEN 1 WHEN len(b) >= 2 THEN 2 WHEN len(c) >= 2 THEN 3 END AS tier, CASE WHEN len(a) >= 2 THEN a WHEN len(b) >= 2 THEN b WHEN len(c) >= 2 THEN c END AS s FROM g)
     SELECT l_orderkey, tier::INT AS tier, len(s)::BIGINT AS n_stops, array_to_string(list_sort(s), ',') AS stops FROM t WHERE tier IS NOT NULL""",

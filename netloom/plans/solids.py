@@ -87,7 +87,7 @@ def what_if_farms(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "A07 A08 O09 V02 K11",
+    "A07 A08 O09 V02",
     """WITH m AS (SELECT c_mktsegment AS city, o_orderpriority AS width, count(*) AS plates, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS grams FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
     SELECT city, width, '| ' || city || ' | ' || width || ' | ' || plates || ' | ' || CAST(floor(grams * 22 / 1000.0 + 0.5) AS BIGINT) || ' |' AS line FROM m""",
 )

@@ -19,7 +19,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "W11 A20",
+    "W11",
     f"""WITH {EV} SELECT k, i, last_value(CASE WHEN t = 'click' THEN v END IGNORE NULLS) OVER w AS feed, last_value(CASE WHEN t = 'view' THEN v END IGNORE NULLS) OVER w AS heat, bool_or(t = 'purchase') OVER w AS homed
     FROM ev WINDOW w AS (PARTITION BY k ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
 )
@@ -30,7 +30,7 @@ def modal_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "F37",
+    "W11",
     f"""WITH {EV}, s AS (SELECT *, sum((t = 'view')::INT) OVER (PARTITION BY k ORDER BY ord) AS seg FROM ev)
     SELECT k, i, CAST(sum(CAST(floor(v * 100) AS BIGINT)) OVER (PARTITION BY k, seg ORDER BY ord) AS BIGINT) AS pos FROM s""",
 )

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["network", "names", "geometry", "state", "reports", "shapes", "lines", "solids", "drawings", "loops", "rewrites", "labels", "sinks"]
+MODULES = ["network", "names", "geometry", "state", "reports", "shapes", "lines", "solids", "drawings", "loops", "rewrites", "labels", "sinks", "totals"]
 
 
 @dataclass(frozen=True)
