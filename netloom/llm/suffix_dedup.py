@@ -433,17 +433,18 @@ def remove_repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int | N
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), c AS (
+  SELECT doc_id, c, substr(x, CAST(2000 * c + 1 AS BIGINT), 2198) AS s FROM (SELECT doc_id, x, unnest(range(len(x) // 2000 + 1)) AS c FROM d)
 ), w AS (
-  SELECT doc_id, i, substr(x, CAST(2 * i + 1 AS BIGINT), 200) AS s FROM (SELECT doc_id, x, unnest(range(len(x) // 2 - 99)) AS i FROM d WHERE len(x) >= 200)
+  SELECT doc_id, 1000 * c + j AS i, substr(s, CAST(2 * j + 1 AS BIGINT), 200) AS s FROM (SELECT *, unnest(range(len(s) // 2 - 99)) AS j FROM c WHERE len(s) >= 200)
 ), g AS (
   SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY md5(s) ORDER BY doc_id, i) AS r FROM w) WHERE r > 1
-), b AS (
-  SELECT doc_id, i, substr(x, CAST(2 * i + 1 AS BIGINT), 2) AS c FROM (SELECT doc_id, x, unnest(range(len(x) // 2)) AS i FROM d)
-), m AS (
-  SELECT b.doc_id, b.i, c, coalesce(max(g.i) OVER (PARTITION BY b.doc_id ORDER BY b.i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) IS NOT NULL, false) AS gone FROM b LEFT JOIN g ON b.doc_id = g.doc_id AND b.i = g.i
+), n AS (
+  SELECT doc_id, i, sum(CASE WHEN i - before <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM g)
+), r AS (
+  SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS since FROM (SELECT doc_id, min(i) AS lo, max(i) + 100 AS hi FROM n GROUP BY doc_id, span)
 ), k AS (
-  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (gone AND NOT before) AS n_spans, string_agg(c, '' ORDER BY i) FILTER (NOT gone) AS kept
-  FROM (SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS before FROM m) GROUP BY doc_id
+  SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, string_agg(substr(x, CAST(2 * since + 1 AS BIGINT), CAST(2 * (lo - since) AS BIGINT)), '' ORDER BY lo) || substr(any_value(x), CAST(2 * max(hi) + 1 AS BIGINT)) AS kept FROM r JOIN d USING (doc_id) GROUP BY doc_id
 )
-SELECT d.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+SELECT d.doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
 """
