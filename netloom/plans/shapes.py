@@ -130,15 +130,17 @@ def merged_tags(spark: SparkSession, d: str) -> DataFrame:
     SELECT line::BIGINT AS line, colour::BIGINT AS colour, score FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY score DESC, colour) AS r FROM s WHERE score > 150000000 OR hits >= 3) WHERE r = 1""",
 )
 def scored_colours(spark: SparkSession, d: str) -> DataFrame:
-    """The best colour of each line by stations near it. Colours are a dimension of a few rows (here: nations), sent to all tasks after a check of their number."""
+    """The best colour of each line by stations near it. Stations and strokes meet in cells as wide as the reach; distances to all
+    stations of a line are taken for the colours that are near one of them only, as others score nothing."""
+    reach = 300
     l = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("line"), (F.col("c_custkey") * 37 % 991).cast("double").alias("x"), (F.col("c_custkey") * 91 % 997).cast("double").alias("y"))  # noqa: E741
     k = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("colour"), (F.col("n_nationkey") * 41 % 991).cast("double").alias("kx"), (F.col("n_nationkey") * 57 % 997).cast("double").alias("ky"))
-    if k.limit(1001).count() > 1000:
-        raise ValueError("more colours than a drawing has")
     dist = geo.hypot(F.col("x") - F.col("kx"), F.col("y") - F.col("ky"))
-    colours = F.broadcast(k.agg(F.collect_list(F.struct("colour", "kx", "ky")).alias("ks")))
-    h = l.join(colours).select("line", "x", "y", F.inline("ks")).withColumn("d", dist)
-    g = h.groupBy("line", "colour").agg(F.count("*").alias("n"), F.count_if(F.col("d") <= 300).alias("hits"), F.avg("d").alias("d"))
+    cell = lambda c: F.floor(F.col(c) / reach)
+    around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
+    near = l.withColumns({"cx": cell("x"), "cy": cell("y")}).join(k.withColumn("cx", around("kx")).withColumn("cy", around("ky")), ["cx", "cy"])
+    hits = near.filter(dist <= reach).groupBy("line", "colour").agg(F.count("*").alias("hits"))
+    g = hits.join(k, "colour").join(l, "line").groupBy("line", "colour", "hits").agg(F.count("*").alias("n"), F.avg(dist).alias("d"))
     score = F.floor(F.col("hits") / F.col("n").cast("double") * (F.lit(0.4) + F.lit(0.6) * F.greatest(F.lit(0.0), 1 - F.col("d") / 300)) * 1e9 + 0.5)
     ok = g.withColumn("score", score).filter("score > 150000000 or hits >= 3")
     best = ok.groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("s"), "colour")).alias("b"))
