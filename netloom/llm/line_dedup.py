@@ -98,8 +98,11 @@ def _doubled(ranks: DataFrame, step: int, total: int) -> DataFrame:
     return scratch(ranks.filter("size = 1").unionByName(new), "ranks")
 
 
-def suffix_ranks(lines: DataFrame) -> tuple[list[DataFrame], DataFrame, int]:
-    """lines(POS, c1, c2) -> the ranks (POS, r) of each round as far as they are shared, the last ranks (POS, r), all different, and the number of positions."""
+def suffix_ranks(lines: DataFrame, most: int | None = None) -> tuple[list[DataFrame], DataFrame, int]:
+    """lines(POS, c1, c2) -> the ranks (POS, r) of each round as far as they are shared, the last ranks (POS, r), all different, and the number of positions.
+
+    With ``most``, so many rounds' ranks are enough, and the last ones may still be shared.
+    """
     total = lines.count()
     ranks, levels, step = _first_ranks(lines, total), [], 1
     while True:
@@ -107,6 +110,8 @@ def suffix_ranks(lines: DataFrame) -> tuple[list[DataFrame], DataFrame, int]:
         if shared.isEmpty():
             return levels, ranks.select(*POS, "r"), total
         levels.append(shared)
+        if len(levels) == most:
+            return levels, ranks.select(*POS, "r"), total
         ranks = _doubled(ranks, step, total)
         step *= 2
 
@@ -135,19 +140,19 @@ def _runs(lines: DataFrame, levels: list[DataFrame], last: DataFrame, min_lines:
     return pairs
 
 
-def _repeated(docs: DataFrame, min_lines: int, min_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """docs(KEY, DOC, text) -> the later copies (DOC, line), the maximal runs and the lines."""
+def _repeated(docs: DataFrame, min_lines: int, min_words: int, with_runs: bool = True) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """docs(KEY, DOC, text) -> the later copies (DOC, line), the maximal runs and the lines. Without runs, ranks are doubled only as far as deletion reads them."""
     if min_lines < 1 or min_lines & (min_lines - 1):
         raise ValueError("min_lines must be a power of two")
     lines = _positions(docs, min_words)
-    levels, last, total = suffix_ranks(lines)
     depth = min_lines.bit_length() - 1
+    levels, last, total = suffix_ranks(lines, None if with_runs else depth + 1)
     if len(levels) <= depth:  # no run is that long
         levels += [lines.limit(0).select(*POS, F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("size"))] * (depth + 1 - len(levels))
     gone = _later(levels[0], lines, total).filter("long").select(*POS)
     runs = _later(levels[depth], lines, total).select(*DOC, F.explode(F.sequence(F.col(POS[2]), F.col(POS[2]) + (min_lines - 1))).alias(POS[2]))
     gone = lines.select(*POS, "line").join(gone.unionByName(runs).distinct(), POS).select(*DOC, "line")
-    return gone, scratch(_runs(lines, levels, last, min_lines), "runs"), lines
+    return gone, scratch(_runs(lines, levels, last, min_lines), "runs") if with_runs else None, lines
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
@@ -166,10 +171,10 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     return runs.join(other, [f"q_{k}" for k in POS]).select("doc_id", "line", "other_id", "other_line", F.col("n").cast("long").alias("n_lines"))
 
 
-def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs(doc_id, text string, ...) -> its columns with text cut, __nl_lines, __nl_removed and __nl_longest; one row per input row.
+def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, with_longest: bool = True) -> DataFrame:
+    """docs(doc_id, text string, ...) -> its columns with text cut, __nl_lines, __nl_removed[ and __nl_longest]; one row per input row.
 
-    __nl_longest is the number of lines of the document's longest run that
+    __nl_longest, which only the full suffix array gives, is the number of lines of the document's longest run that
     occurs at another place too, in this document or another, 0 if none has
     ``min_lines`` lines.
 
@@ -183,10 +188,12 @@ def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words:
     those that begin with ``__nl_``; an empty table gives an empty result.
     """
     keyed = _with_doc(with_key(docs))
-    gone, runs, _ = _repeated(keyed.select(*KEY, *DOC, "text"), min_lines, min_words)
-    lists = gone.groupBy(*DOC).agg(F.collect_set("line").alias("__nl_gone"))
-    ends = runs.select(*DOC, "n").unionByName(runs.select(*[F.col(f"q_{k}").alias(k) for k in DOC], "n"))
-    found = lists.join(ends.groupBy(*DOC).agg(F.max("n").alias("__nl_n")), DOC, "full").withColumnsRenamed({k: f"{k}_g" for k in DOC})
+    gone, runs, _ = _repeated(keyed.select(*KEY, *DOC, "text"), min_lines, min_words, with_longest)
+    found = gone.groupBy(*DOC).agg(F.collect_set("line").alias("__nl_gone"))
+    if with_longest:
+        ends = runs.select(*DOC, "n").unionByName(runs.select(*[F.col(f"q_{k}").alias(k) for k in DOC], "n"))
+        found = found.join(ends.groupBy(*DOC).agg(F.max("n").alias("__nl_n")), DOC, "full")
+    found = found.withColumnsRenamed({k: f"{k}_g" for k in DOC})
     lines = _lines(F.col("text"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__nl_gone"))
     both = keyed.join(found, equal(DOC, [f"{k}_g" for k in DOC]), "left")
@@ -197,7 +204,7 @@ def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words:
         *[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns],
         n.alias("__nl_lines"),
         F.coalesce(F.size("__nl_gone"), F.lit(0)).cast("long").alias("__nl_removed"),
-        F.coalesce("__nl_n", F.lit(0)).cast("long").alias("__nl_longest"),
+        *([F.coalesce("__nl_n", F.lit(0)).cast("long").alias("__nl_longest")] if with_longest else []),
     )
 
 

@@ -716,3 +716,10 @@ def test_html_broken_and_large_pages_in_linear_time():
 def test_html_drawings_formulas_dialogs_and_details():
     got = html_text.render("<p>a <svg><title>no</title><desc>no</desc><defs><text>no</text></defs><text>b</text></svg> <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p><dialog>no</dialog><dialog open>c</dialog><details>no<p>no</p><summary>d</summary><b>no</b></details><details open><summary>e</summary>f</details>")[0]
     assert got.split() == ["a", "b", "x=1", "c", "d", "e", "f"]
+
+
+def test_lines_without_runs_are_cut_alike(spark, odd):
+    """Rounds that deletion does not read change no text."""
+    for docs in (spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text"), odd.select("doc_id", "text")):
+        full, short = (sorted(map(repr, line_dedup.drop_repeated_lines(docs, with_longest=x).select("doc_id", "text", "__nl_lines", "__nl_removed").collect())) for x in (True, False))
+        assert full == short
