@@ -29,7 +29,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     The first copy is the one of the least id, nulls first; repeated rows are one document and are cut alike. Null, empty
     and blank texts have no lines and stay as they are. n_chars is counted anew where a text was cut.
     """
-    cut = line_dedup.drop_repeated_lines(docs.select(*COLUMNS))
+    cut = line_dedup.drop_repeated_lines(docs.select(*COLUMNS), with_longest=False)
     cut = cut.withColumn("n_chars", F.when(F.col("__nl_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return cut.filter("__nl_removed < __nl_lines or __nl_removed = 0").select(*COLUMNS)
 
