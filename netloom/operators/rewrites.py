@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,11 +26,11 @@ def _on_the_way(lat: Column, lon: Column) -> Column:
     return (geo.hypot(px - t * bx, py - t * by) < F.greatest(OFF_SHARE * F.col("metres"), F.lit(OFF_M))) & (t > ALONG[0]) & (t < ALONG[1])
 
 
-def local_ways(steps: DataFrame, places: DataFrame, most: int = MOST_HOPS) -> DataFrame:
+def local_ways(steps: DataFrame, places: DataFrame, most: int | None = MOST_HOPS) -> DataFrame:
     """steps(line, seq, ord, a, b), places(station, lat, lon) -> (line, a, b, way): the shortest other way of each hop.
 
-    A way runs over hops of the same line in either direction, at most ``most``, through stops that lie along the straight
-    line only, and not over the hop itself. Of several the first is taken, where a stop's neighbours stand in the order
+    A way runs over hops of the same line in either direction, at most ``most`` (None: any number), through stops that lie
+    along the straight line only, and not over the hop itself. Of several the first is taken, where a stop's neighbours stand in the order
     in which the line's sequences name them. All hops are searched at once, a hop further each round: a stop that was
     reached keeps its first way, which bounds what a round carries by the stops along each hop.
     """
@@ -40,7 +42,7 @@ def local_ways(steps: DataFrame, places: DataFrame, most: int = MOST_HOPS) -> Da
     key, fixed = ["line", "a", "b"], ["lat_a", "lon_a", "lat_b", "lon_b", "metres"]
     at = saved(hops.select(*key, *fixed, F.col("a").alias("cur"), F.array().cast("array<struct<seq:bigint,ord:bigint>>").alias("rank"), F.array("a").alias("way")), "ways")
     seen, found = at.select(*key, "cur"), None
-    for _ in range(most):
+    for _ in range(most) if most is not None else itertools.count():
         to = at.join(near, ["line", "cur"]).filter(~((F.col("cur") == F.col("a")) & (F.col("nb") == F.col("b")))).filter((F.col("nb") == F.col("b")) | _on_the_way(F.col("lat_n"), F.col("lon_n")))
         step = F.struct(F.concat("rank", F.array(F.struct(F.col("r.seq").cast("long").alias("seq"), F.col("r.ord").cast("long").alias("ord")))).alias("rank"), F.concat("way", F.array("nb")).alias("way"))
         best = to.groupBy(*key, *fixed, F.col("nb").alias("cur")).agg(F.min(step).alias("s")).join(seen, [*key, "cur"], "left_anti")
@@ -54,12 +56,12 @@ def local_ways(steps: DataFrame, places: DataFrame, most: int = MOST_HOPS) -> Da
     return found
 
 
-def expand_express(stops: DataFrame, places: DataFrame, passes: int = PASSES) -> DataFrame:
-    """stops(line, seq, ord, station) -> the same, with each hop that has a local way replaced by it; again until nothing changes, ``passes`` times at most."""
+def expand_express(stops: DataFrame, places: DataFrame, passes: int = PASSES, most: int | None = MOST_HOPS) -> DataFrame:
+    """stops(line, seq, ord, station) -> the same, with each hop that has a local way replaced by it (``most`` hops at most; None: any number); again until nothing changes, ``passes`` times at most."""
     stops = saved(stops.select("line", "seq", F.col("ord").cast("long").alias("ord"), "station"), "stops")
     for _ in range(passes):
         steps = saved(sequence.steps(stops, ["line", "seq"], "ord", "station"), "steps")
-        ways = saved(local_ways(steps, places), "local")
+        ways = saved(local_ways(steps, places, most), "local")
         if ways.isEmpty():
             break
         first = stops.join(stops.groupBy("line", "seq").agg(F.min("ord").alias("ord")), ["line", "seq", "ord"]).select("line", "seq", (F.col("ord") - 1).alias("at"), F.lit(0).alias("k"), "station")
