@@ -6,6 +6,9 @@ possible places touch its own. So a label is settled as soon as all of those
 with a higher priority are, and a round settles all labels that can be: the same
 places, in as many rounds as the longest chain of labels in each other's way.
 Possible places meet on a grid, once; rounds only strike out what is taken.
+
+What is dealt to cells, and the small columns of a written round, take far more room than Spark's estimates tell, so all
+joins here are asked to sort both sides.
 """
 
 from __future__ import annotations
@@ -90,13 +93,13 @@ def free_places(cands: DataFrame, markers: DataFrame, lines: DataFrame, bounds:
     xs, ys = F.transform("m_poly", lambda p: p["x"]), F.transform("m_poly", lambda p: p["y"])
     m = markers.select(F.col("poly").alias("m_poly")).withColumns({"x0": F.array_min(xs), "y0": F.array_min(ys), "x1": F.array_max(xs), "y1": F.array_max(ys)})
     m = _dealt(m, size).withColumnsRenamed({f"{a}{i}": f"m_{a}{i}" for a in "xy" for i in "01"})
-    hit = _dealt(c, size, gap).join(m, ["cx", "cy"]).filter(_first_cell(size, "m_", gap) & _touch("m_", gap)).filter(geo.convex_touch(F.col("poly"), F.col("m_poly"))).select("cand").distinct()
+    hit = _dealt(c, size, gap).join(m.hint("merge"), ["cx", "cy"]).filter(_first_cell(size, "m_", gap) & _touch("m_", gap)).filter(geo.convex_touch(F.col("poly"), F.col("m_poly"))).select("cand").distinct()
     grow = F.col("r") + NEAR_BY
     s = lines.withColumns({"x0": F.least("ax", "bx") - grow, "y0": F.least("ay", "by") - grow, "x1": F.greatest("ax", "bx") + grow, "y1": F.greatest("ay", "by") + grow})
     s = _dealt(s, size).withColumnsRenamed({f"{a}{i}": f"s_{a}{i}" for a in "xy" for i in "01"})
-    near = _dealt(c, size).join(s, ["cx", "cy"]).filter(_first_cell(size, "s_") & _touch("s_"))
+    near = _dealt(c, size).join(s.hint("merge"), ["cx", "cy"]).filter(_first_cell(size, "s_") & _touch("s_"))
     near = near.withColumn("d", _distance(F.col("poly"), (F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by")))).groupBy("cand").agg(F.count_if(F.col("d") < F.col("r")).alias("on"), F.count_if((F.col("d") >= F.col("r")) & (F.col("d") < F.col("r") + NEAR_BY)).alias("by"))
-    left = c.join(hit, "cand", "left_anti").join(near, "cand", "left").filter(F.coalesce("on", F.lit(0)) == 0)
+    left = c.join(hit.hint("merge"), "cand", "left_anti").join(near.hint("merge"), "cand", "left").filter(F.coalesce("on", F.lit(0)) == 0)
     return left.withColumn("cost", F.col("cost") + NEAR * F.coalesce("by", F.lit(0))).drop("on", "by")
 
 
@@ -108,25 +111,25 @@ def place(labels: DataFrame, free: DataFrame, size: float) -> DataFrame:
     placed before; a place that costs NONE or more is none.
     """
     turn = F.struct((-F.col("priority")).alias("p"), (-F.col("y")).alias("y"), F.col("label").alias("label"))
-    c = free.filter(F.col("cost") < NONE).join(labels.select("label", turn.alias("turn")), "label")
+    c = free.filter(F.col("cost") < NONE).join(labels.select("label", turn.alias("turn")).hint("merge"), "label")
     c = saved(c.withColumn("rank", F.struct(F.when(F.col("cost") < AT_ONCE, -1.0).otherwise(F.col("cost")).alias("cost"), F.col("ord").alias("ord"))), "free")
     other = c.select(F.col("cand").alias("o_cand"), F.col("turn").alias("o_turn"), F.col("poly").alias("o_poly"), "x0", "y0", "x1", "y1")
     other = _dealt(other, size).withColumnsRenamed({f"{a}{i}": f"o_{a}{i}" for a in "xy" for i in "01"})
-    meets = _dealt(c, size).join(other, ["cx", "cy"]).filter(F.col("turn") > F.col("o_turn")).filter(_first_cell(size, "o_") & _touch("o_")).filter(geo.convex_touch(F.col("poly"), F.col("o_poly"), 0.0))
+    meets = _dealt(c, size).join(other.hint("merge"), ["cx", "cy"]).filter(F.col("turn") > F.col("o_turn")).filter(_first_cell(size, "o_") & _touch("o_")).filter(geo.convex_touch(F.col("poly"), F.col("o_poly"), 0.0))
     meets = saved(meets.select("cand", "label", "o_cand", F.col("o_cand.label").alias("o_label")), "meets")
     waits = meets.select("label", "o_label").distinct()
     left, found = c.select("cand", "label", "rank"), None
     while True:
         held = waits.select("label").distinct()
-        now = left.join(held, "label", "left_anti")
+        now = left.join(held.hint("merge"), "label", "left_anti")
         best = saved(now.groupBy("label").agg(F.min_by("cand", "rank").alias("cand")), "settled")
         if best.isEmpty():
             break
         found = best if found is None else found.unionByName(best)
-        struck = meets.join(best.select(F.col("cand").alias("o_cand")), "o_cand", "left_semi").select("cand").distinct()
-        left = saved(left.join(best.select("label"), "label", "left_anti").join(struck, "cand", "left_anti"), "left")
+        struck = meets.join(best.select(F.col("cand").alias("o_cand")).hint("merge"), "o_cand", "left_semi").select("cand").distinct()
+        left = saved(left.join(best.select("label").hint("merge"), "label", "left_anti").join(struck.hint("merge"), "cand", "left_anti"), "left")
         # who has no place left, or is settled, holds up nobody
-        waits = saved(waits.join(left.select(F.col("label").alias("o_label")).distinct(), "o_label", "left_semi").select("label", "o_label"), "waits")
+        waits = saved(waits.join(left.select(F.col("label").alias("o_label")).distinct().hint("merge"), "o_label", "left_semi").select("label", "o_label"), "waits")
     if found is None:
         return c.limit(0).select("label", "x", "y", "angle", "cost")
-    return c.join(found.select("cand"), "cand").select("label", "x", "y", "angle", "cost")
+    return c.join(found.select("cand").hint("merge"), "cand").select("label", "x", "y", "angle", "cost")

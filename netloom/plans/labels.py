@@ -58,4 +58,4 @@ def label_placement(spark: SparkSession, d: str) -> DataFrame:
     far = 1e9
     free = L.free_places(cands, markers, lines, (-far, -far, far, far), GAP, SIZE)
     got = L.place(s, free, SIZE)
-    return got.join(cands.select("label", "x", "y", "ord"), ["label", "x", "y"]).select("label", F.col("ord").cast("int").alias("place"))
+    return got.join(cands.select("label", "x", "y", "ord").hint("merge"), ["label", "x", "y"]).select("label", F.col("ord").cast("int").alias("place"))
