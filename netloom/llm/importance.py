@@ -30,6 +30,8 @@ LONGEST, BUCKETS, SCALE = 1, 10_000, 1000
 LEAST_WORDS, PERCENT, SEED = 20, 10, "2024"
 #: Bytes of text of a block of the matrix.
 CHUNK = 1 << 20
+#: Blocks in a file of the matrix: as many are read at once.
+BLOCKS = 16
 #: The public CRC-32 polynomial, reflected.
 POLYNOMIAL = 0xEDB88320
 FULL = np.uint32(0xFFFFFFFF)
@@ -126,7 +128,7 @@ def _rows(longest: int, buckets: int):
 def matrix(docs: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS) -> DataFrame:
     """docs(doc_id, text) -> the document-by-bucket counts, a block of compressed sparse rows in each row, in the shared folder."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return scratch(docs.select(F.col("doc_id").cast("long"), text.alias("text")).mapInArrow(_rows(longest, buckets), MATRIX), "matrix")
+    return scratch(docs.select(F.col("doc_id").cast("long"), text.alias("text")).mapInArrow(_rows(longest, buckets), MATRIX), "matrix", BLOCKS)
 
 
 def _sums(buckets: int):
