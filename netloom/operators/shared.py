@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What a task sorts or groups at once, at most: so its memory does not grow with the input.
+ROWS_A_TASK = 250_000
+
 #: The folder of a session on one machine that names none; the setting itself cannot be changed in a session.
 _OWN: dict[str, str] = {}
 
@@ -29,6 +33,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, keys: list[str], rows: int, always: bool = False) -> DataFrame:
+    """The frame dealt by its keys to as many tasks as ``rows`` rows need. Where the session's number of shuffle partitions is enough, it is dealt to these (``always``) or left as it is."""
+    n = math.ceil(rows / ROWS_A_TASK)
+    if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df.repartition(n, *keys)
+    return df.repartition(*keys) if always else df
+
+
 def clear_saved(spark: SparkSession) -> None:
     """Removes the intermediate tables, once results are written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/netloom")

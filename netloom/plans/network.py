@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph, matching, sequence
+from ..operators.shared import dealt
 from ..registry import query
 from .tables import STOPS, line_stops, patterns, stops, table
 
@@ -29,7 +30,8 @@ EDGES = "edges AS (SELECT seq, least(station, b) AS a, greatest(station, b) AS b
 
 @query("W02", f"WITH {STOPS}, {EDGES} SELECT a, b, count(*) AS n FROM edges GROUP BY a, b")
 def edges_undirected(spark: SparkSession, d: str) -> DataFrame:
-    return sequence.undirected(sequence.steps(stops(spark, d), ["seq"], "ord", "station")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    e = sequence.undirected(sequence.steps(stops(spark, d), ["seq"], "ord", "station"))
+    return dealt(e, ["a", "b"], table(spark, d, "lineitem").count()).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 @query("A24", f"WITH {STOPS} SELECT seq, arg_min(station, ord) AS first_value, arg_max(station, ord) AS last_value FROM stops GROUP BY seq")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import sequence
+from ..operators.shared import dealt
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, ord, station): ordered stops of all patterns."""
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("seq"), F.col("l_partkey").alias("station"), "l_linenumber", "l_suppkey")
+    li = dealt(li, ["seq"], li.count())
     return sequence.renumber(li, ["seq"], "l_linenumber", "station", "l_suppkey").select("seq", "ord", "station")
 
 
