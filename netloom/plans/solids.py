@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import fold
+from ..operators.shared import dealt
 from ..registry import query
 from .tables import table
 
@@ -50,8 +51,10 @@ def layer_triangles(spark: SparkSession, d: str) -> DataFrame:
     SELECT mesh, scan, count(*) AS n FROM e JOIN s ON least(y0, y1) <= y AND y < greatest(y0, y1) GROUP BY 1, 2""",
 )
 def scan_crossings(spark: SparkSession, d: str) -> DataFrame:
-    """Edges that each scan line meets, the lower end in, the upper out: edges are dealt to the buckets of the scan lines that they span."""
-    e = _triangles(spark, d).select("mesh", F.explode(F.array(*[F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")) for a, b in (("ay", "by"), ("by", "cy"), ("cy", "ay"))])).alias("e")).select("mesh", "e.lo", "e.hi")
+    """Edges that each scan line meets, the lower end in, the upper out: edges are dealt to the buckets of the scan lines that
+    they span. A mesh is at one place before that, so no edge is shuffled for each of its lines."""
+    t = _triangles(spark, d).select("mesh", "ay", "by", "cy")
+    e = dealt(t, ["mesh"], t.count(), always=True).select("mesh", F.explode(F.array(*[F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")) for a, b in (("ay", "by"), ("by", "cy"), ("cy", "ay"))])).alias("e")).select("mesh", "e.lo", "e.hi")
     first, last = F.ceil(F.col("lo") - 0.25), F.ceil(F.col("hi") - 0.25) - 1
     return e.filter(first <= last).select("mesh", F.explode(F.sequence(first, last)).alias("scan")).groupBy("mesh", "scan").agg(F.count("*").alias("n"))
 
