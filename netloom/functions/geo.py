@@ -79,14 +79,21 @@ def turned_box(x: Column, y: Column, half_w: Column, half_h: Column, cos: Column
 
 
 def convex_touch(a: Column, b: Column, eps: float = 1e-9) -> Column:
-    """Whether two convex polygons (arrays of structs) overlap or touch: no normal of an edge keeps them apart."""
+    """Whether two convex polygons (arrays of structs) overlap or touch: no normal of an edge keeps them apart.
 
-    def apart(p: Column, i: Column) -> Column:
-        u, v = F.get(p, i), F.get(p, (i + 1) % F.size(p))
-        nx, ny = v["y"] - u["y"], u["x"] - v["x"]
-        on = lambda q: F.transform(q, lambda c: c["x"] * nx + c["y"] * ny)
-        slack = eps * F.sqrt(nx * nx + ny * ny)
-        return (F.array_max(on(a)) < F.array_min(on(b)) - slack) | (F.array_max(on(b)) < F.array_min(on(a)) - slack)
+    The polygons are held by lambda variables: else the expressions that make them are worked out at each use, some hundred times a row.
+    """
 
-    edges = lambda p: F.exists(F.sequence(F.lit(0), F.size(p) - 1), lambda i: apart(p, i))
-    return ~(edges(a) | edges(b))
+    def touch(a: Column, b: Column) -> Column:
+        def apart(n: Column) -> Column:
+            # the least and greatest place of the corners along the normal
+            on = lambda q: F.transform(q, lambda c: c["x"] * n["x"] + c["y"] * n["y"])
+            ends = F.transform(F.array(a, b), lambda q: F.struct(F.array_min(on(q)).alias("lo"), F.array_max(on(q)).alias("hi")))
+            slack = eps * F.sqrt(n["x"] * n["x"] + n["y"] * n["y"])
+            return F.exists(F.transform(F.array(ends), lambda e: (e[0]["hi"] < e[1]["lo"] - slack) | (e[1]["hi"] < e[0]["lo"] - slack)), lambda x: x)
+
+        normal = lambda u, v: F.struct((v["y"] - u["y"]).alias("x"), (u["x"] - v["x"]).alias("y"))
+        normals = lambda p: F.transform(p, lambda u, i: normal(u, F.get(p, (i + 1) % F.size(p))))
+        return ~F.exists(F.concat(normals(a), normals(b)), apart)
+
+    return F.element_at(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda p: touch(p["a"], p["b"])), 1)
