@@ -19,13 +19,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from . import graph, proximity
+from .shared import dealt
 
 MERGE_RADIUS_M = 650.0
 CHANGEOVER_S = 300.0
 
 
-def ordered_fold(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[list[dict]], Iterable[tuple]], schema: str) -> DataFrame:
-    """Applies fn to each group's rows (as dicts), sorted by ``order``, which must break all ties; fn gives the result's rows."""
+def ordered_fold(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[list[dict]], Iterable[tuple]], schema: str, rows: int = 0, rows_a_task: int | None = None) -> DataFrame:
+    """Applies fn to each group's rows (as dicts), sorted by ``order``, which must break all ties; fn gives the result's rows. ``rows``: about how many rows there are, where they are many for the session's shuffle partitions; with ``rows_a_task``, for folds that take long over a row, the tasks are so many by that alone."""
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -49,7 +50,8 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], fn: Callable[
             rows.extend(fn(group))
         yield batch(rows)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    spread = df.repartition(max(1, math.ceil(rows / rows_a_task)), *keys) if rows_a_task else dealt(df, keys, rows, always=True)
+    return spread.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def greedy_clusters(nodes: DataFrame, key: str, order: str, radius_m: float = MERGE_RADIUS_M) -> DataFrame:
@@ -103,7 +105,7 @@ def fold_similar(lines: DataFrame, group: str) -> DataFrame:
     return ordered_fold(lines, [group], ["line"], fold, "line long, target long")
 
 
-def greedy_matching(pairs: DataFrame, group: str) -> DataFrame:
+def greedy_matching(pairs: DataFrame, group: str, rows: int = 0) -> DataFrame:
     """pairs(group, a, b, d) -> (group, a, b, d): by ascending distance, each a and b used once. Ties: least a, then b."""
 
     def fold(g):
@@ -113,7 +115,7 @@ def greedy_matching(pairs: DataFrame, group: str) -> DataFrame:
                 used_a.add(r["a"]), used_b.add(r["b"])
                 yield r[group], r["a"], r["b"], r["d"]
 
-    return ordered_fold(pairs, [group], ["d", "a", "b"], fold, f"{group} long, a long, b long, d double")
+    return ordered_fold(pairs, [group], ["d", "a", "b"], fold, f"{group} long, a long, b long, d double", rows)
 
 
 def schedule(jobs: DataFrame, machines: DataFrame, group: str, changeover_s: float = CHANGEOVER_S) -> DataFrame:
