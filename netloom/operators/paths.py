@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,25 +68,39 @@ def fillet(points: DataFrame, radius: float) -> DataFrame:
     return _numbered(p.select("path", "i", F.posexplode(F.when(stays, F.array(F.struct("x", "y"))).otherwise(arc)).alias("k", "p")))
 
 
-def split_for_bed(points: DataFrame, stations: DataFrame, pad: float, wide: float, high: float) -> DataFrame:
+def split_for_bed(points: DataFrame, stations: DataFrame, pad: float, wide: float, high: float, rows: int = 0) -> DataFrame:
     """points(path, i, x, y), stations(path, s) -> (path, piece, i, x, y): pieces whose boxes, with ``pad`` around, fit the bed either way round.
 
     A path that does not fit is cut as far along as it fits: in the middle between two stations (their places s along the
     path), the last such that leaves at least SCRAP behind, else inside the segment that no longer fits. A tail shorter
-    than SCRAP joins the piece before it if that still fits. A path is one task's work, from its first cut to its last.
+    than SCRAP joins the piece before it if that still fits. A path is one task's work, from its first cut to its last; the box
+    of a piece grows point by point, so the work is in proportion to the points. rows: about how many points there are, where they are many.
     """
     marks = stations.selectExpr("path", "cast(-1 as long) as i", "cast(s as double) as x", "cast(null as double) as y")
 
-    def fits(pts):
-        w, h = (max(p[k] for p in pts) - min(p[k] for p in pts) + 2 * pad for k in (0, 1))
+    def holds(box):
+        w, h = box[2] - box[0] + 2 * pad, box[3] - box[1] + 2 * pad
         return (w <= wide and h <= high) or (h <= wide and w <= high)
 
+    def more(box, p):
+        return (min(box[0], p[0]), min(box[1], p[1]), max(box[2], p[0]), max(box[3], p[1]))
+
     def at(path, cum, s):
-        for k in range(1, len(path)):
-            if cum[k] >= s or k == len(path) - 1:
-                t = 0.0 if cum[k] == cum[k - 1] else min(1.0, max(0.0, (s - cum[k - 1]) / (cum[k] - cum[k - 1])))
-                return tuple(a + (b - a) * t for a, b in zip(path[k - 1], path[k], strict=True))
-        return path[0]
+        if len(path) == 1:
+            return path[0]
+        k = min(bisect_left(cum, s, 1), len(path) - 1)
+        t = 0.0 if cum[k] == cum[k - 1] else min(1.0, max(0.0, (s - cum[k - 1]) / (cum[k] - cum[k - 1])))
+        (ax, ay), (bx, by) = path[k - 1], path[k]
+        return (ax + (bx - ax) * t, ay + (by - ay) * t)
+
+    def piece(path, cum, a, b):
+        return [at(path, cum, a), *path[bisect_right(cum, a + 1e-9) : bisect_left(cum, b - 1e-9)], at(path, cum, b)]
+
+    def fits(pts):
+        box = (*pts[0], *pts[0])
+        for p in pts:
+            box = more(box, p)
+        return holds(box)
 
     def fold(g):
         stops = sorted(r["x"] for r in g if r["i"] < 0)
@@ -96,11 +111,19 @@ def split_for_bed(points: DataFrame, stations: DataFrame, pad: float, wide: floa
         for p, q in zip(path, path[1:], strict=False):
             cum.append(cum[-1] + math.dist(p, q))
         gaps = [(a + b) / 2 for a, b in zip(stops, stops[1:], strict=False)]
-        piece = lambda a, b: [at(path, cum, a), *(p for p, s in zip(path, cum, strict=True) if a + 1e-9 < s < b - 1e-9), at(path, cum, b)]
         cuts, k = [0.0], 1
+        box, seen = None, 0  # of the piece's first point and the points before ``seen`` that lie inside it; it grows with k
         while k < len(path):
             begin = cuts[-1]
-            if cum[k] <= begin or fits(piece(begin, cum[k])):
+            if cum[k] <= begin:
+                k += 1
+                continue
+            if box is None:
+                p, seen = at(path, cum, begin), bisect_right(cum, begin + 1e-9)
+                box = (*p, *p)
+            while seen < len(path) and cum[seen] < cum[k] - 1e-9:
+                box, seen = more(box, path[seen]), seen + 1
+            if holds(more(box, at(path, cum, cum[k]))):
                 k += 1
                 continue
             good = max(begin, cum[k - 1])
@@ -109,17 +132,18 @@ def split_for_bed(points: DataFrame, stations: DataFrame, pad: float, wide: floa
                 low, top = good, cum[k]
                 for _ in range(STEPS):
                     mid = (low + top) / 2
-                    low, top = (mid, top) if fits(piece(begin, mid)) else (low, mid)
+                    low, top = (mid, top) if fits(piece(path, cum, begin, mid)) else (low, mid)
                 cut = low
             if cut <= begin + 1e-6:
                 cut = begin + (cum[k] - begin) * 0.5
             cuts.append(cut)
+            box = None
         if cum[-1] > cuts[-1] + 1e-6 or len(cuts) == 1:
             cuts.append(cum[-1])
-        if len(cuts) > 2 and cuts[-1] - cuts[-2] < SCRAP and fits(piece(cuts[-3], cuts[-1])):
+        if len(cuts) > 2 and cuts[-1] - cuts[-2] < SCRAP and fits(piece(path, cum, cuts[-3], cuts[-1])):
             del cuts[-2]
         for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            for i, p in enumerate(piece(a, b) if len(path) > 1 else path):
+            for i, p in enumerate(piece(path, cum, a, b) if len(path) > 1 else path):
                 yield g[0]["path"], n, i, *p
 
-    return ordered_fold(points.selectExpr("path", "cast(i as long) as i", "cast(x as double) as x", "cast(y as double) as y").unionByName(marks), ["path"], ["i", "x"], fold, "path long, piece long, i long, x double, y double")
+    return ordered_fold(points.selectExpr("path", "cast(i as long) as i", "cast(x as double) as x", "cast(y as double) as y").unionByName(marks), ["path"], ["i", "x"], fold, "path long, piece long, i long, x double, y double", rows, rows and 250_000)

@@ -190,4 +190,4 @@ def bed_pieces(spark: SparkSession, d: str) -> DataFrame:
     """The stairs with round corners, in pieces that fit a bed of 60 by 40."""
     p = paths.fillet(stop_paths(spark, d), 2.0)
     marks = stops(spark, d).select(F.col("seq").alias("path"), (F.col("ord") * 23.0).alias("s"))
-    return paths.split_for_bed(p, marks, 2.5, 60.0, 40.0)
+    return paths.split_for_bed(p, marks, 2.5, 60.0, 40.0, 18 * table(spark, d, "lineitem").count())  # two corners of nine points for each stop
