@@ -1,15 +1,16 @@
 """Packing of shapes onto plates by their outlines, on a grid of cells.
 
-A plate is a row of whole numbers, a bit for each cell. Where a shape fits in a
-row of cells is found for all places at once: the cells taken in each of its
-rows, shifted and spread by the shape's runs there, block places, and the lowest
-bit left free is the first that fits. Groups (a colour of an order) are folded
+A plate is a whole number, a bit for each cell. Where a shape fits in a band of
+rows is found for all places at once: the cells taken in each of its rows, shifted
+and spread by the shape's runs there, block places, and the lowest bit left free is
+the first that fits. Groups (a colour of an order) are folded
 where Spark deals them; a group is bounded by what one order prints.
 """
 
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -18,6 +19,8 @@ from .fold import ordered_fold
 
 # Room between shapes, side of a cell, and the turns that are tried, in order.
 GAP, CELL, TURNS = 2.5, 1.25, (0, 90, 45, 135)
+#: Rows that are tried at once, and shapes whose cells a Python process keeps at hand (the others are worked out again); items of a task, as one takes about a millisecond.
+BAND, KEPT, ITEMS_A_TASK = 24, 4096, 5_000
 
 
 class Mask:
@@ -67,68 +70,93 @@ class Mask:
         return on | hit
 
 
-def spread(bits: int, n: int) -> int:
-    """All places x for which one of the bits x to x + n - 1 is set."""
-    done, out = 1, bits
-    while done < n:
-        step = min(done, n - done)
-        out |= out >> step
-        done += step
-    return out
+@lru_cache(KEPT)
+def outlines(xs: tuple, ys: tuple, turns: tuple, gap: float, cell: float) -> list[Mask]:
+    """The shape in each turn; kept by the Python process, as orders print the same shapes again."""
+    return [Mask(xs, ys, t, gap, cell) for t in turns]
 
 
-def first_place(grid: list[int], wide: int, mask: Mask, below: int) -> tuple[int, int] | None:
-    """The first place (row, then column) where the mask meets nothing, if it is before ``below``."""
-    for y in range(min(len(grid) - mask.h, (below - 1) // wide) + 1):
-        taken = 0
-        for row, runs in zip(grid[y : y + mask.h], mask.runs, strict=True):
-            if row:
-                for begin, end in runs:
-                    taken |= spread(row >> begin, end - begin)
-        free = ~taken & ((1 << (wide - mask.w + 1)) - 1)
+class Plate:
+    """A plate as one whole number, its rows of ``wide`` cells one after the other, from the lowest; ``spreads[k]`` has the cells from which one of the next 2^k is taken."""
+
+    def __init__(self, rows: list[int], wide: int):
+        self.wide, self.high, self.spreads = wide, len(rows), [sum(r << y * wide for y, r in enumerate(rows))]
+
+    def put(self, mask: Mask, x: int, y: int) -> None:
+        self.spreads = [self.spreads[0] | sum(bits << (y + j) * self.wide + x for j, bits in enumerate(mask.bits))]
+
+    def spread(self, k: int) -> int:
+        while len(self.spreads) <= k:
+            last = self.spreads[-1]
+            self.spreads.append(last | last >> (1 << len(self.spreads) - 1))
+        return self.spreads[k]
+
+
+def first_on(plate: Plate, mask: Mask, below: int) -> tuple[int, int] | None:
+    """The first place (row, then column) where the mask meets nothing, if it is before ``below``.
+
+    All places of a band of rows are tried at once. A run of the mask is two overlapping stretches of a length that is a power of two.
+    """
+    wide, last = plate.wide, min(plate.high - mask.h, (below - 1) // plate.wide)
+    row = (1 << wide - mask.w + 1) - 1
+    for y in range(0, last + 1, BAND):
+        n = min(BAND, last + 1 - y)
+        whole, taken = (1 << n * wide) - 1, 0
+        for j, runs in enumerate(mask.runs, y):
+            for begin, end in runs:
+                k = (end - begin).bit_length() - 1
+                taken |= plate.spread(k) >> j * wide + begin & whole
+                if end - begin > 1 << k:
+                    taken |= plate.spread(k) >> j * wide + end - (1 << k) & whole
+        free = ~taken & row * (whole // ((1 << wide) - 1))
         if free:
-            x = (free & -free).bit_length() - 1
+            at = (free & -free).bit_length() - 1
+            x, y = at % wide, y + at // wide
             return (x, y) if y * wide + x < below else None
     return None
 
 
-def pack(items: DataFrame, group: str, bed: tuple[float, float], gap: float = GAP, cell: float = CELL, turns: tuple[int, ...] = TURNS) -> DataFrame:
+def first_place(grid: list[int], wide: int, mask: Mask, below: int) -> tuple[int, int] | None:
+    """first_on, for a plate given as rows."""
+    return first_on(Plate(grid, wide), mask, below)
+
+
+def pack(items: DataFrame, group: str, bed: tuple[float, float], gap: float = GAP, cell: float = CELL, turns: tuple[int, ...] = TURNS, rows: int | None = None) -> DataFrame:
     """items(group, item, xs array, ys array, area) -> (group, item, plate, turn, dx, dy, oversize): largest area first, then by item.
 
     Each shape is turned and moved (turn in degrees about the origin, then by dx and dy) to the first place on the first
     plate where its outline, spread by half the gap, meets no other; of its turns the one with the first place counts.
     Plates are numbered from 1 in a group. A shape that no turn fits onto the bed gets a plate of its own, oversize. A shape
-    without three corners takes the cells that it touches.
+    without three corners takes the cells that it touches. rows: about how many items there are (counted, if not given).
     """
     wide, high = int(bed[0] // cell), int(bed[1] // cell)
 
     def fold(g):
-        plates: list[list[int]] = []
+        plates: list[Plate] = []
         closed: set[int] = set()
         for r in g:
-            masks = [m for m in (Mask(r["xs"], r["ys"], t, gap, cell) for t in turns) if m.w <= wide and m.h <= high]
+            masks = [m for m in outlines(tuple(r["xs"]), tuple(r["ys"]), turns, gap, cell) if m.w <= wide and m.h <= high]
             if not masks:
                 m = Mask(r["xs"], r["ys"], 0, gap, cell)
-                plates.append([])
+                plates.append(Plate([], wide))
                 closed.add(len(plates) - 1)
                 yield r[group], r["item"], len(plates), 0, -m.left, -m.low, True
                 continue
             for k in range(len(plates) + 1):
                 if k == len(plates):
-                    plates.append([0] * high)
+                    plates.append(Plate([0] * high, wide))
                 elif k in closed:
                     continue
                 best, below = None, wide * high + 1
                 for m in masks:
-                    at = first_place(plates[k], wide, m, below)
+                    at = first_on(plates[k], m, below)
                     if at:
                         best, below = (m, *at), at[1] * wide + at[0]
                 if best:
                     m, x, y = best
-                    for j, bits in enumerate(m.bits):
-                        plates[k][y + j] |= bits << x
+                    plates[k].put(m, x, y)
                     yield r[group], r["item"], k + 1, m.turn, x * cell - m.left, y * cell - m.low, False
                     break
 
     ordered = items.selectExpr(group, "item", "xs", "ys", "-area AS minus")
-    return ordered_fold(ordered, [group], ["minus", "item"], fold, f"{group} long, item long, plate long, turn long, dx double, dy double, oversize boolean")
+    return ordered_fold(ordered, [group], ["minus", "item"], fold, f"{group} long, item long, plate long, turn long, dx double, dy double, oversize boolean", items.count() if rows is None else rows, ITEMS_A_TASK)
