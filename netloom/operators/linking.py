@@ -15,15 +15,20 @@ from .shared import saved
 
 # How far apart two ends of a loop's segments may be, the gap at which an open chain still counts as a loop, and the least length around a loop.
 TOLERANCE, GAP, LEAST_PERIMETER = 0.0025, 0.05, 0.5
+#: Width of a cell in which ends meet, in distances at which they may.
+SIDE = 16
 #: Planes that meet a vertex (as near as TOUCHING) are moved by NUDGE, up to NUDGES times.
 TOUCHING, NUDGE, NUDGES = 1e-9, 1e-6, 16
 
 
 def near_ends(a: DataFrame, b: DataFrame, eps: float) -> DataFrame:
-    """a(grp, end, x, y), b(grp, end, x, y) -> (a, b, d): ends of one group at most ``eps`` apart. The ends of b are dealt to the 3 x 3 cells around them."""
-    cell = lambda c: F.floor(F.col(c) / eps)
+    """a(grp, end, x, y), b(grp, end, x, y) -> (a, b, d): ends of one group at most ``eps`` apart. The ends of b are dealt to
+    the cells that they come near: one for most, as a cell is SIDE times ``eps`` wide."""
+    cell = lambda c, by=0.0: F.floor((F.col(c) + by) / (SIDE * eps))
+    reach = 1.001 * eps  # a little more, for rounding
+    around = lambda c: F.explode(F.sequence(cell(c, -reach), cell(c, reach)))
     left = a.select("grp", F.col("end").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
-    right = b.select("grp", F.col("end").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.explode(F.sequence(cell("x") - 1, cell("x") + 1)).alias("cx"), "y").withColumn("cy", F.explode(F.sequence(cell("y") - 1, cell("y") + 1))).drop("y")
+    right = b.select("grp", F.col("end").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), around("x").alias("cx"), "y").withColumn("cy", around("y")).drop("y")
     d = F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2))
     return left.join(right, ["grp", "cx", "cy"]).withColumn("d", d).filter(F.col("d") <= eps).select("a", "b", "d")
 
