@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .shared import saved
+from .shared import dealt, saved
 
 # What the reader takes for one token (comment, instruction, raw text, document type, end tag, start tag, text), and for an attribute.
 TOKEN = r"""<!--[\s\S]*?-->|<\?[\s\S]*?\?>|<!\[CDATA\[[\s\S]*?\]\]>|<!DOCTYPE[^>]*>|</[\w:.-]+\s*>|<[\w:.-]+(?:\s+[\w:.-]+\s*=\s*(?:"[^"]*"|'[^']*'))*\s*/?>|[^<]+"""
@@ -25,12 +25,15 @@ SKIPPED_TAGS = ["metadata", "title", "desc", "style"]
 # Elements of web pages that have no end tag.
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 MOST_USES = 6
+#: Characters of a token, about; tells how many tasks a text needs.
+TOKEN_CHARS = 16
 MATRIX = "abcdef"
 
 
-def tokens(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, ord, token); what is no token (a lone <) is passed over. A null text has none."""
-    return docs.select(F.col(doc).alias("doc"), F.posexplode(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).alias("ord", "token"))
+def tokens(docs: DataFrame, doc: str, text: str, chars: int = 0) -> DataFrame:
+    """(doc, ord, token); what is no token (a lone <) is passed over. A null text has none. chars: about how long all texts are, where they are many."""
+    d = dealt(docs.select(F.col(doc).alias("doc"), F.col(text).alias("_text")), ["doc"], chars // TOKEN_CHARS)
+    return d.select("doc", F.posexplode(F.regexp_extract_all("_text", F.lit(TOKEN), F.lit(0))).alias("ord", "token"))
 
 
 def _attributes(token: Column) -> Column:
@@ -43,14 +46,15 @@ def attr(name: str) -> Column:
     return F.try_element_at(F.filter("attrs", lambda a: a["k"] == name), F.lit(-1))["v"]
 
 
-def tree(tok: DataFrame, void: list[str] | None = None) -> DataFrame:
+def tree(tok: DataFrame, void: list[str] | None = None, chars: int = 0) -> DataFrame:
     """tokens -> (doc, node, parent, depth, tag, attrs, last, text), a row for each element.
 
     node is the number of the start tag's token, last that of the end tag: an element's descendants are the nodes
     between. An end tag closes the innermost open element, whatever its name, and none if none is open; elements
     that nothing closes end with the document (its last token). Elements with /> or of a ``void`` name hold
     nothing. text is the element's own text with its entities decoded, in order; blank pieces are left out, and so
-    is text outside all elements. parent is null at the top.
+    is text outside all elements. parent is null at the top. chars as for tokens. The rows are written once, so what reads
+    them again does not read the markup again.
     """
     by = Window.partitionBy("doc").orderBy("ord")
     upto = by.rowsBetween(Window.unboundedPreceding, 0)
@@ -70,33 +74,36 @@ def tree(tok: DataFrame, void: list[str] | None = None) -> DataFrame:
     level = Window.partitionBy("doc", "lev")
     before, behind = level.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1), level.orderBy(F.col("ord").desc()).rowsBetween(Window.unboundedPreceding, -1)
     here = F.col("asks") == F.lit(False)
-    found = own.unionByName(asks).withColumns(
+    found = dealt(own.unionByName(asks), ["doc"], 2 * chars // TOKEN_CHARS).withColumns(
         {
             "_parent": F.when(F.col("asks"), F.last(F.when(here & F.col("opens"), F.col("ord")), ignorenulls=True).over(before)),
             "_end": F.when(here & F.col("opens"), F.last(F.when(here & (F.col("kind") == "end"), F.col("ord")), ignorenulls=True).over(behind)),
         }
     )
     one = found.filter("kind <> 'end'").groupBy("doc", "ord").agg(*[F.any_value(c).alias(c) for c in ("kind", "tag", "token", "opens", "depth", "final")], F.max("_parent").alias("parent"), F.max("_end").alias("_end"))
-    one = saved(one, "markup")
+    start = F.col("kind") == "start"
     piece = F.when(F.startswith("token", F.lit("<![CDATA[")), F.expr("substring(token, 10, length(token) - 12)")).otherwise(T.decode_entities(F.col("token")))
-    texts = one.filter("kind = 'text' and parent is not null").groupBy("doc", F.col("parent").alias("ord")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", piece.alias("s")))), lambda x: x["s"]), "").alias("text"))
-    nodes = one.filter("kind = 'start'").join(texts, ["doc", "ord"], "left")
-    last = F.when(F.col("opens"), F.coalesce("_end", "final")).otherwise(F.col("ord"))
-    return nodes.select("doc", F.col("ord").alias("node"), "parent", F.col("depth").cast("int").alias("depth"), "tag", _attributes(F.col("token")).alias("attrs"), last.alias("last"), F.coalesce("text", F.lit("")).alias("text"))
+    # an element and the texts right below it
+    of = one.filter(start | ((F.col("kind") == "text") & F.col("parent").isNotNull())).withColumn("node", F.when(start, F.col("ord")).otherwise(F.col("parent")))
+    element = F.max(F.when(start, F.struct("parent", F.col("depth").cast("int").alias("depth"), "tag", "token", F.when(F.col("opens"), F.coalesce("_end", "final")).otherwise(F.col("ord")).alias("last"))))
+    texts = F.collect_list(F.when(~start, F.struct("ord", piece.alias("s"))))
+    nodes = of.groupBy("doc", "node").agg(element.alias("e"), F.array_join(F.transform(F.array_sort(texts), lambda x: x["s"]), "").alias("text"))
+    return saved(nodes.select("doc", "node", "e.parent", "e.depth", "e.tag", _attributes(F.col("e.token")).alias("attrs"), "e.last", "text"), "markup")
 
 
-def innermost(points: DataFrame, spans: DataFrame, keys: list[str], at: str = "node") -> DataFrame:
+def innermost(points: DataFrame, spans: DataFrame, keys: list[str], at: str = "node", rows: int = 0) -> DataFrame:
     """points(keys, at, ...), spans(keys, node, last, value) that are nested or apart, one for each (keys, node)
     -> points with the value of the innermost span around each; null outside all.
 
     A sweep with a stack, as windows: a start adds one open span and an end takes one away, and the span on top is
-    the last one that was started at the present number of open ones.
+    the last one that was started at the present number of open ones. rows: about how many points there are, where they are many.
     """
     cols = points.columns
-    rows = points.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_phase"), F.lit(0).alias("_step"), F.struct(*cols).alias("_point"))
+    asked = points.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_phase"), F.lit(0).alias("_step"), F.struct(*cols).alias("_point"))
     starts = spans.select(*keys, F.col("node").alias("_at"), F.lit(0).alias("_phase"), F.lit(1).alias("_step"), F.struct("value").alias("_value"))
     ends = spans.select(*keys, F.col("last").alias("_at"), F.lit(2).alias("_phase"), F.lit(-1).alias("_step"))
-    events = rows.unionByName(starts, allowMissingColumns=True).unionByName(ends, allowMissingColumns=True)
+    events = asked.unionByName(starts, allowMissingColumns=True).unionByName(ends, allowMissingColumns=True)
+    events = dealt(events, keys, 2 * rows)
     sweep = Window.partitionBy(*keys).orderBy("_at", "_phase").rowsBetween(Window.unboundedPreceding, 0)
     events = events.withColumn("_open", F.sum("_step").over(sweep))
     level = Window.partitionBy(*keys, "_open").orderBy("_at", "_phase").rowsBetween(Window.unboundedPreceding, 0)
@@ -107,7 +114,7 @@ def collected_text(nodes: DataFrame, follow: list[str]) -> DataFrame:
     """(doc, node, text) for each element not in ``follow``: its own text, then that of the ``follow`` elements below it
     in document order (through such elements only), parted by spaces; white space made single."""
     heads = nodes.filter(~F.col("tag").isin(follow))
-    owner = innermost(nodes.select("doc", "node", "text"), heads.select("doc", "node", "last", F.col("node").alias("value")), ["doc"]).filter("value is not null")
+    owner = innermost(nodes.select("doc", "node", "text"), heads.select("doc", "node", "last", F.col("node").alias("value")), ["doc"], rows=nodes.count()).filter("value is not null")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "text"))), lambda x: x["text"]), " ")
     return owner.groupBy("doc", F.col("value").alias("node")).agg(F.trim(F.regexp_replace(whole, r"\s+", " ")).alias("text"))
 
@@ -116,7 +123,7 @@ def first_within(nodes: DataFrame, tag: str) -> DataFrame:
     """(doc, node, first): the first element of that name at or below each element, in document order; null if there is none."""
     behind = Window.partitionBy("doc").orderBy(F.col("node").desc()).rowsBetween(Window.unboundedPreceding, 0)
     nxt = F.last(F.when(F.col("tag") == tag, F.col("node")), ignorenulls=True).over(behind)
-    return nodes.withColumn("_n", nxt).select("doc", "node", F.when(F.col("_n") <= F.col("last"), F.col("_n")).alias("first"))
+    return dealt(nodes, ["doc"], nodes.count()).withColumn("_n", nxt).select("doc", "node", F.when(F.col("_n") <= F.col("last"), F.col("_n")).alias("first"))
 
 
 def style_rules(nodes: DataFrame) -> DataFrame:
@@ -143,7 +150,7 @@ def computed_styles(nodes: DataFrame, declared: DataFrame, properties: list[str]
     """(doc, node, property, value): the value that holds at each element, its own or that of the nearest ancestor that says one; null if none does."""
     points = nodes.select("doc", "node", F.explode(F.array(*[F.lit(p) for p in properties])).alias("property"))
     spans = declared.filter(F.col("property").isin(properties)).join(nodes.select("doc", "node", "last"), ["doc", "node"]).select("doc", "property", "node", "last", "value")
-    return innermost(points, spans, ["doc", "property"])
+    return innermost(points, spans, ["doc", "property"], rows=len(properties) * nodes.count())
 
 
 # Matrices are structs (a, b, c, d, e, f): x' = a x + c y + e, y' = b x + d y + f.

@@ -13,7 +13,9 @@ SPANS = ["a", "b", "br"]
 
 
 def page_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return markup.tree(markup.tokens(table(spark, d, "pages"), "page_id", "html"), markup.VOID_TAGS)
+    pages = table(spark, d, "pages")
+    chars = pages.agg(F.coalesce(F.sum(F.length("html")), F.lit(0))).first()[0]
+    return markup.tree(markup.tokens(pages, "page_id", "html", chars), markup.VOID_TAGS, chars)
 
 
 #: Pages walked token by token with a list as stack: the other way of building the tree.
@@ -83,7 +85,8 @@ def drawings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def drawing_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return markup.tree(markup.tokens(drawings(spark, d), "seq", "svg"))
+    chars = 300 * table(spark, d, "lineitem").count()  # a stop has some 200, a drawing 400
+    return markup.tree(markup.tokens(drawings(spark, d), "seq", "svg", chars), chars=chars)
 
 
 STYLED = f"""{STOPS}, own AS (

@@ -62,3 +62,27 @@ def test_a_long_path_is_cut_in_one_walk(spark):
     began = time.time()
     got = paths.split_for_bed(points, marks, 1.0, 60.0, 40.0).agg(F.count("*"), F.max("piece")).first()
     assert tuple(got) == (12_000, 0) and time.time() - began < 12
+
+
+def test_markup_is_dealt_by_its_length(spark, data_dir, small_tasks):
+    """Tokens, the levels that they ask and the sweep over elements: each in tasks of 500 rows, not in as many as the session has."""
+    from netloom.plans import drawings
+
+    nodes = drawings.page_nodes(spark, data_dir)
+    assert "markup" in nodes.inputFiles()[0] and nodes.inputFiles()[4:]  # written by more tasks than four
+    p = plan(drawings.markup_text(spark, data_dir))
+    assert "REPARTITION_BY_NUM" in p
+
+
+def test_ends_are_dealt_to_few_cells(spark):
+    """Two hundred ends far apart meet in some two hundred cells, not in nine each."""
+    from netloom.operators import linking
+
+    k = F.col("id")
+    ends = spark.range(200).select(F.lit(1).cast("long").alias("grp"), k.alias("end"), (k * 1.37).alias("x"), (k * 0.91).alias("y"))
+    near = linking.near_ends(ends, ends, 0.01)
+    assert near.filter("a <> b").count() == 0 and near.count() == 200
+    assert linking.SIDE >= 8
+    # ends at the border of a cell, on both sides and beyond it
+    edge = spark.createDataFrame([(1, 1, 0.16 - 0.004, 0.0), (1, 2, 0.16 + 0.004, 0.0), (1, 3, 0.16 + 0.0145, 0.0), (1, 4, -0.004, -0.004), (1, 5, 0.003, 0.003)], "grp long, end long, x double, y double")
+    assert sorted((r["a"], r["b"]) for r in linking.near_ends(edge, edge, 0.01).filter("a < b").collect()) == [(1, 2), (4, 5)]
