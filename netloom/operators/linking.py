@@ -1,17 +1,25 @@
 """Chains and rings from pieces: ends are matched, then ranked along their links.
 
 Nothing walks a chain. Ends that lie near each other are matched in rounds of
-pairs that are each other's nearest; places along a chain come from doubling
-pointers, so rounds are logarithmic in the longest chain. Each round is written,
-so a lost executor costs one round's part.
+pairs that are each other's nearest; two ends that alone stand in the very same
+point are a pair before that. Places along a chain come from doubling pointers,
+so rounds are logarithmic in the longest chain: inside a task for groups of up
+to GROUP pieces, by joins for larger ones, where each round is written, so a
+lost executor costs one round's part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from .shared import saved
+from .shared import dealt, saved
 
 # How far apart two ends of a loop's segments may be, the gap at which an open chain still counts as a loop, and the least length around a loop.
 TOLERANCE, GAP, LEAST_PERIMETER = 0.0025, 0.05, 0.5
@@ -19,6 +27,16 @@ TOLERANCE, GAP, LEAST_PERIMETER = 0.0025, 0.05, 0.5
 SIDE = 16
 #: Planes that meet a vertex (as near as TOUCHING) are moved by NUDGE, up to NUDGES times.
 TOUCHING, NUDGE, NUDGES = 1e-9, 1e-6, 16
+#: Nodes of a group that is ranked in one task, at most, and rows that a task ranks at once (whole groups).
+GROUP, AT_ONCE = 250_000, 100_000
+#: Squares of smaller differences are zero: ends nearer to an axis than this stand on it, when points are told apart.
+ZERO = 1e-140
+
+
+def both_ends(pieces: DataFrame, number: str) -> DataFrame:
+    """(grp, end, x, y): the ends of each piece, 2 number where it begins, 2 number + 1 where it ends."""
+    end = lambda i: F.struct((F.col(number) * 2 + i - 1).alias("end"), F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y"))
+    return pieces.select("grp", F.inline(F.array(end(1), end(2))))
 
 
 def near_ends(a: DataFrame, b: DataFrame, eps: float) -> DataFrame:
@@ -48,9 +66,8 @@ def matched(pairs: DataFrame) -> DataFrame:
         left = saved(left.join(used, left["a"] == used["end"], "left_anti").join(used, F.col("b") == used["end"], "left_anti"), "pairs")
 
 
-def ranked_lists(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """nodes(id), links(a, b) with each a and each b once -> (id, head, pos, ring): the place of each node from the head of its
-    list, from 0. A ring begins at its least node."""
+def doubled(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """ranked_lists for lists of any length, by joins: (id, head, pos, ring)."""
     at = saved(nodes.select("id").join(links.select(F.col("a").alias("id"), F.col("b").alias("to")), "id", "left").select("id", "to", F.col("id").alias("least")), "pointers")
     start = at
     while True:
@@ -72,6 +89,112 @@ def ranked_lists(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return back.select("id", "head", "pos").join(rings.select("id", F.lit(True).alias("ring")), "id", "left").withColumn("ring", F.coalesce("ring", F.lit(False)))
 
 
+def grouped(links: DataFrame, ends: DataFrame) -> DataFrame:
+    """links(a, b) with the group of their ends: (grp, a, b)."""
+    return links.join(ends.select("grp", F.col("end").alias("a")), "a").select("grp", "a", "b")
+
+
+def coinciding(ends: DataFrame, directed: bool, rows: int) -> tuple[DataFrame, DataFrame]:
+    """ends(grp, end, x, y) -> links(grp, a, b), and the ends that are left. Linked are two ends of different pieces (2 p and 2 p + 1
+    are the ends of p; ``directed``: one end of each kind) that stand in one point where no other end of the group stands: no pair
+    comes before theirs, as all others of either end have a distance."""
+    key = lambda c: F.when(F.abs(c) < ZERO, 0.0).otherwise(F.col(c))
+    # points that share a hash are left to the general way
+    e = dealt(ends.withColumn("_p", F.xxhash64(key("x"), key("y"))), ["_p", "grp"], rows)
+    point = Window.partitionBy("_p", "grp")
+    both = {"_a": F.min("end").over(point), "_b": F.max("end").over(point), "_n": F.count("*").over(point)}
+    both |= {f"_{f.__name__}_{c}": f(c).over(point) for f in (F.min, F.max) for c in "xy"}
+    finite = F.col("grp").isNotNull() & (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
+    alone = (F.col("_n") == 2) & finite & (F.col("_min_x") == F.col("_max_x")) & (F.col("_min_y") == F.col("_max_y")) & (F.floor(F.col("_a") / 2) != F.floor(F.col("_b") / 2))
+    if directed:
+        alone = alone & (F.col("_a").bitwiseXOR(F.col("_b")).bitwiseAND(F.lit(1)) == 1)
+    e = e.withColumns(both).withColumn("_linked", F.coalesce(alone, F.lit(False))).filter("not _linked or end = _a")
+    e = saved(e.select("grp", "end", "x", "y", F.when(F.col("_linked"), F.col("_b")).alias("_b")), "coinciding")
+    return e.filter("_b is not null").select("grp", F.col("end").alias("a"), F.col("_b").alias("b")), e.filter("_b is null").select("grp", "end", "x", "y")
+
+
+def places(nxt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The next node of each node (-1: none) -> head, place from it and whether it is a ring, for each node; rings begin at their least node."""
+    n = len(nxt)
+    to, least = nxt.copy(), np.arange(n)
+    while True:
+        on = np.flatnonzero(to >= 0)
+        ahead = to[on]
+        low, further = np.minimum(least[on], least[ahead]), to[ahead]
+        moved = (low < least[on]).any() or (further < 0).any()
+        least[on], to[on] = low, further
+        if not moved:
+            break
+    ring = to >= 0
+    up = np.full(n, -1)
+    linked = np.flatnonzero(nxt >= 0)
+    up[nxt[linked]] = linked
+    up[np.flatnonzero(ring & (least == np.arange(n)))] = -1
+    pos, head = (up >= 0).astype(np.int64), np.where(up >= 0, up, np.arange(n))
+    while (on := np.flatnonzero(up >= 0)).size:
+        above = up[on]
+        # all are read before any is written
+        more, top, further = pos[above], head[above], up[above]
+        pos[on] += more
+        head[on], up[on] = top, further
+    return head, pos, ring
+
+
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (_k, _to, id, ...) in order of _k: nodes, and their links where _to is not null -> nodes with head, pos, ring."""
+
+    def rank(t: pa.Table) -> list[pa.RecordBatch]:
+        t = t.combine_chunks()
+        is_link = pc.is_valid(t["_to"])
+        out, links = t.drop_columns(["_k", "_to"]).filter(pc.invert(is_link)), t.select(["id", "_to"]).filter(is_link)
+        order = np.argsort(out["id"].to_numpy())
+        ids = out["id"].to_numpy()[order]
+        nxt = np.full(len(ids), -1)
+        nxt[np.searchsorted(ids, links["id"].to_numpy())] = np.searchsorted(ids, links["_to"].to_numpy())
+        head, pos, ring = places(nxt)
+        for name, values in (("head", ids[head]), ("pos", pos), ("ring", ring)):
+            back = np.empty_like(values)
+            back[order] = values
+            out = out.append_column(name, pa.array(back))
+        return out.combine_chunks().to_batches(max_chunksize=10_000)
+
+    held, n = [], 0
+    for batch in batches:
+        held, n = [*held, batch], n + batch.num_rows
+        if n < AT_ONCE:
+            continue
+        t = pa.Table.from_batches(held)
+        k = t["_k"].to_numpy()
+        cut = int(np.searchsorted(k, k[-1]))  # the last group may go on
+        if cut:
+            yield from rank(t.slice(0, cut))
+            rest = t.slice(cut).combine_chunks()
+            held, n = rest.to_batches(), rest.num_rows
+    if n:
+        yield from rank(pa.Table.from_batches(held))
+
+
+def ranked_lists(nodes: DataFrame, links: DataFrame, rows: int) -> DataFrame:
+    """nodes(grp, id long, ...), links(grp, a, b) with each a and each b once, inside groups, id once over all -> nodes with head,
+    pos, ring: the place of each node from the head of its list, from 0. A ring begins at its least node.
+
+    Whole groups of up to GROUP nodes are ranked in tasks, larger ones by joins.
+    """
+    key = F.xxhash64("grp").alias("_k")  # groups that share a hash are ranked as one: ids are told apart anyway
+    n = nodes.select(key, F.lit(None).cast("long").alias("_to"), *nodes.columns)
+    large = saved(n.groupBy("_k").count().filter(F.col("count") > GROUP).select("_k"), "large")
+    edges = links.select(key, F.col("b").alias("_to"), "grp", F.col("a").alias("id"))
+    some = not large.isEmpty()
+    small = lambda df: df.join(large, "_k", "left_anti") if some else df
+    both = small(n).unionByName(small(edges), allowMissingColumns=True)
+    schema = StructType([StructField(f.name, f.dataType) for f in nodes.schema] + [StructField("head", LongType()), StructField("pos", LongType()), StructField("ring", BooleanType())])
+    out = dealt(both, ["_k"], 2 * rows, always=True).sortWithinPartitions("_k").mapInArrow(_ranked, schema)
+    if some:
+        most = n.join(large, "_k", "left_semi").drop("_k", "_to")
+        out = out.unionByName(most.join(doubled(most, edges.join(large, "_k", "left_semi").select(F.col("id").alias("a"), F.col("_to").alias("b"))), "id"))
+    return out
+
+
 def plane_segments(triangles: DataFrame, first: float, step: float) -> DataFrame:
     """triangles(mesh, id, ax, ay, az, bx, ..., cz) -> (mesh, layer, id, x1, y1, x2, y2): where planes z = first + layer step cut
     them, with the solid on the left.
@@ -82,27 +205,34 @@ def plane_segments(triangles: DataFrame, first: float, step: float) -> DataFrame
     """
     corner = lambda k: F.struct(*[F.col(f"{k}{a}").alias(a) for a in "xyz"])
     t = triangles.select("mesh", "id", *[corner(k).alias(k) for k in "abc"])
-    heights = t.select("mesh", F.explode(F.array("a.z", "b.z", "c.z")).alias("z")).distinct()
+    heights = t.select("mesh", F.explode(F.array("a.z", "b.z", "c.z")).alias("z"))
     near = F.floor((F.col("z") - first) / step + 1e-3)
-    k = F.round((F.col("z") - (near * step + first)) / NUDGE)
+    k = F.rint((F.col("z") - (near * step + first)) / NUDGE)  # halves are off anyway
     touched = heights.select("mesh", near.cast("long").alias("layer"), k.alias("k"), F.abs(F.col("z") - (near * step + first) - k * NUDGE).alias("off")).filter((F.col("off") <= TOUCHING) & F.col("k").between(0, NUDGES - 1))
     nudges = touched.groupBy("mesh", "layer").agg(F.bit_or(F.expr("shiftleft(1, cast(k as int))")).alias("bits")).select("mesh", "layer", F.length(F.regexp_extract(F.reverse(F.bin("bits")), "^1*", 0)).alias("nudges"))
     low, high = F.least("a.z", "b.z", "c.z"), F.greatest("a.z", "b.z", "c.z")
     cut = t.withColumn("layer", F.explode(F.sequence(F.ceil((low - first) / step - 1e-3).cast("long"), F.floor((high - first) / step + 1e-3).cast("long"))))
     cut = cut.join(nudges, ["mesh", "layer"], "left").withColumn("z", F.col("layer") * step + first + F.coalesce("nudges", F.lit(0)) * NUDGE).filter((low < F.col("z")) & (F.col("z") < high))
 
-    def crossing(p: str, q: str) -> Column:
-        u, v = F.least(p, q), F.greatest(p, q)
+    # of the edges ab, bc, ca two cross the plane; each step is a selection of its own, so that no expression is repeated inside the next
+    under = {f"_{k}": F.col(f"{k}.z") < F.col("z") for k in "abc"}
+    edge = lambda p, q: F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v"))
+    bc = edge("b", "c")
+    cut = cut.filter("a.z is not null and b.z is not null and c.z is not null").withColumns(under)
+    cut = cut.withColumns({"_e": F.when(F.col("_a") != F.col("_b"), edge("a", "b")).otherwise(bc), "_f": F.when(F.col("_c") != F.col("_a"), edge("c", "a")).otherwise(bc)})
+
+    def crossing(e: str) -> Column:
+        u, v = F.col(f"{e}.u"), F.col(f"{e}.v")
         s = (F.col("z") - u["z"]) / (v["z"] - u["z"])
-        return F.when((F.col(f"{p}.z") < F.col("z")) != (F.col(f"{q}.z") < F.col("z")), F.struct((u["x"] + s * (v["x"] - u["x"])).alias("x"), (u["y"] + s * (v["y"] - u["y"])).alias("y")))
+        return F.struct((u["x"] + s * (v["x"] - u["x"])).alias("x"), (u["y"] + s * (v["y"] - u["y"])).alias("y"))
 
-    two = F.filter(F.array(crossing("a", "b"), crossing("b", "c"), crossing("c", "a")), lambda p: p.isNotNull())
     d = lambda p, a: F.col(f"{p}.{a}") - F.col(f"a.{a}")
     nx, ny = d("b", "y") * d("c", "z") - d("b", "z") * d("c", "y"), d("b", "z") * d("c", "x") - d("b", "x") * d("c", "z")
-    cut = cut.select("mesh", "layer", "id", two.alias("p"), nx.alias("nx"), ny.alias("ny")).filter("size(p) = 2")
-    turned = (F.col("p")[1]["x"] - F.col("p")[0]["x"]) * -F.col("ny") + (F.col("p")[1]["y"] - F.col("p")[0]["y"]) * F.col("nx") < 0
-    begin, end = F.when(turned, F.col("p")[1]).otherwise(F.col("p")[0]), F.when(turned, F.col("p")[0]).otherwise(F.col("p")[1])
-    return cut.select("mesh", "layer", "id", begin["x"].alias("x1"), begin["y"].alias("y1"), end["x"].alias("x2"), end["y"].alias("y2"))
+    cut = cut.select("mesh", "layer", "id", crossing("_e").alias("p"), crossing("_f").alias("q"), nx.alias("nx"), ny.alias("ny"))
+    turned = (F.col("q.x") - F.col("p.x")) * -F.col("ny") + (F.col("q.y") - F.col("p.y")) * F.col("nx") < 0
+    cut = cut.select("mesh", "layer", "id", "p", "q", turned.alias("turned"))
+    pick = lambda one, other: F.when(F.col("turned"), F.col(one)).otherwise(F.col(other))
+    return cut.select("mesh", "layer", "id", pick("q.x", "p.x").alias("x1"), pick("q.y", "p.y").alias("y1"), pick("p.x", "q.x").alias("x2"), pick("p.y", "q.y").alias("y2"))
 
 
 def loops(segments: DataFrame, eps: float = TOLERANCE) -> DataFrame:
@@ -114,19 +244,21 @@ def loops(segments: DataFrame, eps: float = TOLERANCE) -> DataFrame:
     around. All others are left over, and reported as such.
     """
     s = saved(segments, "segments")
-    ends = s.select("grp", (F.col("seg") * 2 + 1).alias("end"), F.col("x2").alias("x"), F.col("y2").alias("y"))
-    starts = s.select("grp", (F.col("seg") * 2).alias("end"), F.col("x1").alias("x"), F.col("y1").alias("y"))
-    links = matched(near_ends(ends, starts, eps).filter("a <> b + 1"))  # no segment follows itself
+    n = s.count()
+    ends = both_ends(s, "seg")
+    links, left = coinciding(ends, True, 2 * n)
     odd = lambda c: F.col(c) % 2 != 0
-    after = links.select(F.floor(F.when(odd("a"), F.col("a")).otherwise(F.col("b")) / 2).alias("a"), F.floor(F.when(odd("a"), F.col("b")).otherwise(F.col("a")) / 2).alias("b"))
-    ranks = ranked_lists(s.select(F.col("seg").alias("id")), after)
-    r = s.join(ranks, s["seg"] == ranks["id"]).select("grp", F.col("head").alias("loop"), "pos", "seg", "x1", "y1", "x2", "y2", "ring")
+    # no segment follows itself
+    links = links.unionByName(grouped(matched(near_ends(left.filter(odd("end")), left.filter(~odd("end")), eps).filter("a <> b + 1")), left))
+    after = links.select("grp", F.floor(F.when(odd("a"), F.col("a")).otherwise(F.col("b")) / 2).alias("a"), F.floor(F.when(odd("a"), F.col("b")).otherwise(F.col("a")) / 2).alias("b"))
+    r = ranked_lists(s.withColumnRenamed("seg", "id"), after, n).withColumnsRenamed({"id": "seg", "head": "loop"})
+    loop = Window.partitionBy("loop").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     around = F.sum(F.sqrt(F.pow(F.col("x2") - F.col("x1"), 2) + F.pow(F.col("y2") - F.col("y1"), 2)))
-    ends_ = [F.min_by(c, "pos").alias(f"_{c}") for c in ("x1", "y1")] + [F.max_by(c, "pos").alias(f"_{c}") for c in ("x2", "y2")]
-    whole = r.groupBy("loop").agg(F.count("*").alias("_n"), around.alias("_around"), F.any_value("ring").alias("_ring"), *ends_)
+    whole = {"_n": F.count("*"), "_around": around} | {f"_{c}": F.first(c) for c in ("x1", "y1")} | {f"_{c}": F.last(c) for c in ("x2", "y2")}
+    r = r.withColumns({k: v.over(loop) for k, v in whole.items()})
     gap = F.sqrt(F.pow(F.col("_x2") - F.col("_x1"), 2) + F.pow(F.col("_y2") - F.col("_y1"), 2))
-    closed = (F.col("_ring") | (gap <= GAP)) & (F.col("_n") >= 3) & (F.col("_around") >= LEAST_PERIMETER)
-    return r.join(whole.select("loop", closed.alias("closed")), "loop").select("grp", "loop", "pos", "seg", "x1", "y1", "x2", "y2", "closed")
+    closed = (F.col("ring") | (gap <= GAP)) & (F.col("_n") >= 3) & (F.col("_around") >= LEAST_PERIMETER)
+    return r.select("grp", "loop", "pos", "seg", "x1", "y1", "x2", "y2", closed.alias("closed"))
 
 
 def loop_areas(looped: DataFrame) -> DataFrame:
@@ -146,13 +278,14 @@ def nesting(looped: DataFrame, size: float) -> DataFrame:
     """
     by = Window.partitionBy("loop").orderBy("pos")
     nxt = lambda c: F.coalesce(F.lead(c).over(by), F.first(c).over(by))
-    edges = looped.filter("closed").select("grp", "loop", F.col("x1").alias("ax"), F.col("y1").alias("ay"), nxt("x1").alias("bx"), nxt("y1").alias("by")).filter("ay <> by")
+    looped = saved(looped.filter("closed").select("grp", "loop", "pos", "x1", "y1", nxt("x1").alias("_bx"), nxt("y1").alias("_by")), "loops")
+    edges = looped.select("grp", "loop", F.col("x1").alias("ax"), F.col("y1").alias("ay"), F.col("_bx").alias("bx"), F.col("_by").alias("by")).filter("ay <> by")
     low, high = F.least("ay", "by"), F.greatest("ay", "by")
     edges = edges.withColumn("class", F.greatest(F.lit(0), F.ceil(F.log2((high - low) / size))).cast("int"))
     width = lambda c: F.pow(F.lit(2.0), F.col(c)) * size
     edges = saved(edges.withColumn("band", F.explode(F.sequence(F.floor(low / width("class")), F.floor(high / width("class"))))), "edges")
     classes = [r["class"] for r in edges.select("class").distinct().collect()]  # one for each doubling of the height
-    heads = looped.filter("closed and pos = 0").select("grp", F.col("loop").alias("own"), F.col("x1").alias("x"), F.col("y1").alias("y"))
+    heads = looped.filter("pos = 0").select("grp", F.col("loop").alias("own"), F.col("x1").alias("x"), F.col("y1").alias("y"))
     asked = heads.withColumn("class", F.explode(F.array(*[F.lit(c) for c in classes]).cast("array<int>"))).withColumn("band", F.floor(F.col("y") / width("class")))
     right = F.col("x") < (F.col("bx") - F.col("ax")) * (F.col("y") - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax")
     hit = asked.join(edges, ["grp", "class", "band"]).filter((F.col("own") != F.col("loop")) & ((F.col("ay") > F.col("y")) != (F.col("by") > F.col("y")))).filter(right)
@@ -170,29 +303,28 @@ def joined(pieces: DataFrame, eps: float) -> DataFrame:
     """
     p = saved(pieces, "pieces")
     # ends: 2 piece is where a piece begins, 2 piece + 1 where it ends; a node for each piece and direction has the number of the end that it leads to
-    ends = p.select("grp", F.explode(F.array(F.struct((F.col("piece") * 2).alias("end"), F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct((F.col("piece") * 2 + 1).alias("end"), F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("e")).select("grp", "e.end", "e.x", "e.y")
-    near = near_ends(ends, ends, eps).filter("a < b").filter(F.floor(F.col("a") / 2) != F.floor(F.col("b") / 2))
-    links = matched(near)
+    ends = both_ends(p, "piece")
+    n = p.count()
+    links, left = coinciding(ends, False, 2 * n)
+    near = near_ends(left, left, eps).filter("a < b").filter(F.floor(F.col("a") / 2) != F.floor(F.col("b") / 2))
+    links = links.unionByName(grouped(matched(near), left))
     other = lambda c: F.col(c).bitwiseXOR(F.lit(1))
-    after = links.select("a", other("b").alias("b")).unionByName(links.select(F.col("b").alias("a"), other("a").alias("b")))
+    after = links.select("grp", "a", other("b").alias("b")).unionByName(links.select("grp", F.col("b").alias("a"), other("a").alias("b")))
     # a node leads to end e; then comes the piece that is entered at the end matched with e, which leads to its other end
-    ranks = ranked_lists(ends.select(F.col("end").alias("id")), after)
+    ranks = ranked_lists(ends.select("grp", F.col("end").alias("id")), after, 2 * n).withColumnRenamed("ring", "_ring")
     # forward nodes are odd: of a piece's two nodes the one that leads to its end; order rings by piece, forward first
-    last = ranks.groupBy("head").agg(F.max_by("id", "pos").alias("tail"), F.any_value("ring").alias("_ring"))
+    w = Window.partitionBy("head")
     piece = lambda c: F.floor(F.col(c) / 2)
-    single = F.col("head") == F.col("tail")
-    chosen = last.filter(F.when(F.col("_ring"), True).when(single, F.col("head") % 2 == 1).otherwise(piece("head") < piece("tail")))
-    r = ranks.join(chosen.select("head", "_ring"), "head")
+    single = F.col("head") == F.col("_tail")
+    chosen = F.when(F.col("_ring"), True).when(single, F.col("head") % 2 == 1).otherwise(piece("head") < piece("_tail"))
     # both directions of a ring begin at the same least node or its twin; the one with its least piece forward is kept, turned to begin there
-    w = Window.partitionBy("head")
-    r = r.withColumns({"_p": piece("id"), "_len": F.count("*").over(w)})
+    r = ranks.withColumn("_p", piece("id")).withColumns({"_tail": F.max_by("id", "pos").over(w), "_len": F.count("*").over(w)}).filter(chosen)
     first = F.min_by(F.col("pos"), F.struct("_p")).over(w)
     forward = F.min_by(F.col("id") % 2 == 1, F.struct("_p")).over(w)
     r = r.withColumns({"_first": first, "_fwd": forward}).filter(~F.col("_ring") | F.col("_fwd"))
     pos = F.when(F.col("_ring"), F.pmod(F.col("pos") - F.col("_first"), F.col("_len"))).otherwise(F.col("pos"))
     chain = F.when(F.col("_ring"), F.min("_p").over(w)).otherwise(piece("head"))
-    out = r.select(F.col("_p").alias("piece"), chain.alias("chain"), pos.alias("pos"), (F.col("id") % 2 == 0).alias("flipped"))
-    return p.select("grp", "piece").join(out, "piece").select("grp", "piece", "chain", "pos", "flipped")
+    return r.select("grp", F.col("_p").alias("piece"), chain.alias("chain"), pos.alias("pos"), (F.col("id") % 2 == 0).alias("flipped"))
 
 
 def joined_points(points: DataFrame, order: DataFrame) -> DataFrame:
