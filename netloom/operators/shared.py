@@ -34,10 +34,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def dealt(df: DataFrame, keys: list[str], rows: int, always: bool = False) -> DataFrame:
-    """The frame dealt by its keys to as many tasks as ``rows`` rows need. Where the session's number of shuffle partitions is enough, it is dealt to these (``always``) or left as it is."""
+    """The frame dealt by its keys to as many tasks as ``rows`` rows need, by number: shuffle partitions without a number are
+    merged when a query runs, so that a task's rows would grow with the input. What one task can hold is dealt to the
+    session's partitions (``always``) or left as it is."""
     n = math.ceil(rows / ROWS_A_TASK)
-    if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-        return df.repartition(n, *keys)
+    if n > 1:
+        return df.repartition(max(n, df.sparkSession.sparkContext.defaultParallelism), *keys)
     return df.repartition(*keys) if always else df
 
 
