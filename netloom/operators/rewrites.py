@@ -84,13 +84,12 @@ def merged_interchanges(stops: DataFrame, places: DataFrame, radius_m: float) ->
     components of both kinds of links: a component is at most one connected network. Neighbours that no pair can change
     travel along with their lines.
     """
-    served = stops.select("line", "station").distinct().join(places.select("station"), "station")
-    own = served.groupBy("station").agg(F.sort_array(F.collect_set(F.col("line"))).alias("lines"))
+    own = saved(stops.groupBy("station").agg(F.sort_array(F.collect_set(F.col("line"))).alias("lines")).join(places.select("station"), "station", "left_semi"), "served")
     near = proximity.within(places.join(own.select("station"), "station").select(F.col("station").alias("id"), "lat", "lon"), "id", radius_m)
     pairs = saved(near.select("a", "b", F.col("metres").alias("d")), "pairs")
     in_pair = saved(pairs.select(F.explode(F.array("a", "b")).alias("station")).distinct(), "candidates")
     links = sequence.steps(stops, ["line", "seq"], "ord", "station").select("a", "b").filter("a <> b")
-    ways = saved(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().join(in_pair.withColumnRenamed("station", "a"), "a"), "neighbours")
+    ways = saved(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(in_pair.withColumnRenamed("station", "a"), "a", "left_semi").distinct(), "neighbours")
     inner = ways.join(in_pair.withColumnRenamed("station", "b"), "b").select("a", "b")
     part = graph.connected_components(pairs.select("a", "b").unionByName(inner)).withColumnRenamed("component", "part")
     around = ways.join(own.withColumnsRenamed({"station": "b", "lines": "lines_b"}), "b").groupBy("a").agg(F.collect_list(F.struct(F.col("b").alias("station"), F.col("lines_b").alias("lines"))).alias("near"))
@@ -128,6 +127,6 @@ def merged_interchanges(stops: DataFrame, places: DataFrame, radius_m: float) ->
             to[b] = a
         return [(s, root(s), *place[root(s)], name[root(s)]) for s in sorted(lines)]
 
-    merged = saved(fold.ordered_fold(both, ["part"], ["d", "a", "b"], run, "station long, target long, lat double, lon double, name string"), "merged")
+    merged = saved(fold.ordered_fold(both, ["part"], ["d", "a", "b"], run, "station long, target long, lat double, lon double, name string", pairs.count() + in_pair.count()), "merged")
     moved = stops.join(merged.filter("station <> target").select("station", "target"), "station", "left").withColumn("station", F.coalesce("target", "station")).drop("target")
     return merged, sequence.drop_consecutive_duplicates(moved, ["line", "seq"], "ord", "station").select("line", "seq", "ord", "station")
