@@ -17,10 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seq, ord, station): ordered stops of all patterns."""
+def stops(spark: SparkSession, sf_dir: str, rows: int = 1) -> DataFrame:
+    """(seq, ord, station): ordered stops of all patterns. rows: how many rows each becomes in the tasks to which stops are dealt."""
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("seq"), F.col("l_partkey").alias("station"), "l_linenumber", "l_suppkey")
-    li = dealt(li, ["seq"], li.count())
+    li = dealt(li, ["seq"], rows * li.count())
     return sequence.renumber(li, ["seq"], "l_linenumber", "station", "l_suppkey").select("seq", "ord", "station")
 
 
