@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import drawing, markup
+from ..operators import documents, markup
 from ..registry import query
 from .tables import STOPS, stops, table
 
@@ -84,11 +84,6 @@ def drawings(spark: SparkSession, d: str) -> DataFrame:
     return parts.select("seq", F.concat(F.lit(head), "body", F.repeat(F.lit("</g>"), F.col("n").cast("int")), F.lit("</svg>")).alias("svg"))
 
 
-def drawing_nodes(spark: SparkSession, d: str) -> DataFrame:
-    chars = 300 * table(spark, d, "lineitem").count()  # a stop has some 200, a drawing 400
-    return markup.tree(markup.tokens(drawings(spark, d), "seq", "svg", chars), chars=chars)
-
-
 STYLED = f"""{STOPS}, own AS (
   SELECT seq, ord, station, CASE WHEN station % 7 = 0 THEN '#009b48' WHEN station % 5 = 0 THEN '#0072bc' WHEN ord = 3 THEN 'blue' WHEN station % 4 = 0 THEN '#e4002b' WHEN station % 4 = 1 THEN '#8e258d' END AS s FROM stops
 )"""
@@ -97,10 +92,9 @@ STYLED = f"""{STOPS}, own AS (
 @query("S08", f"WITH {STYLED} SELECT seq, ord, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY seq ORDER BY ord), '-') AS stroke FROM own")
 def style_cascade(spark: SparkSession, d: str) -> DataFrame:
     """The stroke that holds in each group of the drawings, by classes, ids, attributes and inline styles down the tree."""
-    nodes = drawing_nodes(spark, d)
-    styles = markup.computed_styles(nodes, markup.declared_styles(nodes, markup.style_rules(nodes)), ["stroke"])
-    groups = nodes.filter("depth > 0").select("doc", "node", F.regexp_extract(markup.attr("id"), "^n([0-9]+)$", 1).try_cast("long").alias("ord")).filter("ord is not null")
-    return groups.join(styles, ["doc", "node"]).select(F.col("doc").alias("seq"), "ord", F.coalesce("value", F.lit("-")).alias("stroke"))
+    nodes = documents.styled(drawings(spark, d), "seq", "svg", ["stroke"])
+    groups = nodes.filter("depth > 0").withColumn("ord", F.regexp_extract("id", "^n([0-9]+)$", 1).try_cast("long")).filter("ord is not null")
+    return groups.select(F.col("doc").alias("seq"), "ord", F.coalesce("stroke", F.lit("-")).alias("stroke"))
 
 
 PLACED = f"""{STYLED}, p AS (
@@ -121,4 +115,4 @@ PLACED = f"""{STYLED}, p AS (
 )
 def drawing_shapes(spark: SparkSession, d: str) -> DataFrame:
     """All points that the drawings show, templates at each of their uses included."""
-    return drawing.extracted(drawing_nodes(spark, d)).select(F.col("doc").alias("seq"), F.coalesce("colour", F.lit("-")).alias("colour"), "tag", "width", "poly", F.col("i").cast("int").alias("i"), "x", "y")
+    return documents.extracted(drawings(spark, d), "seq", "svg").select(F.col("doc").alias("seq"), F.coalesce("colour", F.lit("-")).alias("colour"), "tag", "width", "poly", F.col("i").cast("int").alias("i"), "x", "y")
