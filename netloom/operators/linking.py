@@ -417,7 +417,7 @@ def _nesting_of(t: pa.Table, eps: float, by: list[str], size: float) -> pa.Table
     return out.append_column("depth", pa.array(depth))
 
 
-def _by_groups(batches: Iterator[pa.RecordBatch], each: Callable[[pa.Table], pa.Table]) -> Iterator[pa.RecordBatch]:
+def by_groups(batches: Iterator[pa.RecordBatch], each: Callable[[pa.Table], pa.Table]) -> Iterator[pa.RecordBatch]:
     """Rows that lie beside those of their group, with its size in _n, are handed on in whole groups, AT_ONCE rows or so."""
     held, n, cut, end = [], 0, 0, 0  # cut: rows of whole groups, end: where the last group that was begun ends
     for batch in batches:
@@ -443,7 +443,7 @@ def _in_groups(segments: DataFrame, by: list[str], large: bool | None, each: Cal
     s = s.withColumns({"_n": F.count("*").over(Window.partitionBy(*by)), "_ok": reduce(lambda m, n: m & n, [F.col(k).isNotNull() for k in by])})
     schema = StructType([StructField(k, added[k]() if k in added else s.schema[k].dataType) for k in (*by, *added)])
     small = s.filter(F.col("_n") <= GROUP) if large else s
-    out = small.mapInArrow(lambda batches: _by_groups(batches, lambda t: each(t).select(schema.names)), schema)
+    out = small.mapInArrow(lambda batches: by_groups(batches, lambda t: each(t).select(schema.names)), schema)
     return out.unionByName(rest(s.filter(F.col("_n") > GROUP)).select(schema.names)) if large else out
 
 

@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 import itertools
+import math
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import geo
 from . import fold, graph, proximity, sequence
+from .linking import GROUP, by_groups
 from .shared import saved
 
 # Passes, hops of a way, shortest hop that is looked at, how far from the straight line its stops may be (a share of the hop, and metres), and where along it.
 PASSES, MOST_HOPS, LEAST_M = 4, 8, 50.0
 OFF_SHARE, OFF_M = 0.3, 350.0
 ALONG = (0.02, 0.98)
+KX, KY = geo.METRES_PER_DEGREE
 
 
 def _on_the_way(lat: Column, lon: Column) -> Column:
@@ -56,8 +62,104 @@ def local_ways(steps: DataFrame, places: DataFrame, most: int | None = MOST_HOPS
     return found
 
 
-def expand_express(stops: DataFrame, places: DataFrame, passes: int = PASSES, most: int | None = MOST_HOPS) -> DataFrame:
-    """stops(line, seq, ord, station) -> the same, with each hop that has a local way replaced by it (``most`` hops at most; None: any number); again until nothing changes, ``passes`` times at most."""
+def expand_express(stops: DataFrame, places: DataFrame | None = None, passes: int = PASSES, most: int | None = MOST_HOPS) -> DataFrame:
+    """stops(line, seq, ord, station) -> the same, with each hop that has a local way (``local_ways``) replaced by it (``most``
+    hops at most; None: any number); again until nothing changes, ``passes`` times at most. Lines without such a hop stay as they are.
+    Sequences of other lines are numbered anew, from 1. Without ``places``(station, lat, lon), stops have lat and lon.
+
+    A line is done in one task; lines of more than GROUP stops by joins.
+    """
+    s = stops.select("line", "seq", F.col("ord").cast("long").alias("ord"), "station", *(["lat", "lon"] if places is None else []))
+    schema = StructType([s.schema[c] for c in ("line", "seq", "ord", "station")])
+    out = to_arrow_schema(schema)
+    large = not s.groupBy("line").count().filter(F.col("count") > GROUP).isEmpty()
+    if places is not None:
+        s = s.join(places.select("station", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")).dropDuplicates(["station"]), "station", "left")
+    # a window: stops that are dealt by their lines already are not shuffled
+    s = s.withColumn("_n", F.count("*").over(Window.partitionBy("line")))
+
+    def each(t: pa.Table) -> pa.Table:
+        line, seq, number, station, lat, lon, n = (t[c].to_pylist() for c in ("line", "seq", "ord", "station", "lat", "lon", "_n"))
+        rows, at = [], 0
+        while at < len(n):
+            group = range(at, at + n[at])
+            seqs: dict = {}
+            for i in sorted(group, key=lambda i: (seq[i] is None, seq[i] or 0, number[i] or 0)):
+                seqs.setdefault(seq[i], []).append((number[i], station[i]))
+            near = {station[i]: (lat[i], lon[i]) for i in group if lat[i] is not None and lon[i] is not None}
+            done = expanded_line(seqs, near, passes, most) if line[at] is not None else seqs
+            rows += [(line[at], k, i, x) for k, v in done.items() for i, x in v]
+            at += n[at]
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+
+    small = s.filter(F.col("_n") <= GROUP) if large else s
+    done = small.mapInArrow(lambda batches: by_groups(batches, each), schema)
+    if not large:
+        return done
+    most_stops = s.filter(F.col("_n") > GROUP)
+    if places is None:
+        places = most_stops.select("station", "lat", "lon").filter("lat is not null and lon is not null").dropDuplicates(["station"])
+    return done.unionByName(_expanded_by_joins(most_stops, places, passes, most).select(schema.names))
+
+
+def expanded_line(seqs: dict, place: dict, passes: int, most: int | None) -> dict:
+    """seqs: key -> [(ord, station)] in order, of one line, place: station -> (lat, lon) -> seqs, expanded; in rounds, as ``local_ways``."""
+
+    def way_of(a, b, near):
+        (la, lo), (lb, ob) = place[a], place[b]
+        kx = KX * math.cos(math.radians((la + lb) / 2))
+        metres = math.sqrt(((lo - ob) * kx) ** 2 + ((la - lb) * KY) ** 2)
+        if metres < LEAST_M:
+            return None
+        kx = KX * math.cos(math.radians(la))
+        bx, by = (ob - lo) * kx, (lb - la) * KY
+
+        def along(s):
+            px, py = (place[s][1] - lo) * kx, (place[s][0] - la) * KY
+            t = max(0.0, min(1.0, (px * bx + py * by) / (bx * bx + by * by)))
+            return ALONG[0] < t < ALONG[1] and math.sqrt((px - t * bx) ** 2 + (py - t * by) ** 2) < max(OFF_SHARE * metres, OFF_M)
+
+        at, seen, hops = {a: ((), (a,))}, {a}, 0
+        while at and (most is None or hops < most):
+            best, hops = {}, hops + 1
+            for cur, (rank, way) in at.items():
+                for nb, r in near.get(cur, {}).items():
+                    if nb in seen or (cur == a and nb == b) or not (nb == b or along(nb)):
+                        continue
+                    step = ((*rank, r), (*way, nb))
+                    if nb not in best or step < best[nb]:
+                        best[nb] = step
+            if b in best:
+                return best[b][1]
+            at = best
+            seen.update(best)
+        return None
+
+    for _ in range(passes):
+        near, hops = {}, {}
+        for k, stops in seqs.items():
+            for (i, a), (_, b) in zip(stops, stops[1:], strict=False):
+                if a is None or b is None:
+                    continue
+                hops[a, b] = None
+                for cur, nb in ((a, b), (b, a)) if a != b else ():
+                    if nb in place:
+                        to = near.setdefault(cur, {})
+                        to[nb] = min(to.get(nb, (k, i)), (k, i))
+        ways = {h: w for h in hops if h[0] in place and h[1] in place and (w := way_of(*h, near))}
+        if not ways:
+            return seqs
+        out = {}
+        for k, stops in seqs.items():
+            new = [stops[0][1]]
+            for (_, a), (_, b) in zip(stops, stops[1:], strict=False):
+                new += ways[a, b][1:] if (a, b) in ways else [] if b is None else [b]
+            out[k] = list(enumerate(new, 1))
+        seqs = out
+    return seqs
+
+
+def _expanded_by_joins(stops: DataFrame, places: DataFrame, passes: int, most: int | None) -> DataFrame:
     stops = saved(stops.select("line", "seq", F.col("ord").cast("long").alias("ord"), "station"), "stops")
     for _ in range(passes):
         steps = saved(sequence.steps(stops, ["line", "seq"], "ord", "station"), "steps")
