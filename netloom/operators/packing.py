@@ -21,6 +21,8 @@ from .fold import ordered_fold
 GAP, CELL, TURNS = 2.5, 1.25, (0, 90, 45, 135)
 #: Rows that are tried at once, and shapes whose cells a Python process keeps at hand (the others are worked out again); items of a task, as one takes about a millisecond.
 BAND, KEPT, ITEMS_A_TASK = 24, 4096, 5_000
+#: Rows of a shape that rule out most places, and places that are then tried one by one.
+FIRST, TRIES = 4, 8
 
 
 class Mask:
@@ -44,9 +46,22 @@ class Mask:
         wide = wide[rows[0] : rows[-1] + 1, cols[0] : cols[-1] + 1]
         self.turn, self.h, self.w = turn, *wide.shape
         self.left, self.low = left + cols[0] * cell, low + rows[0] * cell
-        self.bits = [int("".join("1" if v else "0" for v in r[::-1]), 2) for r in wide]
+        self.bits = [int.from_bytes(r.tobytes(), "little") for r in np.packbits(wide, axis=1, bitorder="little")]
         edge = np.diff(np.pad(wide.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-        self.runs = [list(zip(np.flatnonzero(r == 1).tolist(), np.flatnonzero(r == -1).tolist(), strict=True)) for r in edge]
+        (at, begins), ends = (v.tolist() for v in np.nonzero(edge == 1)), np.nonzero(edge == -1)[1].tolist()
+        self.runs = [[] for _ in wide]
+        for j, begin, end in zip(at, begins, ends, strict=True):
+            self.runs[j].append((begin, end))
+        self.wholes: dict[int, int] = {}
+        # the rows that are tried first: the lowest, the highest, and some between; and the others
+        some = set(np.linspace(0, self.h - 1, min(self.h, FIRST)).astype(int).tolist())
+        self.first, self.rest = ([(j, begin, end, (end - begin).bit_length() - 1) for j, r in enumerate(self.runs) if (j in some) == own for begin, end in r] for own in (True, False))
+
+    def whole(self, wide: int) -> int:
+        """Its cells as one number, on a plate of rows of ``wide`` cells."""
+        if wide not in self.wholes:
+            self.wholes[wide] = sum(bits << j * wide for j, bits in enumerate(self.bits))
+        return self.wholes[wide]
 
     @staticmethod
     def _touched(x: np.ndarray, y: np.ndarray, w: int, h: int) -> np.ndarray:
@@ -83,7 +98,7 @@ class Plate:
         self.wide, self.high, self.spreads = wide, len(rows), [sum(r << y * wide for y, r in enumerate(rows))]
 
     def put(self, mask: Mask, x: int, y: int) -> None:
-        self.spreads = [self.spreads[0] | sum(bits << (y + j) * self.wide + x for j, bits in enumerate(mask.bits))]
+        self.spreads = [self.spreads[0] | mask.whole(self.wide) << y * self.wide + x]
 
     def spread(self, k: int) -> int:
         while len(self.spreads) <= k:
@@ -95,24 +110,34 @@ class Plate:
 def first_on(plate: Plate, mask: Mask, below: int) -> tuple[int, int] | None:
     """The first place (row, then column) where the mask meets nothing, if it is before ``below``.
 
-    All places of a band of rows are tried at once. A run of the mask is two overlapping stretches of a length that is a power of two.
+    All places of a band of rows are tried at once. A run of the mask is two overlapping stretches of a length that is a power
+    of two. Some of the mask's rows leave few places; those are tried with the whole mask, one by one, and where TRIES of
+    them fail, the other rows are taken as well.
     """
     wide, last = plate.wide, min(plate.high - mask.h, (below - 1) // plate.wide)
-    row = (1 << wide - mask.w + 1) - 1
+    row, all_of, cells = (1 << wide - mask.w + 1) - 1, mask.whole(wide), plate.spreads[0]
     for y in range(0, last + 1, BAND):
         n = min(BAND, last + 1 - y)
-        whole, taken = (1 << n * wide) - 1, 0
-        for j, runs in enumerate(mask.runs, y):
-            for begin, end in runs:
-                k = (end - begin).bit_length() - 1
-                taken |= plate.spread(k) >> j * wide + begin & whole
+        whole = (1 << n * wide) - 1
+        free = row * (whole // ((1 << wide) - 1))
+        for runs in (mask.first, mask.rest):
+            for j, begin, end, k in runs:
+                spread = plate.spread(k)
+                base = (y + j) * wide
+                taken = spread >> base + begin
                 if end - begin > 1 << k:
-                    taken |= plate.spread(k) >> j * wide + end - (1 << k) & whole
-        free = ~taken & row * (whole // ((1 << wide) - 1))
-        if free:
-            at = (free & -free).bit_length() - 1
-            x, y = at % wide, y + at // wide
-            return (x, y) if y * wide + x < below else None
+                    taken |= spread >> base + end - (1 << k)
+                free &= ~taken
+            for _ in range(TRIES):
+                if not free:
+                    break
+                at = (free & -free).bit_length() - 1
+                if not cells >> y * wide + at & all_of:
+                    x, y = at % wide, y + at // wide
+                    return (x, y) if y * wide + x < below else None
+                free &= free - 1
+            if not free:
+                break
     return None
 
 
