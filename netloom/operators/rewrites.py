@@ -186,16 +186,16 @@ def merged_interchanges(stops: DataFrame, places: DataFrame, radius_m: float) ->
     components of both kinds of links: a component is at most one connected network. Neighbours that no pair can change
     travel along with their lines.
     """
-    own = saved(stops.groupBy("station").agg(F.sort_array(F.collect_set(F.col("line"))).alias("lines")).join(places.select("station"), "station", "left_semi"), "served")
-    near = proximity.within(places.join(own.select("station"), "station").select(F.col("station").alias("id"), "lat", "lon"), "id", radius_m)
+    own = saved(stops.groupBy("station").agg(F.sort_array(F.collect_set(F.col("line"))).alias("lines")).join(places.select("station", "lat", "lon", "name"), "station"), "served")
+    near = proximity.within(own.select(F.col("station").alias("id"), "lat", "lon"), "id", radius_m)
     pairs = saved(near.select("a", "b", F.col("metres").alias("d")), "pairs")
     in_pair = saved(pairs.select(F.explode(F.array("a", "b")).alias("station")).distinct(), "candidates")
     links = sequence.steps(stops, ["line", "seq"], "ord", "station").select("a", "b").filter("a <> b")
     ways = saved(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).join(in_pair.withColumnRenamed("station", "a"), "a", "left_semi").distinct(), "neighbours")
     inner = ways.join(in_pair.withColumnRenamed("station", "b"), "b").select("a", "b")
     part = graph.connected_components(pairs.select("a", "b").unionByName(inner)).withColumnRenamed("component", "part")
-    around = ways.join(own.withColumnsRenamed({"station": "b", "lines": "lines_b"}), "b").groupBy("a").agg(F.collect_list(F.struct(F.col("b").alias("station"), F.col("lines_b").alias("lines"))).alias("near"))
-    rows = in_pair.join(places, "station").join(own, "station").join(around.withColumnRenamed("a", "station"), "station", "left")
+    around = ways.join(own.select(F.col("station").alias("b"), F.col("lines").alias("lines_b")), "b").groupBy("a").agg(F.collect_list(F.struct(F.col("b").alias("station"), F.col("lines_b").alias("lines"))).alias("near"))
+    rows = in_pair.join(own, "station").join(around.withColumnRenamed("a", "station"), "station", "left")
     rows = rows.select(F.col("station").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(-1.0).alias("d"), "lat", "lon", "name", "lines", "near")
     asked = pairs.select("a", "b", "d", *[F.lit(None).cast(t).alias(c) for c, t in (("lat", "double"), ("lon", "double"), ("name", "string"))], F.lit(None).cast(rows.schema["lines"].dataType).alias("lines"), F.lit(None).cast(rows.schema["near"].dataType).alias("near"))
     both = rows.unionByName(asked).join(part.withColumnRenamed("id", "a"), "a")

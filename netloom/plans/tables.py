@@ -17,11 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stops(spark: SparkSession, sf_dir: str, rows: int = 1) -> DataFrame:
-    """(seq, ord, station): ordered stops of all patterns. rows: how many rows each becomes in the tasks to which stops are dealt."""
+def stops(spark: SparkSession, sf_dir: str, rows: int = 1, beside: Column | None = None) -> DataFrame:
+    """(seq, ord, station): ordered stops of all patterns. rows: how many rows each becomes in the tasks to which stops are dealt.
+    beside: a column of seq; patterns for which it is the same are dealt to one task, and it is given as well."""
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("seq"), F.col("l_partkey").alias("station"), "l_linenumber", "l_suppkey")
-    li = dealt(li, ["seq"], rows * li.count())
-    return sequence.renumber(li, ["seq"], "l_linenumber", "station", "l_suppkey").select("seq", "ord", "station")
+    keys = ["seq"] if beside is None else ["beside", "seq"]
+    li = dealt(li if beside is None else li.withColumn("beside", beside), keys[:1], rows * li.count())
+    return sequence.renumber(li, keys, "l_linenumber", "station", "l_suppkey").select("seq", "ord", "station", *keys[:-1])
 
 
 def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
