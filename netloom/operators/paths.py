@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import geo
-from .fold import ordered_fold
+from .shared import dealt
 
 # Longest miter (in offsets), pieces of a quarter turn, corners too flat or too sharp to round, shortest piece, steps of a search for a cut.
 MITER, ARC, FLAT, SHARP = 3.0, 8, 0.02, 0.05
@@ -77,73 +82,123 @@ def split_for_bed(points: DataFrame, stations: DataFrame, pad: float, wide: floa
     of a piece grows point by point, so the work is in proportion to the points. rows: about how many points there are, where they are many.
     """
     marks = stations.selectExpr("path", "cast(-1 as long) as i", "cast(s as double) as x", "cast(null as double) as y")
-
-    def holds(box):
-        w, h = box[2] - box[0] + 2 * pad, box[3] - box[1] + 2 * pad
+    both = points.selectExpr("path", "cast(i as long) as i", "cast(x as double) as x", "cast(y as double) as y").unionByName(marks)
+    schema = StructType([both.schema["path"], *StructType.fromDDL("piece long, i long, x double, y double")])
+    fields = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in order of path, i, x; columns, not rows, are read and made."""
+        held, out = None, [[] for _ in fields]
+
+        def made() -> pa.RecordBatch:
+            done = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, fields, strict=True)], schema=fields)
+            for c in out:
+                c.clear()
+            return done
+
+        def one(path, i: list[int], x: list[float], y: list[float]) -> None:
+            n = bisect_left(i, 0)
+            for k, pts in enumerate(pieces(sorted(x[:n]), list(zip(x[n:], y[n:], strict=True)), pad, wide, high)):
+                for c, values in zip(out, ([path] * len(pts), [k] * len(pts), range(len(pts)), *zip(*pts, strict=True)), strict=True):
+                    c.extend(values)
+
+        for b in batches:
+            key, i = b.column("path").to_pylist(), b.column("i").to_numpy().tolist()
+            x, y = (b.column(c).to_numpy(zero_copy_only=False).tolist() for c in "xy")
+            if b.column("x").null_count or b.column("y").null_count > sum(v < 0 for v in i):  # a missing place stays missing, and is refused
+                x, y = b.column("x").to_pylist(), b.column("y").to_pylist()
+            begin = 0
+            while begin < len(key):
+                end = bisect_right(key, key[begin], begin) if key[begin] is not None else next((k for k in range(begin, len(key)) if key[k] is not None), len(key))
+                part = i[begin:end], x[begin:end], y[begin:end]
+                if held and held[0] == key[begin]:
+                    held = key[begin], *(u + v for u, v in zip(held[1:], part, strict=True))
+                else:
+                    if held:
+                        one(*held)
+                    held = key[begin], *part
+                begin = end
+                if len(out[0]) > 20_000:
+                    yield made()
+        if held:
+            one(*held)
+        yield made()
+
+    spread = both.repartition(max(1, math.ceil(rows / 250_000)), "path") if rows else dealt(both, ["path"], rows, always=True)
+    return spread.sortWithinPartitions("path", "i", "x").mapInArrow(run, schema)
+
+
+def pieces(stops: list[float], path: list[tuple[float, float]], pad: float, wide: float, high: float) -> list[list[tuple[float, float]]]:
+    """The pieces of one path, cut as ``split_for_bed`` says; stops: where its stations are along it, in order."""
+    if not path:
+        return []
+    if len(path) == 1:
+        return [path]
+
+    def holds(x0, y0, x1, y1):
+        w, h = x1 - x0 + 2 * pad, y1 - y0 + 2 * pad
         return (w <= wide and h <= high) or (h <= wide and w <= high)
 
-    def more(box, p):
-        return (min(box[0], p[0]), min(box[1], p[1]), max(box[2], p[0]), max(box[3], p[1]))
+    cum = [0.0, *accumulate(map(math.dist, path, path[1:]))]
 
-    def at(path, cum, s):
-        if len(path) == 1:
-            return path[0]
+    def at(s):
         k = min(bisect_left(cum, s, 1), len(path) - 1)
         t = 0.0 if cum[k] == cum[k - 1] else min(1.0, max(0.0, (s - cum[k - 1]) / (cum[k] - cum[k - 1])))
         (ax, ay), (bx, by) = path[k - 1], path[k]
         return (ax + (bx - ax) * t, ay + (by - ay) * t)
 
-    def piece(path, cum, a, b):
-        return [at(path, cum, a), *path[bisect_right(cum, a + 1e-9) : bisect_left(cum, b - 1e-9)], at(path, cum, b)]
+    def piece(a, b):
+        return [at(a), *path[bisect_right(cum, a + 1e-9) : bisect_left(cum, b - 1e-9)], at(b)]
 
     def fits(pts):
-        box = (*pts[0], *pts[0])
-        for p in pts:
-            box = more(box, p)
-        return holds(box)
-
-    def fold(g):
-        stops = sorted(r["x"] for r in g if r["i"] < 0)
-        path = [(r["x"], r["y"]) for r in g if r["i"] >= 0]
-        if not path:
-            return
-        cum = [0.0]
-        for p, q in zip(path, path[1:], strict=False):
-            cum.append(cum[-1] + math.dist(p, q))
-        gaps = [(a + b) / 2 for a, b in zip(stops, stops[1:], strict=False)]
-        cuts, k = [0.0], 1
-        box, seen = None, 0  # of the piece's first point and the points before ``seen`` that lie inside it; it grows with k
-        while k < len(path):
-            begin = cuts[-1]
-            if cum[k] <= begin:
-                k += 1
-                continue
-            if box is None:
-                p, seen = at(path, cum, begin), bisect_right(cum, begin + 1e-9)
-                box = (*p, *p)
-            while seen < len(path) and cum[seen] < cum[k] - 1e-9:
-                box, seen = more(box, path[seen]), seen + 1
-            if holds(more(box, at(path, cum, cum[k]))):
-                k += 1
-                continue
-            good = max(begin, cum[k - 1])
-            cut = max((m for m in gaps if begin + SCRAP < m <= good), default=None)
-            if cut is None:
-                low, top = good, cum[k]
-                for _ in range(STEPS):
-                    mid = (low + top) / 2
-                    low, top = (mid, top) if fits(piece(path, cum, begin, mid)) else (low, mid)
-                cut = low
-            if cut <= begin + 1e-6:
-                cut = begin + (cum[k] - begin) * 0.5
-            cuts.append(cut)
-            box = None
-        if cum[-1] > cuts[-1] + 1e-6 or len(cuts) == 1:
-            cuts.append(cum[-1])
-        if len(cuts) > 2 and cuts[-1] - cuts[-2] < SCRAP and fits(piece(path, cum, cuts[-3], cuts[-1])):
-            del cuts[-2]
-        for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            for i, p in enumerate(piece(path, cum, a, b) if len(path) > 1 else path):
-                yield g[0]["path"], n, i, *p
-
-    return ordered_fold(points.selectExpr("path", "cast(i as long) as i", "cast(x as double) as x", "cast(y as double) as y").unionByName(marks), ["path"], ["i", "x"], fold, "path long, piece long, i long, x double, y double", rows, rows and 250_000)
+        x, y = zip(*pts, strict=True)
+        return holds(min(x), min(y), max(x), max(y))
+
+    gaps = [(a + b) / 2 for a, b in zip(stops, stops[1:], strict=False)]
+    cuts, k, n = [0.0], 1, len(path)
+    x0 = None  # the box of the piece's first point and the points before ``seen`` that lie inside it; it grows with k
+    while k < n:
+        begin, to = cuts[-1], cum[k]
+        if to <= begin:
+            k += 1
+            continue
+        if x0 is None:
+            (x0, y0), seen = at(begin), bisect_right(cum, begin + 1e-9)
+            x1, y1 = x0, y0
+        while seen < n and cum[seen] < to - 1e-9:
+            x, y = path[seen]
+            seen += 1
+            if x < x0:
+                x0 = x
+            if x > x1:
+                x1 = x
+            if y < y0:
+                y0 = y
+            if y > y1:
+                y1 = y
+        if cum[k - 1] < to:  # where the point is the first at its place, ``at`` is this
+            (ax, ay), (x, y) = path[k - 1], path[k]
+            x, y = ax + (x - ax), ay + (y - ay)
+        else:
+            x, y = at(to)
+        w, h = (x if x > x1 else x1) - (x if x < x0 else x0) + 2 * pad, (y if y > y1 else y1) - (y if y < y0 else y0) + 2 * pad
+        if (w <= wide and h <= high) or (h <= wide and w <= high):
+            k += 1
+            continue
+        good = max(begin, cum[k - 1])
+        cut = max((m for m in gaps if begin + SCRAP < m <= good), default=None)
+        if cut is None:
+            low, top = good, to
+            for _ in range(STEPS):
+                mid = (low + top) / 2
+                low, top = (mid, top) if fits(piece(begin, mid)) else (low, mid)
+            cut = low
+        if cut <= begin + 1e-6:
+            cut = begin + (to - begin) * 0.5
+        cuts.append(cut)
+        x0 = None
+    if cum[-1] > cuts[-1] + 1e-6 or len(cuts) == 1:
+        cuts.append(cum[-1])
+    if len(cuts) > 2 and cuts[-1] - cuts[-2] < SCRAP and fits(piece(cuts[-3], cuts[-1])):
+        del cuts[-2]
+    return [piece(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
